@@ -27,14 +27,14 @@ def placeholder(entity: str) -> str:
 
 def pattern_spans(text: Column) -> Column:
     """array<struct<entity_type, value>> of everything the patterns find, in text order per entity."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda v, e=entity: F.struct(F.lit(e).alias("entity_type"), v.alias("value")),
+
+    def found(entity: str, pattern: str) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(
+            values, lambda v: F.struct(F.lit(entity).alias("entity_type"), v.alias("value"))
         )
-        for entity, pattern in _JAVA_PATTERNS.items()
-    ]
-    return F.concat(*found)
+
+    return F.concat(*[found(entity, pattern) for entity, pattern in _JAVA_PATTERNS.items()])
 
 
 def redact_patterns(text: Column) -> Column:
