@@ -133,19 +133,17 @@ def snippet(lines: Column, line_no: Column) -> Column:
 def with_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Attach the overview of a README or the window around a code hit.
 
-    Call it on hits already cut down: the content is fetched only for them.
+    Call it on hits already cut down. The files are met with them once, and
+    only the content of a file that was hit is cut into lines.
     """
-    needed = files.join(hits.select(*FILE).distinct(), FILE, "left_semi")
-    texts = needed.select(
-        *FILE,
-        F.when(is_readme(F.col("path")), t.cap(F.col("content"), fixed.README_OVERVIEW_CHARS)).alias("_head"),
-        F.when(~is_readme(F.col("path")), t.lines_of(F.col("content"))).alias("_lines"),
-    )
     window = snippet(F.col("_lines"), F.col("line_no"))
+    overview = t.cap(F.col("content"), fixed.README_OVERVIEW_CHARS)
     return (
-        hits.join(texts, FILE)
-        .withColumn("snippet", F.when(F.col("kind") == "readme", F.col("_head")).otherwise(window))
-        .drop("_head", "_lines")
+        files.select(*FILE, "content")
+        .join(hits, FILE)
+        .withColumn("_lines", F.when(F.col("kind") != "readme", t.lines_of(F.col("content"))))
+        .withColumn("snippet", F.when(F.col("kind") == "readme", overview).otherwise(window))
+        .select(*hits.columns, "snippet")
     )
 
 

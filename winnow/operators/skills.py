@@ -98,7 +98,7 @@ def screen_all(
     probes = probes.select("jd_id", F.col("p.skill").alias("skill"))
 
     found = postings.join(probes, "skill").select("resume_id", "jd_id").distinct()
-    overlap = F.size(F.array_intersect("required", "candidate"))
+    overlap = F.size(F.array_intersect("candidate", "required"))  # hashes the second, the short one
     return (
         found.join(required, "jd_id")
         .join(candidate, "resume_id")

@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow import fixed_values as fixed
+from winnow.sources.documents import spread
+
+
+# The tables with long texts, and the key each is shared out by.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(rows, TEXT_KEYS[table]) if table in TEXT_KEYS else rows
 
 
 def raw_words(text: Column) -> Column:
