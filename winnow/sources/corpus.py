@@ -24,10 +24,7 @@ def read_code_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     names = f"*.{{{','.join(fixed.CODE_EXTENSIONS)},md}}"
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
         .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     )
     base = os.path.abspath(unquote(root.removeprefix("file:"))).rstrip("/") + "/"

@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from winnow import schemas
 from winnow.session import use_checkpoint_dir
 
-_BAD = "_corrupt_record"
-
-
 def read_profile_json(spark: SparkSession, root: str, key: str) -> DataFrame:
     """Import a JSON array file; a missing or unparsable file gives an empty table."""
     schema = schemas.PROFILE_ENTRIES[key]
-    reader = spark.read.schema(f"{schema}, {_BAD} string").option("multiLine", True)
     try:
-        table = reader.json(f"{root}/{key}.json")
+        files = spark.read.text(f"{root}/{key}.json", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return table.filter(F.col(_BAD).isNull()).drop(_BAD)
+    struct = schema.replace(", ", ",").replace(" ", ":")
+    entries = F.try_variant_get(F.try_parse_json("value"), "$", f"array<struct<{struct}>>")
+    return files.select(F.inline(entries))
 
 
 def read_profile(spark: SparkSession, root: str, key: str, schema: str | None = None) -> DataFrame:
