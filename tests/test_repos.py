@@ -46,6 +46,13 @@ def test_top_repos_and_missing_dates_last(repos):
     assert [r["name"] for r in sorted(rows, key=lambda r: r["rank"]) if r["handle"] == "undated"] == ["dated", "none"]
 
 
+def test_top_recent_is_top_of_recent_or_all(repos):
+    for k in (1, 2, 10):
+        got = rp.top_recent_repos(repos, k).select("handle", "name", "rank").collect()
+        want = rp.top_repos(rp.recent_or_all(repos), k).select("handle", "name", "rank").collect()
+        assert sorted(got) == sorted(want)
+
+
 def test_rank_limit_comes_before_the_shuffle(repos, spark):
     plan = rp.top_repos(repos)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -15,9 +15,10 @@ def name_spans(docs: DataFrame, id: str, text: str, gazetteer: DataFrame) -> Dat
 
     Spelling counts, so that a name is not found in an ordinary word.
     """
-    entries = gazetteer.select("term", "entity_type").distinct()
-    found = s.tag_terms(docs, id, text, entries, "term", token=s.NAME_TOKEN, ignore_case=False)
-    return found.join(entries, "term").select(id, "entity_type", F.col("term").alias("value"))
+    found = s.tag_terms(
+        docs, id, text, gazetteer, "term", s.NAME_TOKEN, ignore_case=False, keep=("entity_type",)
+    )
+    return found.select(id, "entity_type", F.col("term").alias("value"))
 
 
 def pii_spans(docs: DataFrame, id: str, text: str, gazetteer: DataFrame | None = None) -> DataFrame:

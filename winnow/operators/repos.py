@@ -14,18 +14,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
+from winnow.operators.grouping import salted_left_join
+
+
+def is_recent(cutoff: str) -> Column:
+    """Pushed on a later day than the cutoff. ISO days order as text."""
+    return F.coalesce(F.left("pushed_at", F.lit(fixed.DAY_CHARS)) > cutoff, F.lit(False))
 
 
 def recent_or_all(repos: DataFrame, cutoff: str = fixed.ACTIVITY_CUTOFF) -> DataFrame:
     """Repositories pushed after the cutoff day, or all of a handle that has none such."""
-    # ISO stamps order as text; a later day than the cutoff's begins with a larger prefix.
-    recent = F.coalesce(F.left("pushed_at", F.lit(fixed.DAY_CHARS)) > cutoff, F.lit(False))
+    recent = is_recent(cutoff)
     active = repos.filter(recent).select("handle").distinct().withColumn("_active", F.lit(True))
-    return (
-        repos.join(active, "handle", "left")
-        .filter(recent | F.col("_active").isNull())
-        .drop("_active")
-    )
+    joined = salted_left_join(repos, active, "handle", "name")
+    return joined.filter(recent | F.col("_active").isNull()).drop("_active")
+
+
+def top_recent_repos(
+    repos: DataFrame, per_handle: int = fixed.MAX_REPOS_SHOWN, cutoff: str = fixed.ACTIVITY_CUTOFF
+) -> DataFrame:
+    """top_repos(recent_or_all(repos)) in one scan and without the join.
+
+    Recent and other repositories are ranked apart, so the limit cuts both
+    before the shuffle; of a handle only 2 * per_handle rows are then looked
+    at to see whether it has any recent one.
+    """
+    apart = Window.partitionBy("handle", "_recent").orderBy(*_latest_first())
+    ranked = repos.withColumn("_recent", is_recent(cutoff)).withColumn("rank", F.row_number().over(apart))
+    few = ranked.filter(F.col("rank") <= per_handle)
+    any_recent = F.max("_recent").over(Window.partitionBy("handle"))
+    return few.withColumn("_any", any_recent).filter(F.col("_recent") == F.col("_any")).drop("_recent", "_any")
 
 
 def _latest_first() -> list[Column]:
@@ -38,18 +56,24 @@ def top_repos(repos: DataFrame, per_handle: int = fixed.MAX_REPOS_SHOWN) -> Data
     return repos.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_handle)
 
 
-def latest_repo(repos: DataFrame) -> DataFrame:
+def latest_repo(repos: DataFrame, cutoff: str = fixed.ACTIVITY_CUTOFF) -> DataFrame:
     """(handle, repo): the most recently updated repository of each handle."""
-    return top_repos(repos, 1).select("handle", F.col("name").alias("repo"))
+    return top_recent_repos(repos, 1, cutoff).select("handle", F.col("name").alias("repo"))
 
 
 def recent_commits(
-    repos: DataFrame, commits: DataFrame, per_repo: int = fixed.MAX_COMMITS_SHOWN
+    repos: DataFrame,
+    commits: DataFrame,
+    per_repo: int = fixed.MAX_COMMITS_SHOWN,
+    cutoff: str = fixed.ACTIVITY_CUTOFF,
 ) -> DataFrame:
-    """The first listed commits of each handle's latest repository, with their rank."""
-    latest = latest_repo(repos).withColumnRenamed("handle", "owner")
-    chosen = commits.join(latest, ["owner", "repo"], "left_semi")
-    return top_commits(chosen, per_repo)
+    """The first listed commits of each handle's latest repository, with their rank.
+
+    The commits are cut to the first few of every repository before they are
+    shuffled, and only those meet the chosen repositories.
+    """
+    latest = latest_repo(repos, cutoff).withColumnRenamed("handle", "owner")
+    return top_commits(commits, per_repo).join(latest, ["owner", "repo"], "left_semi")
 
 
 def top_commits(commits: DataFrame, per_repo: int = fixed.MAX_COMMITS_SHOWN) -> DataFrame:

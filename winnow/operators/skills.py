@@ -122,8 +122,9 @@ def tag_terms(
     term: str,
     token: str = SKILL_TOKEN,
     ignore_case: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, term) for every lexicon term that occurs in the text as whole words.
+    """(id, term, kept lexicon columns) for every lexicon term in the text as whole words.
 
     Documents are cut into word n-grams of just the lengths the lexicon holds
     (a subquery finds them), made distinct within the document, and met with
@@ -135,11 +136,11 @@ def tag_terms(
         return F.regexp_extract_all(F.lower(of) if ignore_case else of, F.lit(token), F.lit(0))
 
     terms = (
-        lexicon.select(F.col(term))
+        lexicon.select(term, *keep)
         .distinct()
         .withColumn("_words", words(F.col(term)))
         .filter(F.size("_words") > 0)
-        .select(term, F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_gram"))
+        .select(term, *keep, F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_gram"))
     )
     lengths = terms.agg(F.collect_set("_n")).scalar()
 
@@ -155,7 +156,7 @@ def tag_terms(
     cut = docs.select(id, words(F.col(text)).alias("_words"), lengths.alias("_lengths")).select(
         id, F.explode(distinct).alias("_gram")
     )
-    return cut.join(terms.select("_gram", term), "_gram").select(id, term)
+    return cut.join(terms.drop("_n"), "_gram").select(id, term, *keep)
 
 
 def tag_skills(docs: DataFrame, id: str, text: str, lexicon: DataFrame, skill: str = "skill") -> DataFrame:

@@ -43,11 +43,17 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             vectors = _unit(np.array(batch["embedding"].tolist(), dtype="float64"))
             scores = query_matrix @ vectors.T
+            if len(batch) > k:
+                # Whatever reaches the k-th score may still be needed: ties go by id later.
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                query_at, doc_at = np.nonzero(scores >= kth)
+            else:
+                query_at, doc_at = np.nonzero(np.ones_like(scores, dtype=bool))
             frame = pd.DataFrame(
                 {
-                    "query_id": np.repeat(query_ids, len(batch)),
-                    "doc_id": np.tile(batch["doc_id"].to_numpy(), len(query_ids)),
-                    "score": scores.ravel(),
+                    "query_id": query_ids[query_at],
+                    "doc_id": batch["doc_id"].to_numpy()[doc_at],
+                    "score": scores[query_at, doc_at],
                 }
             )
             best = _first(frame if best is None else pd.concat([best, frame]), k)

@@ -34,13 +34,18 @@ recent AS (
   FROM commits c JOIN ranked r ON r.rank = 1 AND r.handle = c.owner AND r.name = c.repo QUALIFY place <= 5)"""
 
 
-def kept(spark: SparkSession, folder: str) -> DataFrame:
-    return rp.recent_or_all(src.order_repos(spark, folder), CUTOFF)
+def top(spark: SparkSession, folder: str) -> DataFrame:
+    return rp.top_recent_repos(src.order_repos(spark, folder), cutoff=CUTOFF)
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    return rp.recent_commits(src.order_repos(spark, folder), src.line_commits(spark, folder), cutoff=CUTOFF)
 
 
 @query("recent_or_all", f"WITH {REPOS} SELECT handle, name, updated_at FROM kept")
 def recent_or_all(spark: SparkSession, folder: str) -> DataFrame:
-    return kept(spark, folder).select("handle", "name", "updated_at")
+    kept = rp.recent_or_all(src.order_repos(spark, folder), CUTOFF)
+    return kept.select("handle", "name", "updated_at")
 
 
 @query(
@@ -48,7 +53,7 @@ def recent_or_all(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {REPOS} SELECT handle, name, updated_at, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
 )
 def top_repos(spark: SparkSession, folder: str) -> DataFrame:
-    return rp.top_repos(kept(spark, folder)).select("handle", "name", "updated_at", "rank")
+    return top(spark, folder).select("handle", "name", "updated_at", "rank")
 
 
 @query(
@@ -59,12 +64,12 @@ def top_repos(spark: SparkSession, folder: str) -> DataFrame:
     FROM ranked WHERE rank <= 10""",
 )
 def repo_cards(spark: SparkSession, folder: str) -> DataFrame:
-    return rp.repo_cards(rp.top_repos(kept(spark, folder)), ["handle"])
+    return rp.repo_cards(top(spark, folder), ["handle"])
 
 
 @query("latest_repo", f"WITH {REPOS} SELECT handle, name AS repo FROM ranked WHERE rank = 1")
 def latest_repo(spark: SparkSession, folder: str) -> DataFrame:
-    return rp.latest_repo(kept(spark, folder))
+    return rp.latest_repo(src.order_repos(spark, folder), CUTOFF)
 
 
 @query(
@@ -86,7 +91,7 @@ def day_cut(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {REPOS}, {COMMITS} SELECT owner, repo, pos, sha, CAST(place AS INTEGER) AS rank FROM recent",
 )
 def recent_commits(spark: SparkSession, folder: str) -> DataFrame:
-    found = rp.recent_commits(kept(spark, folder), src.line_commits(spark, folder))
+    found = commits(spark, folder)
     return found.select("owner", "repo", "pos", "sha", "rank")
 
 
@@ -96,7 +101,7 @@ def recent_commits(spark: SparkSession, folder: str) -> DataFrame:
       left(message, 60) AS message, coalesce(author, 'Unknown') AS author, day FROM recent""",
 )
 def commit_cards(spark: SparkSession, folder: str) -> DataFrame:
-    found = rp.recent_commits(kept(spark, folder), src.line_commits(spark, folder))
+    found = commits(spark, folder)
     return rp.commit_cards(found, ["owner", "repo", "rank"])
 
 
