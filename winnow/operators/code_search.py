@@ -45,7 +45,9 @@ def word_positions(files: DataFrame) -> DataFrame:
 def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, word) for every word that contains the term."""
     wanted = terms.select("term").distinct()
-    vocabulary = words.select("word").distinct()
+    # Every line_no is positive. Asking for it keeps the column, so that this use of
+    # `words` is the same plan as the caller's and Spark shuffles the corpus once.
+    vocabulary = words.filter(F.col("line_no") > 0).select("word").distinct()
 
     def trigrams(of: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(F.col(of), F.lit(_TRIGRAM), F.lit(1)))

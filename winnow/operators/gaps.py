@@ -9,24 +9,29 @@ from winnow.functions import text as t
 from winnow.operators import skills as s
 
 
-def missing_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per missing skill."""
-    missing = s.missing_skills(F.col("required_skills"), F.col("candidate_skills"))
-    return rows.select(*keys, F.explode(missing).alias("skill"))
+def missing_rows(matched: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per missing skill of matched applications."""
+    listed = matched.select(*keys, F.explode_outer("missing_skills").alias("skill"))
+    return listed.filter(F.col("skill").isNotNull())
 
 
-def audit_gaps(missing: DataFrame, aliases: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Rows of `missing` (…, resume_id, skill) that the resume covers under another name.
+def covered_skills(aliases: DataFrame, resumes: DataFrame) -> DataFrame:
+    """(resume_id, covered): skills the resume names by an alias.
 
-    `aliases` is (skill, alias); `resumes` is (resume_id, resume_text). The
-    aliases present in each resume are found by tagging, so this is two
-    equality joins however many aliases and resumes there are.
+    `aliases` is (skill, alias); `resumes` is (resume_id, resume_text). One
+    tagging pass finds the aliases and brings their skills along. A resume's
+    list is bounded by the words it has.
     """
-    known = aliases.select(
-        t.norm_skill(F.col("skill")).alias("skill"), t.norm_skill(F.col("alias")).alias("alias")
-    ).distinct()
-    used = s.tag_terms(resumes, "resume_id", "resume_text", known, "alias")
-    return missing.join(known, "skill").join(used, ["resume_id", "alias"], "left_semi")
+    known = aliases.select(t.norm_skill(F.col("skill")).alias("skill"), t.norm_skill(F.col("alias")).alias("alias"))
+    found = s.tag_terms(resumes, "resume_id", "resume_text", known, "alias", keep=("skill",))
+    return found.groupBy("resume_id").agg(F.collect_set("skill").alias("covered"))
+
+
+def audit_gaps(rows: DataFrame, aliases: DataFrame, resumes: DataFrame) -> DataFrame:
+    """Add `overlooked`: missing skills (resume_id, missing_skills, …) the resume has by another name."""
+    covered = covered_skills(aliases, resumes)
+    found = F.array_intersect("missing_skills", F.coalesce("covered", F.array().cast("array<string>")))
+    return rows.join(covered, "resume_id", "left").withColumn("overlooked", found).drop("covered")
 
 
 def gap_report(
@@ -36,23 +41,14 @@ def gap_report(
 
     Pass 1 lists every missing skill and the audit marks those the resume has
     under another name. Only if it marks any is there a pass 2, without them.
-    `rejects` needs application_id, resume_id and the two skill lists.
+    `rejects` needs application_id, resume_id and missing_skills; it is
+    evaluated once and meets the aliases found by resume.
     """
-    first = s.missing_skills(F.col("required_skills"), F.col("candidate_skills"))
-    base = rejects.select("application_id", "resume_id", first.alias("first_missing"))
-    missing = rejects.select("application_id", "resume_id", F.explode(first).alias("skill"))
-    overlooked = (
-        audit_gaps(missing, aliases, resumes)
-        .groupBy("application_id")
-        .agg(F.collect_set("skill").alias("overlooked"))
-    )
-    none = F.array().cast("array<string>")
-    audited = base.join(overlooked, "application_id", "left").withColumn(
-        "overlooked", F.coalesce("overlooked", none)
-    )
+    audited = audit_gaps(rejects.select("application_id", "resume_id", "missing_skills"), aliases, resumes)
     wrong = F.size("overlooked") > 0
     return (
-        audited.withColumn("missing", F.array_except("first_missing", "overlooked"))
+        audited.withColumn("missing", F.array_except("missing_skills", "overlooked"))
+        .withColumnRenamed("missing_skills", "first_missing")
         .withColumn("reflection_count", F.when(wrong, fixed.MAX_REFLECTIONS).otherwise(1))
         .withColumn("first_critique", critique_flag(~wrong))
         .withColumn("rejection_feedback", feedback_text(F.col("missing"), suggestions))

@@ -38,8 +38,9 @@ def match_skills(applications: DataFrame, resumes: DataFrame, jds: DataFrame) ->
     """Screen the listed (resume_id, jd_id) pairs.
 
     The lists are normalised once per resume and once per JD, then meet in one
-    row, so matching needs no shuffle beyond the two id joins. Pairs without
-    any match keep their row. A JD that many resumes apply to makes one hot
+    row, so matching needs no shuffle beyond the two id joins. Added are
+    matched_skills (as required), missing_skills (normalised), n_required,
+    n_matched and skill_match. Pairs without any match keep their row. A JD that many resumes apply to makes one hot
     key with one small row on its side, which is what the adaptive skew join
     splits.
     """
@@ -53,6 +54,7 @@ def match_skills(applications: DataFrame, resumes: DataFrame, jds: DataFrame) ->
     )
     return (
         pairs.withColumn("matched_skills", exact_matched(F.col("required_skills"), F.col("_overlap")))
+        .withColumn("missing_skills", F.array_except(F.coalesce("_required", none), F.col("_overlap")))
         .withColumn("n_required", F.size(F.coalesce("_required", none)))
         .withColumn("n_matched", F.size("_overlap"))
         .withColumn("skill_match", skill_score(F.col("_overlap"), F.coalesce("_required", none)))
@@ -67,24 +69,27 @@ def screen_all(
     """All (resume, JD) pairs with skill_match >= min_score, without forming all pairs.
 
     A JD with n skills needs k = ceil(min_score * n) of them, so every match
-    holds at least one of the JD's n - k + 1 rarest skills. Only those are
-    looked up among the resumes; the skills that everyone has are not. The
-    candidates found are then scored exactly from the two lists.
+    holds at least m of the JD's n - k + m rarest skills, for any m up to k.
+    With m a third of k, only those are looked up among the resumes; the
+    skills that everyone has are not. The few pairs with m hits are then
+    scored exactly from the two lists.
     """
     if not 0.0 < min_score <= 1.0:
         raise ValueError("min_score must be in (0, 1]")
-    candidate_norm = t.norm_skills(F.col("candidate_skills"))
     required_norm = t.norm_skills(F.col("required_skills"))
-    candidate = resumes.select("resume_id", candidate_norm.alias("candidate"))
     required = jds.select("jd_id", required_norm.alias("required"))
-
-    postings = resumes.select("resume_id", F.explode(candidate_norm).alias("skill"))
     asked = jds.select("jd_id", F.explode(required_norm).alias("skill"))
-    frequency = (
-        postings.join(asked.select("skill").distinct(), "skill", "left_semi")
-        .groupBy("skill")
-        .agg(F.count("*").alias("holders"))
+
+    # What each resume holds of the skills that any JD asks for. The three uses
+    # below share this one shuffle, so the resumes are read and normalised once.
+    held = resumes.select("resume_id", F.explode(t.norm_skills(F.col("candidate_skills"))).alias("skill"))
+    candidate = (
+        held.join(asked.select("skill").distinct(), "skill", "left_semi")
+        .groupBy("resume_id")
+        .agg(F.collect_list("skill").alias("candidate"))
     )
+    postings = candidate.select("resume_id", F.explode(F.concat("candidate", F.array())).alias("skill"))
+    frequency = postings.groupBy("skill").agg(F.count("*").alias("holders"))
     rarest_first = (
         asked.join(frequency, "skill")  # a skill nobody holds finds nobody
         .groupBy("jd_id")
@@ -92,12 +97,19 @@ def screen_all(
         .join(required.select("jd_id", F.size("required").alias("n")), "jd_id")
     )
     needed = F.greatest(F.ceil(F.col("n") * F.lit(min_score) - 1e-9).cast("int"), F.lit(1))
+    least = F.greatest(F.floor(needed / 3).cast("int"), F.lit(1))
     # Skills that nobody holds are the rarest; they use up part of the prefix.
-    prefix = F.greatest(F.size("ranked") - needed + 1, F.lit(0))
-    probes = rarest_first.select("jd_id", F.explode(F.slice("ranked", F.lit(1), prefix)).alias("p"))
-    probes = probes.select("jd_id", F.col("p.skill").alias("skill"))
-
-    found = postings.join(probes, "skill").select("resume_id", "jd_id").distinct()
+    prefix = F.greatest(F.size("ranked") - needed + least, F.lit(0))
+    probes = rarest_first.select(
+        "jd_id", least.alias("least"), F.explode(F.slice("ranked", F.lit(1), prefix)["skill"]).alias("skill")
+    )
+    found = (
+        postings.join(probes, "skill")
+        .groupBy("resume_id", "jd_id", "least")
+        .agg(F.count("*").alias("hits"))
+        .filter(F.col("hits") >= F.col("least"))
+        .select("resume_id", "jd_id")
+    )
     overlap = F.size(F.array_intersect("candidate", "required"))  # hashes the second, the short one
     return (
         found.join(required, "jd_id")

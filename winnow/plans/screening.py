@@ -110,8 +110,9 @@ def skill_overlap(spark: SparkSession, folder: str) -> DataFrame:
       array_to_string(list_sort([x FOR x IN req IF NOT list_contains(cand, x)]), '|') AS missing FROM scored""",
 )
 def missing_array(spark: SparkSession, folder: str) -> DataFrame:
-    missing = skills.missing_skills(F.col("required_skills"), F.col("candidate_skills"))
-    return matched(spark, folder).select("application_id", joined(missing).alias("missing"))
+    return matched(spark, folder).select(
+        "application_id", joined(F.col("missing_skills")).alias("missing")
+    )
 
 
 @query(
