@@ -102,6 +102,17 @@ def test_context_is_nested_in_order_and_parted_without_loss(spark):
     assert got == {0: ["c0", "c1"], 1: ["c2", "c3"], 2: ["c4"]}
 
 
+def test_read_pages_takes_three_columns(spark, sf_dir):
+    pages = documents.read_pages(spark, f"{sf_dir}/pages.parquet")
+    assert pages.columns == ["page_id", "url", "html"] and pages.count() == 50
+
+
+def test_only_small_inputs_are_spread(spark):
+    one, many = spark.range(10).coalesce(1), spark.range(100, numPartitions=50)
+    assert documents.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert documents.spread(many, "id").rdd.getNumPartitions() == 50
+
+
 def test_pages_in_order_and_parts(spark):
     rows = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, None)], "d bigint, n int, t string")
     assert [tuple(r) for r in documents.assemble_pages(rows, "d", "n", "t").collect()] == [(1, 0, "ac", 3)]

@@ -171,15 +171,29 @@ def test_redact_with_gazetteer(spark):
     assert (1, "PERSON", "Ann Lee") in spans and (1, "EMAIL_ADDRESS", "x@y.zz") in spans
 
 
-def test_lists(spark):
-    row = spark.createDataFrame([(["b", "a"], ["c", "b"], [" ", "x "], "p, ,q")], "n array<string>, o array<string>, l array<string>, t string")
+def test_merge_roles(spark):
+    row = spark.createDataFrame([(["b", "a"], ["c", "b"])], "n array<string>, o array<string>")
     none = F.lit(None).cast("array<string>")
     got = row.select(
-        skills.merge_roles(F.col("n"), F.col("o")).alias("merged"),
-        skills.merge_roles(F.col("n"), none).alias("seeded"),
-        skills.resolve_skills([none, F.col("l")], [F.col("t")]).alias("listed"),
-        skills.resolve_skills([none], [F.lit(""), F.col("t")]).alias("said"),
-        skills.resolve_skills([none]).alias("nothing"),
+        skills.merge_roles(F.col("n"), F.col("o")).alias("merged"), skills.merge_roles(F.col("n"), none).alias("seeded")
     ).first()
     assert got["merged"] == ["b", "a", "c"] and got["seeded"] == ["b", "a", *fixed.DEFAULT_ROLES]
-    assert got["listed"] == ["", "x"] and got["said"] == ["p", "q"] and got["nothing"] == []
+
+
+def test_skill_sources_in_order(spark):
+    kind = (
+        "id int, matched_skills array<string>, candidate_skills string, resume_skills string, skills array<string>, "
+        "resume_data struct<skills:array<string>,core_skills:string>"
+    )
+    rows = spark.createDataFrame(
+        [
+            (1, [" ", "x ", None, ""], "no", "p, ,q", ["s"], None),
+            (2, [], "ignored text", "p, ,q", ["s"], None),
+            (3, None, None, "", ["s"], None),
+            (4, None, None, None, None, ([], "c, d")),
+            (5, None, None, None, None, None),
+        ],
+        kind,
+    )
+    got = rows.select("id", skills.resolve_skills(rows).alias("s")).orderBy("id").collect()
+    assert [r["s"] for r in got] == [["", "x"], ["p", "q"], ["s"], ["c", "d"], []]

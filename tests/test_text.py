@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,29 @@ def test_body_text_title_falls_back_to_page_title(column):
     assert [p and (p["title"], p["text"]) for p in got] == [("T", "x"), ("H", "H"), ("Job Position", "x"), None]
 
 
+@pytest.mark.parametrize(
+    "function, text",
+    [
+        (t.compress_markdown, "[" * 60_000 + "![" * 60_000 + "<" * 60_000),
+        (t.compress_markdown, "[a](http://x) " + "[" * 60_000 + "<b>" + "<" * 60_000),
+        (lambda c: html.text_of(c, fixed.WEB_DROP_TAGS), "<a" * 100_000 + "<!--" * 50_000),
+        (lambda c: html.text_of(c, fixed.WEB_DROP_TAGS), "<nav><form>" * 30_000 + "x=" * 50_000),
+        (lambda c: html.text_of(c, fixed.WEB_DROP_TAGS), "<p " + "a='b' " * 100_000 + ">x</p>" * 20_000),
+        (pii.redact_patterns, "Ab1" * 100_000),
+    ],
+)
+def test_hostile_texts_take_little_time(column, function, text):
+    started = time.monotonic()
+    column(function, [text])
+    assert time.monotonic() - started < 20
+
+
+def test_emails_right_after_one_another(column):
+    texts = ["a@b.com1d@z.org, ..x.y@z.io", "a@b.c d@e.fg-h@i.jk"]
+    want = [re.sub(pii.PATTERNS["EMAIL_ADDRESS"], "<EMAIL_ADDRESS>", x) for x in texts]
+    assert column(pii.redact_patterns, texts) == want
+
+
 # --- personal data ------------------------------------------------------------------
 def test_patterns_redact_by_type(column):
     texts = [

@@ -15,6 +15,21 @@ MESSAGE_SHORTLIST = "Shortlisted for %s at %s - %s"
 MESSAGE_REJECT = "Rejected for %s at %s - %s"
 DEFAULT_ROLES = ["Lead AI Engineer", "Software Engineer", "General Professional Experience"]
 
+# Where skills are looked for, in order; a nested name is struct.field.
+SKILL_SOURCES = [
+    "matched_skills",
+    "candidate_skills",
+    "resume_skills",
+    "skills",
+    "extracted_skills",
+    "required_skills",
+    "resume_data.skills",
+    "resume_data.core_skills",
+    "resume_analysis.skills",
+    "resume_analysis.core_skills",
+]
+LIST_ONLY_SOURCES = ["matched_skills", "candidate_skills"]
+
 # --- seniority fallback ----------------------------------------------------
 SENIORITY_TITLE = "Lead AI Engineer"
 SENIORITY_TITLE_DEFAULT = "AI Engineer"

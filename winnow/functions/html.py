@@ -4,7 +4,9 @@ Raw-text elements and comments go first, by position, so that markup quoted in
 a script cannot close anything. Dropped containers go innermost first; three
 passes cover containers of one name nested three deep. What is left of the
 tags becomes a break between text nodes. Containers that are never closed are
-kept (a DOM parser would close them with their parent).
+kept (a DOM parser would close them with their parent), and a tag ends where
+another '<' comes outside quotes, so that no page makes a pattern scan the rest
+of it from every tag.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from winnow import fixed_values as fixed
 from winnow.functions import text as t
 
 _BREAK = "\u0001"
-_ATTRS = "(?:[^>=]++|=\\s*+\"[^\"]*+\"|=\\s*+'[^']*+'|=)*+"
+_ATTRS = "(?:[^<>=]++|=\\s*+\"[^\"]*+\"|=\\s*+'[^']*+'|=)*+"
 _RAW_TEXT_TAGS = {"script", "style"}
 _NESTING = 3
 
@@ -59,7 +61,7 @@ def drop_elements(html: Column, tags: list[str]) -> Column:
     """Replace comments and the named elements, content included, by a break."""
     raw = [tag for tag in tags if tag in _RAW_TEXT_TAGS]
     containers = [tag for tag in tags if tag not in _RAW_TEXT_TAGS]
-    first = "(?is)<!--.*?-->"
+    first = "(?is)<!--.*?(?:-->|\\z)"
     if raw:
         first += f"|<({'|'.join(raw)})(?=[\\s/>]){_ATTRS}>.*?(?:</\\1\\s*+>|\\z)"
     out = F.regexp_replace(html, first, _BREAK)

@@ -15,8 +15,10 @@ PATTERNS = {
 # Prefixes never issued, so such a string is no insurance number.
 NINO_UNUSED_PREFIXES = ["BG", "GB", "NK", "KN", "NT", "TN", "ZZ"]
 
+# The same matches, but a long run of letters (base64, say) is tried once and not from each letter.
 _JAVA_PATTERNS = dict(
     PATTERNS,
+    EMAIL_ADDRESS="(?:\\G|(?<![A-Za-z0-9]))" + PATTERNS["EMAIL_ADDRESS"].replace("-]*@", "-]*+@"),
     UK_NINO=PATTERNS["UK_NINO"].replace("\\b[", f"\\b(?!{'|'.join(NINO_UNUSED_PREFIXES)})[", 1),
 )
 

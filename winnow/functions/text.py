@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -121,18 +122,36 @@ def lines_of(content: Column) -> Column:
     return F.split(F.regexp_replace(unified, "\\n\\z", ""), "\n")
 
 
+def _rewrite(pattern: str, replacement: str, needs: str, last: str) -> Callable[[Column], Column]:
+    """A rewrite that is skipped where `needs` does not occur and looks no further than the `last` mark.
+
+    Both spare work only: no match can lack the one or reach past the other.
+    Without them a long line full of opening marks would be scanned to its end
+    from every one of them.
+    """
+
+    def apply(text: Column) -> Column:
+        rest = F.substring_index(text, last, -1)
+        head = F.left(text, F.length(text) - F.length(rest))
+        return F.when(
+            F.contains(text, F.lit(needs)), F.concat(F.regexp_replace(head, pattern, replacement), rest)
+        ).otherwise(text)
+
+    return apply
+
+
 def compress_markdown(text: Column) -> Column:
     """Six rewrites in order: images, links to their text, bare addresses, tags,
     boilerplate phrases, blank lines; then strip. Null gives ''."""
-    rewrites = [
-        ("!\\[[^\\n]*?\\]\\([^\\n]*?\\)", ""),
-        (f"\\[([^\\n]*?)\\]\\(https?://{NON_SPACE}+\\)", "$1"),
-        (f"https?://{NON_SPACE}+", ""),
-        ("<[^>]+>", ""),
-        (f"(?iu)(?:{any_of(fixed.BOILERPLATE_PHRASES)})", ""),
-        (f"\\n{SPACE}*\\n", "\n"),
+    marked = [
+        _rewrite("!\\[[^\\n]*?\\]\\([^\\n]*?\\)", "", "](", ")"),
+        _rewrite(f"\\[([^\\n]*?)\\]\\(https?://{NON_SPACE}+\\)", "$1", "](http", ")"),
+        lambda c: F.regexp_replace(c, f"https?://{NON_SPACE}+", ""),
+        _rewrite("<[^>]+>", "", "<", ">"),
     ]
     out = F.coalesce(text, F.lit(""))
-    for pattern, replacement in rewrites:
-        out = F.regexp_replace(out, pattern, replacement)
-    return strip(out)
+    for rewrite in marked:
+        # One-element array: binds the text, so that it is worked out once per rewrite.
+        out = F.get(F.transform(F.array(out), rewrite), F.lit(0))
+    out = F.regexp_replace(out, f"(?iu)(?:{any_of(fixed.BOILERPLATE_PHRASES)})", "")
+    return strip(F.regexp_replace(out, f"\\n{SPACE}*\\n", "\n"))

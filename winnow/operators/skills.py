@@ -190,18 +190,30 @@ def merge_roles(new: Column, old: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(new, none), kept))
 
 
-def resolve_skills(lists: list[Column], texts: list[Column] = ()) -> Column:
-    """The first non-empty source, in the order given: lists, then comma-separated texts.
+def resolve_skills(rows: DataFrame, sources: list[str] = fixed.SKILL_SOURCES) -> Column:
+    """The skills of the first source that holds any, among the columns the rows have.
 
-    Items are stripped; a list drops null and '' before, a text drops blanks after.
+    A list gives its items stripped, null and '' left out; a text is split at
+    commas and loses its blanks. The first two sources count only as lists.
     """
 
-    def listed(items: Column) -> Column:
-        kept = F.filter(items, lambda s: s.isNotNull() & (s != ""))
-        return F.when(F.size(items) > 0, F.transform(kept, t.strip))
-
-    def split(source: Column) -> Column:
-        return F.when(source != "", t.parse_list(source, ","))
-
-    sources = [listed(items) for items in lists] + [split(source) for source in texts]
-    return F.coalesce(*sources, F.array().cast("array<string>"))
+    def kind_of(name: str) -> str:
+        kind = rows.schema
+        for part in name.split("."):
+            if not hasattr(kind, "names") or part not in kind.names:
+                return ""
+            kind = kind[part].dataType
+        return kind.simpleString()
+
+    found = []
+    for name in sources:
+        kind = kind_of(name)
+        allowed = F.lit(True)
+        if name.startswith("resume_analysis.") and "resume_data" in rows.columns:
+            allowed = F.col("resume_data").isNull()  # the analysis only stands in for the data
+        if kind == "array<string>":
+            items = F.filter(F.col(name), lambda s: s.isNotNull() & (s != ""))
+            found.append(F.when(allowed & (F.size(F.col(name)) > 0), F.transform(items, t.strip)))
+        elif kind == "string" and name not in fixed.LIST_ONLY_SOURCES:
+            found.append(F.when(allowed & (F.col(name) != ""), t.parse_list(F.col(name), ",")))
+    return F.coalesce(*found, F.array().cast("array<string>"))

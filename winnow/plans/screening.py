@@ -337,6 +337,6 @@ def skills_cascade(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("c_custkey"), resume_list.alias("candidate_skills")
     )
     rows = src.load(spark, folder, "customer").join(orders, "c_custkey", "left").join(parts, "c_custkey", "left")
-    listed = F.concat("c_mktsegment", F.lit(" , , x,"))
-    resolved = skills.resolve_skills([F.col("matched_skills"), F.col("candidate_skills")], [listed])
+    rows = rows.withColumn("skills", F.concat("c_mktsegment", F.lit(" , , x,")))
+    resolved = skills.resolve_skills(rows)
     return rows.select("c_custkey", F.array_join(resolved, "|").alias("skills"))
