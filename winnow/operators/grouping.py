@@ -26,13 +26,16 @@ def numbered(
     )
 
 
-def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = 16) -> DataFrame:
-    """Left join to a lookup with one row per key, each key's rows shared out over `salts` tasks.
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: str, how: str, salts: int = 16
+) -> DataFrame:
+    """Join rows to a lookup with one row per key, each key's rows shared out over `salts` tasks.
 
     The salt follows from a column of the row, so a recomputed task makes the
     same rows again. The result is laid out by key and salt, so a ranking by
     key that follows gets a shuffle of its own, with its limit applied before.
+    A lookup that measures small is broadcast as ever, and then nothing moves.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

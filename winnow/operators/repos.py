@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
-from winnow.operators.grouping import salted_left_join
+from winnow.operators.grouping import salted_join
 
 
 def is_recent(cutoff: str) -> Column:
@@ -26,7 +26,7 @@ def recent_or_all(repos: DataFrame, cutoff: str = fixed.ACTIVITY_CUTOFF) -> Data
     """Repositories pushed after the cutoff day, or all of a handle that has none such."""
     recent = is_recent(cutoff)
     active = repos.filter(recent).select("handle").distinct().withColumn("_active", F.lit(True))
-    joined = salted_left_join(repos, active, "handle", "name")
+    joined = salted_join(repos, active, ["handle"], "name", "left")
     return joined.filter(recent | F.col("_active").isNull()).drop("_active")
 
 
@@ -69,11 +69,13 @@ def recent_commits(
 ) -> DataFrame:
     """The first listed commits of each handle's latest repository, with their rank.
 
-    The commits are cut to the first few of every repository before they are
-    shuffled, and only those meet the chosen repositories.
+    Only commits of the chosen repositories are ranked. Those of one
+    repository are shared out for the join and cut to the first few by each
+    task before they come together.
     """
     latest = latest_repo(repos, cutoff).withColumnRenamed("handle", "owner")
-    return top_commits(commits, per_repo).join(latest, ["owner", "repo"], "left_semi")
+    chosen = salted_join(commits, latest, ["owner", "repo"], "pos", "left_semi")
+    return top_commits(chosen, per_repo)
 
 
 def top_commits(commits: DataFrame, per_repo: int = fixed.MAX_COMMITS_SHOWN) -> DataFrame:
