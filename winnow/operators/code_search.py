@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
+from winnow.operators.grouping import for_skewed_join
 
 FILE = ["project", "path"]
 _TRIGRAM = "(?s)(?=(.{3}))"
@@ -56,7 +57,7 @@ def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     word_grams = vocabulary.select("word", F.explode(trigrams("word")).alias("gram"))
     # How common each needed trigram is in the vocabulary decides which one to compare.
     common = (
-        word_grams.join(term_grams.select("gram").distinct(), "gram", "left_semi")
+        word_grams.join(for_skewed_join(term_grams.select("gram").distinct(), "gram"), "gram", "left_semi")
         .groupBy("gram")
         .agg(F.count("*").alias("n"))
     )
@@ -84,8 +85,9 @@ def first_hit_per_file(files: DataFrame, skills: DataFrame, whole_word: bool = F
     words = word_positions(files)
     pairs = (whole_word_terms if whole_word else words_with_terms)(words, terms)
     pairs = pairs.join(terms, "term").select("skill", "word").distinct()
+    # Some words stand in every file (import, return).
     return (
-        words.join(pairs, "word")
+        words.join(for_skewed_join(pairs, "word"), "word")
         .groupBy("skill", *FILE)
         .agg(F.min("line_no").alias("line_no"))
     )
@@ -205,5 +207,5 @@ def proof_counts(jds: DataFrame, files: DataFrame) -> DataFrame:
     """
     asked = proof_skills(jds)
     best = top_hits(search_code(files, asked))
-    counted = asked.join(best, "skill").groupBy("jd_id").agg(F.count("*").alias("n_proofs"))
+    counted = asked.join(for_skewed_join(best, "skill"), "skill").groupBy("jd_id").agg(F.count("*").alias("n_proofs"))
     return jds.select("jd_id").join(counted, "jd_id", "left").fillna(0, ["n_proofs"])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators import skills as s
+from winnow.operators.grouping import for_skewed_join
 
 
 def missing_rows(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def covered_skills(aliases: DataFrame, resumes: DataFrame) -> DataFrame:
 
 def audit_gaps(rows: DataFrame, aliases: DataFrame, resumes: DataFrame) -> DataFrame:
     """Add `overlooked`: missing skills (resume_id, missing_skills, …) the resume has by another name."""
-    covered = covered_skills(aliases, resumes)
+    covered = for_skewed_join(covered_skills(aliases, resumes), "resume_id")
     found = F.array_intersect("missing_skills", F.coalesce("covered", F.array().cast("array<string>")))
     return rows.join(covered, "resume_id", "left").withColumn("overlooked", found).drop("covered")
 

@@ -39,3 +39,13 @@ def salted_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def for_skewed_join(lookup: DataFrame, *keys: str) -> DataFrame:
+    """Lay out a lookup so that Spark can split a skewed key of the rows it will be joined to.
+
+    Spark splits a key only between two shuffles made for the join itself. A
+    lookup that an aggregate has already laid out by the key would not be
+    shuffled again, so it is laid out by a hash of the key instead.
+    """
+    return lookup.repartition(F.xxhash64(*keys))

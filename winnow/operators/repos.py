@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
-from winnow.operators.grouping import salted_join
+from winnow.operators.grouping import for_skewed_join, salted_join
 
 
 def is_recent(cutoff: str) -> Column:
@@ -157,7 +157,7 @@ def verify_skills(candidates: DataFrame, repos: DataFrame) -> DataFrame:
     Every candidate keeps a row: without a handle the check is 'skipped',
     without skills or repositories it is 'unable'.
     """
-    corpus = repo_corpus(repos)
+    corpus = for_skewed_join(repo_corpus(repos), "handle")
     skills = F.filter(F.transform("skills", t.strip), lambda s: s != "")
     found = F.filter(skills, lambda s: t.contains_word(F.col("corpus"), F.lower(s)))
     status = (

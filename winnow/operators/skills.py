@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
+from winnow.operators.grouping import for_skewed_join
 
 # A word of a skill or name: letters, digits, '_', '+', '#', and inner dots (node.js).
 SKILL_TOKEN = "[\\p{L}\\p{N}_+#]+(?:\\.[\\p{L}\\p{N}_+#]+)*"
@@ -84,14 +85,14 @@ def screen_all(
     # below share this one shuffle, so the resumes are read and normalised once.
     held = resumes.select("resume_id", F.explode(t.norm_skills(F.col("candidate_skills"))).alias("skill"))
     candidate = (
-        held.join(asked.select("skill").distinct(), "skill", "left_semi")
+        held.join(for_skewed_join(asked.select("skill").distinct(), "skill"), "skill", "left_semi")
         .groupBy("resume_id")
         .agg(F.collect_list("skill").alias("candidate"))
     )
     postings = candidate.select("resume_id", F.explode(F.concat("candidate", F.array())).alias("skill"))
     frequency = postings.groupBy("skill").agg(F.count("*").alias("holders"))
     rarest_first = (
-        asked.join(frequency, "skill")  # a skill nobody holds finds nobody
+        asked.join(for_skewed_join(frequency, "skill"), "skill")  # a skill nobody holds finds nobody
         .groupBy("jd_id")
         .agg(F.array_sort(F.collect_list(F.struct("holders", "skill"))).alias("ranked"))
         .join(required.select("jd_id", F.size("required").alias("n")), "jd_id")
