@@ -66,14 +66,18 @@ COMPRESS = [
 
 
 def python_compress(text):
-    if not text:
-        return ""
-    for pattern, replacement in [
-        (r"!\[.*?\]\(.*?\)", ""), (r"\[(.*?)\]\(https?://\S+\)", r"\1"), (r"https?://\S+", ""), (r"<[^>]+>", ""),
-        (r"(?i)(" + "|".join(fixed.BOILERPLATE_PHRASES) + ")", ""), (r"\n\s*\n", "\n"),
-    ]:
-        text = re.sub(pattern, replacement, text)
-    return text.strip()
+    out = text or ""
+    phrases = "(?i)" + "|".join(map(re.escape, fixed.BOILERPLATE_PHRASES))
+    for pattern, replacement in {
+        fixed.IMAGE_PATTERN: "",
+        fixed.LINK_PATTERN: r"\g<1>",
+        fixed.ADDRESS_PATTERN: "",
+        fixed.TAG_PATTERN: "",
+        phrases: "",
+        fixed.BLANK_LINES_PATTERN: "\n",
+    }.items():
+        out = re.compile(pattern).sub(replacement, out)
+    return out.strip()
 
 
 def test_compress_markdown_matches_its_twin(column):

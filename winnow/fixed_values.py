@@ -36,6 +36,15 @@ SENIORITY_TITLE_DEFAULT = "AI Engineer"
 SENIORITY_YEARS = [(("lead", "principal"), 8.0), (("senior",), 5.0)]
 SENIORITY_YEARS_DEFAULT = 0.0
 
+# --- patterns, in Python's notation ----------------------------------------
+HANDLE_PATTERN = r"github\.com/([a-zA-Z0-9_-]+)"
+POSTING_PATTERN = r"(?:/jobs/view/|currentJobId=)(\d+)"
+IMAGE_PATTERN = r"!\[.*?\]\(.*?\)"
+LINK_PATTERN = r"\[(.*?)\]\(https?://\S+\)"
+ADDRESS_PATTERN = r"https?://\S+"
+TAG_PATTERN = r"<[^>]+>"
+BLANK_LINES_PATTERN = r"\n\s*\n"
+
 # --- page text -------------------------------------------------------------
 BOILERPLATE_PHRASES = [
     "accept cookies",

@@ -15,6 +15,14 @@ SPACE = "[" + "".join("\\x{%x}" % ord(ch) for ch in WHITESPACE) + "]"
 NON_SPACE = "[^" + SPACE[1:]
 
 
+def java(pattern: str) -> str:
+    """A pattern in Python's notation with the same meaning in Java's, whose \\s and \\d are
+    ASCII only and whose dot stops at more than a newline. For patterns without sets of those."""
+    for python, same in (("\\s", SPACE), ("\\S", NON_SPACE), (".*?", "[^\\n]*?"), ("\\d", "\\p{Nd}")):
+        pattern = pattern.replace(python, same)
+    return pattern
+
+
 def any_of(words: list[str]) -> str:
     """Alternation of literal words as a regular expression."""
     return "|".join("".join(ch if ch.isalnum() or ch in " _" else "\\" + ch for ch in w) for w in words)
@@ -76,18 +84,18 @@ def contains_word(text: Column, needle: Column) -> Column:
 
 # --- things said in free text ----------------------------------------------
 def github_handle(text: Column) -> Column:
-    found = F.regexp_extract(text, "(?i)github\\.com/([a-zA-Z0-9_-]+)", 1)
+    found = F.regexp_extract(text, f"(?i){fixed.HANDLE_PATTERN}", 1)
     return F.nullif(found, F.lit(""))
 
 
 def job_posting_id(url: Column) -> Column:
     """Numeric posting id where the address names one, else the address itself."""
-    found = F.regexp_extract(url, "(?:/jobs/view/|currentJobId=)([0-9]+)", 1)
+    found = F.regexp_extract(url, java(fixed.POSTING_PATTERN), 1)
     return F.coalesce(F.nullif(found, F.lit("")), url)
 
 
 def is_job_posting(url: Column) -> Column:
-    return F.rlike(url, F.lit("(?:/jobs/view/|currentJobId=)[0-9]"))
+    return F.rlike(url, F.lit(java(fixed.POSTING_PATTERN)))
 
 
 def years_experience(text: Column) -> Column:
@@ -144,14 +152,14 @@ def compress_markdown(text: Column) -> Column:
     """Six rewrites in order: images, links to their text, bare addresses, tags,
     boilerplate phrases, blank lines; then strip. Null gives ''."""
     marked = [
-        _rewrite("!\\[[^\\n]*?\\]\\([^\\n]*?\\)", "", "](", ")"),
-        _rewrite(f"\\[([^\\n]*?)\\]\\(https?://{NON_SPACE}+\\)", "$1", "](http", ")"),
-        lambda c: F.regexp_replace(c, f"https?://{NON_SPACE}+", ""),
-        _rewrite("<[^>]+>", "", "<", ">"),
+        _rewrite(java(fixed.IMAGE_PATTERN), "", "](", ")"),
+        _rewrite(java(fixed.LINK_PATTERN), "$1", "](http", ")"),
+        lambda c: F.regexp_replace(c, java(fixed.ADDRESS_PATTERN), ""),
+        _rewrite(fixed.TAG_PATTERN, "", "<", ">"),
     ]
     out = F.coalesce(text, F.lit(""))
     for rewrite in marked:
         # One-element array: binds the text, so that it is worked out once per rewrite.
         out = F.get(F.transform(F.array(out), rewrite), F.lit(0))
     out = F.regexp_replace(out, f"(?iu)(?:{any_of(fixed.BOILERPLATE_PHRASES)})", "")
-    return strip(F.regexp_replace(out, f"\\n{SPACE}*\\n", "\n"))
+    return strip(F.regexp_replace(out, java(fixed.BLANK_LINES_PATTERN), "\n"))
