@@ -216,6 +216,14 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     batch = screening.route(skills.match_skills(apps, resumes, jds)).select("application_id", "skill_match", "route")
     got = spark.read.parquet(out).select("application_id", "skill_match", "route")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    arrived = str(tmp_path / "arrived")
+    columns = ["application_id", "skill_match", "route"]
+    for _ in range(2):
+        arriving = streaming.read_applications(spark, source)
+        streaming.screen_arrivals(arriving, resumes, jds, arrived, str(tmp_path / "state2"), columns).awaitTermination()
+        apps.filter("application_id = 1").write.mode("append").parquet(source)
+    got = spark.read.parquet(arrived).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_streamed_entries_join_the_batch_ones(spark, tmp_path):

@@ -37,7 +37,7 @@ def decode_entities(text: Column) -> Column:
 
     def numeric(digits: Column) -> Column:
         hexed = F.lower(F.left(digits, F.lit(1))) == "x"
-        code = F.when(hexed, F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("bigint")
+        code = F.when(hexed, F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).try_cast("bigint")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(valid, char).otherwise(F.lit("\ufffd"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from winnow import fixed_values as fixed, schemas
 from winnow.functions import text as t
 from winnow.operators.grouping import numbered
+from winnow.session import use_checkpoint_dir
 from winnow.sources import profiles as store
 
 FAN_OUT_TABLES = ["skills", "projects", "responsibilities", "misc"]
@@ -81,7 +82,8 @@ def populate_profile(parsed: DataFrame, root: str, dedupe: bool = False) -> None
     stored skills stay.
     """
     spark = parsed.sparkSession
-    fanned = fan_out(parsed)
+    use_checkpoint_dir(spark)
+    fanned = fan_out(parsed).checkpoint()  # parsed once for the four tables it is written to
     for table in FAN_OUT_TABLES:
         entries = entries_of(fanned, table).drop("candidate_id", "seq")
         if table == "skills":

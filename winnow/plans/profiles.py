@@ -336,24 +336,45 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- streaming --------------------------------------------------------------------------
-@query("stream_screen", screening_plans.SCREEN_SQL)
-def stream_screen(spark: SparkSession, folder: str) -> DataFrame:
-    """The batch screening, run as a stream over the documents as they lie in their folder."""
-    documents = src.load(spark, folder, "documents")
+def arriving_applications(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as they lie in their folder, each arriving as an application."""
     arriving = (
-        spark.readStream.schema(documents.schema)
+        spark.readStream.schema(src.SCHEMAS["documents"])
         .option("pathGlobFilter", "documents.parquet")
         .parquet(folder)
         .select("doc_id")
     )
     items = src.load(spark, folder, "benchmark").agg(F.count("*")).scalar()
-    applications = src.with_job(arriving, items).withColumn(
-        "submitted_at", F.timestamp_seconds(F.col("application_id") + F.lit(1_700_000_000))
-    )
-    routed = streaming.screen_stream(applications, src.resumes(spark, folder), src.jds(spark, folder))
-    place = f"{use_checkpoint_dir(spark).rstrip('/')}/screen-stream-{uuid.uuid4().hex}"
-    columns = screening_plans.screen_columns()
-    streaming.write_routed(routed.select(*columns), f"{place}/routed", f"{place}/state").awaitTermination()
-    return spark.read.parquet(f"{place}/routed").select(
-        "application_id", "resume_id", "jd_id", "n_required", "n_matched", "skill_match", "route"
+    at = F.timestamp_seconds(F.col("application_id") + F.lit(1_700_000_000))
+    return src.with_job(arriving, items).withColumn("submitted_at", at)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{use_checkpoint_dir(spark).rstrip('/')}/screen-{uuid.uuid4().hex}"
+
+
+@query("stream_screen", screening_plans.SCREEN_SQL)
+def stream_screen(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch screening, run as a stream."""
+    routed = streaming.screen_stream(
+        arriving_applications(spark, folder), src.resumes(spark, folder), src.jds(spark, folder)
     )
+    place = _new_folder(spark)
+    routed = routed.select(*screening_plans.screen_columns())
+    streaming.write_routed(routed, f"{place}/routed", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/routed").select(*routed.columns)
+
+
+@query("screen_arrivals", screening_plans.SCREEN_SQL)
+def screen_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch screening, batch by batch of what arrives."""
+    place = _new_folder(spark)
+    streaming.screen_arrivals(
+        arriving_applications(spark, folder),
+        src.resumes(spark, folder),
+        src.jds(spark, folder),
+        f"{place}/routed",
+        f"{place}/state",
+        ["application_id", "resume_id", "jd_id", "n_required", "n_matched", "skill_match", "route"],
+    ).awaitTermination()
+    return spark.read.parquet(f"{place}/routed").select(*screening_plans.screen_columns())

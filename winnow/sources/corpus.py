@@ -57,9 +57,10 @@ def filter_vendor_paths(files: DataFrame) -> DataFrame:
 
 
 def limit_projects(files: DataFrame, projects: int = fixed.MAX_PROJECTS) -> DataFrame:
-    """Files of the first projects by name. The kept names are at most `projects` rows."""
+    """Files of the first projects by name. Only project names are sorted, and at most
+    `projects` of them are met with the files."""
     kept = files.select("project").distinct().orderBy("project").limit(projects)
-    return files.join(F.broadcast(kept), "project", "left_semi")
+    return files.join(kept, "project", "left_semi")
 
 
 def _underscore_files(spark: SparkSession, base: str) -> DataFrame:

@@ -14,19 +14,57 @@ def read_applications(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(APPLICATION).parquet(path)
 
 
+def _once(applications: DataFrame, lateness: str) -> DataFrame:
+    """The only state is the ids of applications seen, dropped once the watermark has passed them."""
+    return applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(
+        ["application_id"]
+    )
+
+
 def screen_stream(
     applications: DataFrame, resumes: DataFrame, jds: DataFrame, lateness: str = "1 day"
 ) -> DataFrame:
-    """Routed rows for a stream of applications.
+    """Routed rows for a stream of applications, as a stream.
 
     Matching is the array form of the batch operator, so the joins against the
-    static tables keep no state. The only state is the ids of applications
-    seen, dropped once the watermark has passed them.
+    static tables keep no state. Every batch reads the static tables through;
+    where they are large, `screen_arrivals` reads less.
     """
-    once = applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(
-        ["application_id"]
+    return screening.route(skills.match_skills(_once(applications, lateness), resumes, jds))
+
+
+def screen_arrivals(
+    applications: DataFrame,
+    resumes: DataFrame,
+    jds: DataFrame,
+    path: str,
+    checkpoint: str,
+    columns: list[str] | None = None,
+    lateness: str = "1 day",
+) -> StreamingQuery:
+    """Screen what has arrived and write it to path/batch=…/route=…, then stop.
+
+    A batch names few resumes. They are picked by a semi-join first, which
+    Spark broadcasts by measured size, so the other resumes are neither
+    normalised nor shuffled. A repeated batch replaces its own folder.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        named = resumes.join(batch.select("resume_id").distinct(), "resume_id", "left_semi")
+        offered = jds.join(batch.select("jd_id").distinct(), "jd_id", "left_semi")
+        routed = screening.route(skills.match_skills(batch, named, offered))
+        routed = routed.select(*columns) if columns else routed
+        routed.write.mode("overwrite").partitionBy("route").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return (
+        _once(applications, lateness)
+        .writeStream.foreachBatch(put)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
-    return screening.route(skills.match_skills(once, resumes, jds))
 
 
 def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
