@@ -88,7 +88,8 @@ def test_search_equals_brute_force(spark):
     }
     skills = {word() for _ in range(40)} | {f"{word()} {word()}" for _ in range(10)}
     corpus_rows = spark.createDataFrame([(*k, v) for k, v in texts.items()], corpus.CORPUS)
-    got = code.first_hit_per_file(corpus_rows, asked(spark, *skills)).collect()
+    wanted = asked(spark, *skills)
+    got = code.first_hit_per_file(corpus_rows, wanted).collect()
     want = set()
     for skill in skills:
         terms = [w.lower() for w in skill.split() if len(w) > 2]
@@ -98,6 +99,13 @@ def test_search_equals_brute_force(spark):
                     want.add((skill, project, path, number))
                     break
     assert {(r["skill"], r["project"], r["path"], r["line_no"]) for r in got} == want
+    found = code.matching_files(corpus_rows, wanted).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == {hit[:3] for hit in want}
+    columns = ["skill", "project", "path", "kind", "ext_rank", "line_no", "rank", "snippet"]
+    for whole_word in (False, True):
+        best = code.best_hits(corpus_rows, wanted, 2, whole_word).select(*columns).collect()
+        cut = code.top_hits(code.search_code(corpus_rows, wanted, whole_word), 2)
+        assert best and sorted(best) == sorted(code.with_snippets(cut, corpus_rows).select(*columns).collect())
 
 
 def test_corpus_scan(spark, tmp_path):

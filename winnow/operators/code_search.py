@@ -6,10 +6,13 @@ exactly if one of the line's space-delimited words holds it, so the substring
 test runs once per distinct word of the corpus instead of once per line:
 
     words of files --distinct--> vocabulary --trigram--> (term, word) pairs
-    words of files --equality with the pairs' word--> (term, file, first line)
+    words of files --equality with the pairs' word--> (term, file)
 
 A term always has a trigram, and its rarest one is compared, so the
 substring test too is reached by equality; nothing is joined all to all.
+
+`best_hits` finds files first, ranks them, and looks for lines only in the few
+that are reported. `search_code` gives the line of every hit there is.
 """
 
 from __future__ import annotations
@@ -43,12 +46,9 @@ def word_positions(files: DataFrame) -> DataFrame:
     )
 
 
-def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, word) for every word that contains the term."""
+def words_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, word) for every word of a distinct vocabulary that contains the term."""
     wanted = terms.select("term").distinct()
-    # Every line_no is positive. Asking for it keeps the column, so that this use of
-    # `words` is the same plan as the caller's and Spark shuffles the corpus once.
-    vocabulary = words.filter(F.col("line_no") > 0).select("word").distinct()
 
     def trigrams(of: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(F.col(of), F.lit(_TRIGRAM), F.lit(1)))
@@ -73,21 +73,38 @@ def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def whole_word_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """Like words_with_terms, but the term must be a whole word."""
-    pairs = words_with_terms(words, terms)
-    return pairs.filter(t.contains_word(F.col("word"), F.col("term")))
+def skill_words(vocabulary: DataFrame, skills: DataFrame, whole_word: bool) -> DataFrame:
+    """(skill, word) for every word that has one of the skill's terms, as a part or as a whole word."""
+    terms = query_terms(skills)
+    pairs = words_with_terms(vocabulary, terms)
+    if whole_word:
+        pairs = pairs.filter(t.contains_word(F.col("word"), F.col("term")))
+    pairs = pairs.join(terms, "term").select("skill", "word").distinct()
+    return for_skewed_join(pairs, "word")  # some words stand in every file (import, return)
+
+
+def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(skill, project, path) of the files with any of the skill's terms.
+
+    A file is one row, so its distinct words are taken in the row and are
+    shuffled at most once, to meet the pairs.
+    """
+    distinct = F.array_distinct(F.split(F.lower("content"), t.SPACE + "+"))
+    words = files.select(*FILE, F.explode(distinct).alias("word")).filter(
+        F.length("word") >= fixed.MIN_TERM_CHARS
+    )
+    pairs = skill_words(words.select("word").distinct(), skills, whole_word)
+    return words.join(pairs, "word").select("skill", *FILE).distinct()
 
 
 def first_hit_per_file(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(skill, project, path, line_no): the first line with any of the skill's terms."""
-    terms = query_terms(skills)
+    """(skill, project, path, line_no): the first line with any of the skill's terms, for every hit."""
     words = word_positions(files)
-    pairs = (whole_word_terms if whole_word else words_with_terms)(words, terms)
-    pairs = pairs.join(terms, "term").select("skill", "word").distinct()
-    # Some words stand in every file (import, return).
+    # Every line_no is positive. Asking for it keeps the column, so that this use of
+    # `words` is the same plan as the other and Spark shuffles the corpus once.
+    vocabulary = words.filter(F.col("line_no") > 0).select("word").distinct()
     return (
-        words.join(for_skewed_join(pairs, "word"), "word")
+        words.join(skill_words(vocabulary, skills, whole_word), "word")
         .groupBy("skill", *FILE)
         .agg(F.min("line_no").alias("line_no"))
     )
@@ -97,23 +114,24 @@ def is_readme(path: Column) -> Column:
     return path == fixed.README_NAME
 
 
+def _kinds() -> list[Column]:
+    """`kind` puts READMEs before code, `ext_rank` the extensions among themselves."""
+    readme = is_readme(F.col("path"))
+    ranks = F.array(*[F.lit(e) for e in fixed.CODE_EXTENSIONS])
+    place = F.array_position(ranks, F.substring_index("path", ".", -1)).cast("int")
+    return [
+        F.when(readme, "readme").otherwise("code").alias("kind"),
+        F.when(readme, 0).otherwise(place).alias("ext_rank"),
+    ]
+
+
 def search_code(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
     """One row per (skill, file): READMEs that hold a term, and code files with their first hit line.
 
-    `kind` orders READMEs before code and `ext_rank` the extensions among
-    themselves. A README counts as a whole, so it has no line.
+    A README counts as a whole, so it has no line.
     """
-    hits = first_hit_per_file(files, skills, whole_word)
-    readme = is_readme(F.col("path"))
-    ending = F.substring_index("path", ".", -1)
-    ranks = F.array(*[F.lit(e) for e in fixed.CODE_EXTENSIONS])
-    return hits.select(
-        "skill",
-        *FILE,
-        F.when(readme, "readme").otherwise("code").alias("kind"),
-        F.when(readme, 0).otherwise(F.array_position(ranks, ending).cast("int")).alias("ext_rank"),
-        F.when(~readme, F.col("line_no")).alias("line_no"),
-    )
+    line = F.when(~is_readme(F.col("path")), F.col("line_no")).alias("line_no")
+    return first_hit_per_file(files, skills, whole_word).select("skill", *FILE, *_kinds(), line)
 
 
 def top_hits(hits: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL) -> DataFrame:
@@ -127,6 +145,42 @@ def top_hits(hits: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL) -> Data
     return ranked.filter(F.col("rank") <= per_skill)
 
 
+def top_files(
+    files: DataFrame, skills: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL, whole_word: bool = False
+) -> DataFrame:
+    """top_hits without their lines: (skill, project, path, kind, ext_rank, rank)."""
+    hits = matching_files(files, skills, whole_word)
+    return top_hits(hits.select("skill", *FILE, *_kinds()), per_skill)
+
+
+def best_hits(
+    files: DataFrame, skills: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL, whole_word: bool = False
+) -> DataFrame:
+    """The first hits of each skill with line_no and snippet.
+
+    The contents are met only by the ranked hits, and only of a file that was
+    hit are the lines looked through.
+    """
+    best = top_files(files, skills, per_skill, whole_word)
+
+    def has_term(line: Column) -> Column:
+        def within(term: Column) -> Column:
+            return t.contains_word(line, term) if whole_word else F.contains(line, term)
+
+        return F.exists(t.query_terms(F.col("skill")), within)
+
+    code_lines = F.when(F.col("kind") != "readme", t.lines_of(F.col("content")))
+    first = F.array_position(F.transform("_lines", lambda line: has_term(F.lower(line))), True)
+    return (
+        files.select(*FILE, "content")
+        .join(best, FILE)
+        .withColumn("_lines", code_lines)
+        .withColumn("line_no", first.cast("int"))
+        .withColumn("snippet", _shown())
+        .select(*best.columns, "line_no", "snippet")
+    )
+
+
 def snippet(lines: Column, line_no: Column) -> Column:
     """The hit line with up to 8 lines before and 7 after, clipped to the file."""
     start = F.greatest(line_no - fixed.SNIPPET_BEFORE, F.lit(1))
@@ -134,19 +188,21 @@ def snippet(lines: Column, line_no: Column) -> Column:
     return F.array_join(F.slice(lines, start, end - start + 1), "\n")
 
 
-def with_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the overview of a README or the window around a code hit.
-
-    Call it on hits already cut down. The files are met with them once, and
-    only the content of a file that was hit is cut into lines.
-    """
-    window = snippet(F.col("_lines"), F.col("line_no"))
+def _shown() -> Column:
+    """The overview of a README, or the window around the hit in _lines."""
     overview = t.cap(F.col("content"), fixed.README_OVERVIEW_CHARS)
+    window = snippet(F.col("_lines"), F.col("line_no"))
+    return F.when(F.col("kind") == "readme", overview).otherwise(window)
+
+
+def with_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Attach the overview of a README or the window around a code hit to hits already cut down."""
+    code_lines = F.when(F.col("kind") != "readme", t.lines_of(F.col("content")))
     return (
         files.select(*FILE, "content")
         .join(hits, FILE)
-        .withColumn("_lines", F.when(F.col("kind") != "readme", t.lines_of(F.col("content"))))
-        .withColumn("snippet", F.when(F.col("kind") == "readme", overview).otherwise(window))
+        .withColumn("_lines", code_lines)
+        .withColumn("snippet", _shown())
         .select(*hits.columns, "snippet")
     )
 
@@ -154,8 +210,9 @@ def with_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
 def readme_hits(files: DataFrame, skills: DataFrame) -> DataFrame:
     """(skill, project, overview) for READMEs that hold a term anywhere."""
     readmes = files.filter(is_readme(F.col("path")))
-    hits = search_code(readmes, skills)
-    return with_snippets(hits, readmes).select("skill", "project", F.col("snippet").alias("overview"))
+    overview = t.cap(F.col("content"), fixed.README_OVERVIEW_CHARS).alias("overview")
+    heads = readmes.select(*FILE, overview)
+    return heads.join(matching_files(readmes, skills), FILE).select("skill", "project", "overview")
 
 
 def search_status(files: DataFrame, skills: DataFrame, hits: DataFrame) -> DataFrame:
@@ -185,9 +242,7 @@ def proof_skills(jds: DataFrame, per_jd: int = fixed.MAX_PROOF_SKILLS) -> DataFr
 def code_proofs(jds: DataFrame, files: DataFrame) -> DataFrame:
     """Search results for the first required skills of each JD; skills without hits drop out."""
     asked = proof_skills(jds)
-    best = top_hits(search_code(files, asked))
-    proofs = with_snippets(best, files)
-    return asked.join(proofs, "skill").select(
+    return asked.join(best_hits(files, asked), "skill").select(
         "jd_id",
         "pos",
         F.col("skill").alias("requirement"),
@@ -206,6 +261,6 @@ def proof_counts(jds: DataFrame, files: DataFrame) -> DataFrame:
     Counting needs no snippets, so no content is fetched here.
     """
     asked = proof_skills(jds)
-    best = top_hits(search_code(files, asked))
-    counted = asked.join(for_skewed_join(best, "skill"), "skill").groupBy("jd_id").agg(F.count("*").alias("n_proofs"))
+    best = for_skewed_join(top_files(files, asked).select("skill"), "skill")
+    counted = asked.join(best, "skill").groupBy("jd_id").agg(F.count("*").alias("n_proofs"))
     return jds.select("jd_id").join(counted, "jd_id", "left").fillna(0, ["n_proofs"])

@@ -96,8 +96,8 @@ def whole_word_search(spark: SparkSession, folder: str) -> DataFrame:
       CAST(rank AS INTEGER) AS rank FROM top""",
 )
 def top_hits(spark: SparkSession, folder: str) -> DataFrame:
-    hits = code.search_code(files(spark, folder), asked(spark, folder))
-    return code.top_hits(hits).select("skill", "project", "path", "kind", "line_no", "rank")
+    best = code.best_hits(files(spark, folder), asked(spark, folder))
+    return best.select("skill", "project", "path", "kind", "line_no", "rank")
 
 
 @query(
@@ -105,9 +105,8 @@ def top_hits(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {FILES} SELECT skill, project, path, CAST(line_no AS INTEGER) AS line_no, snippet FROM shown",
 )
 def first_hit_snippet(spark: SparkSession, folder: str) -> DataFrame:
-    corpus_files = files(spark, folder)
-    best = code.top_hits(code.search_code(corpus_files, asked(spark, folder)))
-    return code.with_snippets(best, corpus_files).select("skill", "project", "path", "line_no", "snippet")
+    best = code.best_hits(files(spark, folder), asked(spark, folder))
+    return best.select("skill", "project", "path", "line_no", "snippet")
 
 
 @query(
@@ -142,7 +141,7 @@ def search_status(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[^ .,\\n]+"), F.lit(0))
     skills = src.load(spark, folder, "benchmark").select(F.explode(words).alias("skill"))
     corpus_files = files(spark, folder)
-    return code.search_status(corpus_files, skills, code.first_hit_per_file(corpus_files, skills))
+    return code.search_status(corpus_files, skills, code.matching_files(corpus_files, skills))
 
 
 @query(
