@@ -7,13 +7,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from winnow.session import local_session  # noqa: E402
+from winnow.session import local_session, use_checkpoint_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(4, 4, **{"spark.driver.memory": "4g"})
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
+    use_checkpoint_dir(session)
     yield session
     session.stop()
 

@@ -114,17 +114,23 @@ def test_corpus_scan(spark, tmp_path):
         "p1/a.py": b"bad \xff byte\r\nnext", "p1/sub/deep/b.swift": b"s", "p1/build/c.py": b"vendor",
         "p1/.venv/d.py": b"vendor", "p1/node_modules/x/e.js": b"vendor", "p1/__init__.py": b"init",
         "p1/_priv/f.py": b"under", "p1/g.txt": b"other", "p 2/h.ts": b"spaced", "top.py": b"in no project",
-        "p1/.hidden.py": b"hidden", "p1/n+1%.ipynb": b"{}",
+        "p1/.hidden.py": b"hidden", "p1/n+1%.ipynb": b"{}", "_p3/README.md": b"own", "_p3/i.py": b"i",
+        f"p1{tmp_path}/j.py": b"the root's path once more",
     }
     for name, content in made.items():
         place = tmp_path / name
         place.parent.mkdir(parents=True, exist_ok=True)
         place.write_bytes(content)
-    got = {(r["project"], r["path"]): r["content"] for r in corpus.read_code_corpus(spark, str(tmp_path)).collect()}
+    def scan(root):
+        return {(r["project"], r["path"]): r["content"] for r in corpus.read_code_corpus(spark, root).collect()}
+
+    got = scan(str(tmp_path))
+    assert got == scan(f"file:{tmp_path}/") == scan(f"file://{tmp_path}")
     assert got == {
         ("p1", "README.md"): "read me", ("p1", "a.py"): "bad  byte\r\nnext", ("p1", "sub/deep/b.swift"): "s",
         ("p1", "__init__.py"): "init", ("p1", "_priv/f.py"): "under", ("p 2", "h.ts"): "spaced",
-        ("p1", "n+1%.ipynb"): "{}",
+        ("p1", "n+1%.ipynb"): "{}", ("_p3", "README.md"): "own", ("_p3", "i.py"): "i",
+        ("p1", f"{str(tmp_path)[1:]}/j.py"): "the root's path once more",
     }
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from winnow import schemas
 from winnow.operators import conform, profiles, prompts, vectors
 from winnow.operators.grouping import numbered
+from winnow.session import use_checkpoint_dir
 from winnow.sources import documents, profiles as store, templates
 from winnow.streaming import screening as streaming
 
@@ -38,6 +39,14 @@ def test_append_and_overwrite(spark, tmp_path):
     assert store.read_profile(spark, root, "skills").count() == 1
 
 
+def test_the_named_checkpoint_folder_is_used(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = use_checkpoint_dir(spark)
+    assert folder == (named or spark.sparkContext.getCheckpointDir())
+    assert folder.removeprefix("file:") in spark.sparkContext.getCheckpointDir()
+    assert use_checkpoint_dir(spark) == folder
+
+
 def parsed(spark):
     row = (
         1, ["r"], [("cat", ["a", "b"])], [("p", ["x"], "d")],

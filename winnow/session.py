@@ -33,7 +33,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named:
-        if not current or not current.rstrip("/").startswith(named.rstrip("/")):
+        if not current or named.rstrip("/") not in current:
             context.setCheckpointDir(named)
         return named
     if current:

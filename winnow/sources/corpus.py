@@ -27,13 +27,15 @@ def read_code_corpus(spark: SparkSession, root: str) -> DataFrame:
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
         .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     )
-    base = os.path.abspath(unquote(root.removeprefix("file:"))).rstrip("/") + "/"
-    relative = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
-    files = files.select(
-        F.substring_index(relative, base, -1).alias("relative"),
+    mounted = root.startswith(("/", "file:")) or ":" not in root
+    base = os.path.abspath("/" + unquote(root[5:]).lstrip("/") if root.startswith("file:") else root) if mounted else root
+    base = base.rstrip("/") + "/"
+    place = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
+    files = files.withColumn("place", place).select(
+        F.substr("place", F.instr("place", F.lit(base)) + len(base)).alias("relative"),
         F.replace(F.make_valid_utf8("content"), F.lit("�"), F.lit("")).alias("content"),
     )
-    if os.path.isdir(base):
+    if mounted:
         files = files.unionByName(_underscore_files(spark, base))
     corpus = files.select(
         F.substring_index("relative", "/", 1).alias("project"),
@@ -78,7 +80,7 @@ def _underscore_files(spark: SparkSession, base: str) -> DataFrame:
                     found = [
                         os.path.join(inside, name)
                         for name in names
-                        if name.endswith(endings) and (under or name.startswith("_"))
+                        if (name.endswith(endings) or name == fixed.README_NAME) and (under or name.startswith("_"))
                     ]
                     if found:
                         yield pd.DataFrame({"relative": found})
