@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from winnow.llm import mixing, quality_classifier, quality_rules, sharding, warc
+from winnow.llm import embedding_dedup, kneser_ney, licenses, mixing, order_minhash, packing, quality_classifier, quality_rules, sharding, warc
 from winnow.llm.common import WORD, remainder_of_crc, shared_folder, stored
 from winnow.plans.registry import Query
 
@@ -38,6 +39,12 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     keyed = stored(mixing.with_keys(read(spark, folder, "documents")).drop("row"), "mix-keys")
@@ -47,6 +54,43 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    rest = remainder_of_crc(F.col("doc_id"), 7)
+    model = kneser_ney.train(docs, rest != 2)
+    return kneser_ney.score(docs, model).select(
+        "row.doc_id",
+        (remainder_of_crc(F.col("row.doc_id"), 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
+@query("op5_order_minhash")
+def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: a source is a tree of directories, every 25th document a licence file."""
+    number = F.col("doc_id")
+    name = F.when(F.pmod(number, F.lit(25)) == 0, "LICENSE").otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    level = [F.floor(number / 1000), F.pmod(F.floor(number / 100), F.lit(10))]
+    path = F.concat_ws("/", "source", *[x.cast("string") for x in level], name)
+    files = read(spark, folder, "documents").select(number.alias("id"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_embedding_dedup")
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, folder, "embeddings"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_rows(read(spark, folder, "documents"), SHARDS)
