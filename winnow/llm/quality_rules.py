@@ -144,8 +144,11 @@ def judge(
     cascade = F.when(F.col("base_failed"), "base")
     for name in order:
         cascade = cascade.when(rules[name](), name)
-    judged = with_facts(docs, text).withColumn("failed_rule", cascade)
-    return judged.withColumn("kept", F.col("failed_rule").isNull())
+    # Spark would work the facts out again, inside their own array functions, for
+    # a filter that it moves below them; it moves none past a row's number.
+    judged = with_facts(docs, text).withColumn("_here", F.monotonically_increasing_id())
+    judged = judged.withColumn("failed_rule", cascade)
+    return judged.withColumn("kept", F.col("failed_rule").isNull() & (F.col("_here") >= 0))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
