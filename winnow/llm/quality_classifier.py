@@ -10,14 +10,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from winnow.llm.common import text_or_empty
+from winnow.llm.common import stored, text_or_empty
 
 # Weights: 2 ** BITS doubles, 2 MB; the bound of what is sent to every task.
 BITS = 18
-# Labelled documents that the model is fitted on, about, and tasks that share them.
+# Labelled documents that the model is fitted on, about; how many of them one
+# task learns from; and examples that it sees at least, over several epochs.
 TRAINING_ROWS = 24_000
-SHARDS = 4
-EPOCHS = 3
+SHARD_ROWS = 6_000
+LEAST_EXAMPLES, LEAST_EPOCHS = 12_000, 2
 ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.2, 1.0
 THRESHOLD = 0.3
 
@@ -109,6 +110,8 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 0,
     `labels` has (doc_id, quality). Rows without an id or label don't count,
     nor do ids whose labels disagree. Which rows are drawn, and in which order
     they are learnt, follows from doc_id, not from how the table is laid out.
+    An id that several documents have counts once, with the least of their texts.
+    `most` bounds what is sent to every task to pick them: ids and labels.
     """
     agreed = (
         labels.filter("quality is not null and doc_id is not null")
@@ -122,21 +125,25 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 0,
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
     drawn = agreed.withColumn("order", place).filter(F.col("order") < share)
     texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    return texts.join(drawn, "doc_id").select("order", "text", F.col("label").cast("double").alias("label"))
+    drawn = texts.join(F.broadcast(drawn), "doc_id").groupBy("order").agg(
+        F.min("text").alias("text"), F.first("label").cast("double").alias("label")
+    )
+    return stored(drawn, "training")
 
 
-def fit(training: DataFrame, shards: int = SHARDS, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """The weights, averaged over models that `shards` tasks learn from a share of the rows each.
+def fit(training: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The weights, averaged over models that tasks learn from about SHARD_ROWS rows each.
 
     Without rows all weights are 0, and every score is 0.5. Only the weights
     that aren't 0 reach the driver: 16 bytes times 2 ** bits per shard at most.
     """
+    shards = max(1, round(training.count() / SHARD_ROWS))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         hashes, leader = WordHashes(), Leader(bits)
         rows = rows.sort_values(["order", "text"])
         examples = [(*features(text, hashes, bits), label) for text, label in zip(rows["text"], rows["label"], strict=True)]
-        for _ in range(epochs):
+        for _ in range(max(LEAST_EPOCHS, -(-LEAST_EXAMPLES // len(examples)))):
             for at, values, label in examples:
                 leader.learn(at, values, label)
         weights = leader.weights()
