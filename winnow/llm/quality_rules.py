@@ -20,7 +20,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: F.col("n_symbols") * 10 > F.col("n_words"),
     "long_words": lambda: F.col("word_chars") > F.col("n_words") * 20,
     "short_words": lambda: F.col("word_chars") < F.col("n_words") * 2,
-    "repeated_lines": lambda: F.col("n_dup_lines") * 10 > F.col("n_lines") * 3,
+    "repeated_lines": lambda: F.col("n_dup_lines") * 2 > F.col("n_lines"),
     "cut_lines": lambda: F.regexp_count(F.col("_text"), F.lit("(?:\\.\\.\\.|\\x{2026})(?=\\n|\\z)")) * 10
     > F.col("n_lines") * 3,
     "few_letters": lambda: F.regexp_count(F.col("_text"), F.lit("\\p{L}")) * 10 < F.col("word_chars") * 6,

@@ -29,7 +29,26 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-@query("op1_warc")
+_OP1_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, unhex(sha1(html))::BIT::VARCHAR AS bits FROM p
+), f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS first_id FROM d
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+      + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first_id THEN first_id END AS refers_to,
+  true AS verified
+FROM f
+"""
+
+
+@query("op1_warc", _OP1_SQL)
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = shared_folder(spark, "warc")
     archives = stored(warc.write_archives(read(spark, folder, "pages"), place), "warc-list")
@@ -86,7 +105,29 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("id", "doc_id")
 
 
-@query("op7_embedding_dedup")
+_OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counts USING (vec_id)
+"""
+
+
+@query("op7_embedding_dedup", _OP7_SQL)
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, folder, "embeddings"))
 
@@ -134,7 +175,7 @@ WITH t AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 10 > n_words OR word_chars > n_words * 20 OR word_chars < n_words * 2
-    OR n_dup_lines * 10 > n_lines * 3
+    OR n_dup_lines * 2 > n_lines
     OR len(regexp_extract_all(text || chr(10), '(?:\.\.\.|\x{{2026}})\n')) * 10 > n_lines * 3
     OR len(regexp_extract_all(text, '\p{{L}}')) * 10 < word_chars * 6
     OR len(regexp_extract_all(text, '\p{{Lu}}')) * 10 > word_chars * 6) AS kept
