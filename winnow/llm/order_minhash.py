@@ -7,7 +7,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -25,9 +24,9 @@ SKETCHES, KEPT = 16, 2
 BINS = 128
 WORDS_KEPT = 400_000
 # Members of a bucket that one task compares among themselves.
-TOGETHER = 1024
+TOGETHER = 512
 
-_TEXTS = "place long, doc_id long, key binary, n int, sketches array<long>, bins binary, words binary"
+_TEXTS = "place long, doc_id long, key binary, n int, sketches array<long>, words binary"
 _RANDOM = np.random.RandomState(20240229)
 _XOR = _RANDOM.randint(0, 1 << 62, SKETCHES).astype(np.uint64)
 _ODD = _RANDOM.randint(0, 1 << 62, SKETCHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,9 +46,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Texts that share a sketch are compared with one of their bucket, the one
     that shares most buckets. Only where texts of a bucket aren't one class by
-    then are the others compared, those of different classes, screened by a
-    finer summary in blocks of bounded size. No group meets in one task and no
-    pair within a class is made.
+    then are the others compared: those of different classes, in blocks of
+    bounded size, in the first bucket that a pair shares, screened by a finer
+    summary. Such tasks give the links they find, not pairs.
     """
     found = _with_leaders(docs, similarity)
     kept = (F.col("place") == F.col("leader.place")).alias("kept")
@@ -63,16 +62,12 @@ def _with_leaders(docs: DataFrame, similarity: float) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("first")
     distinct = stored(texts.groupBy("key").agg(F.min("place").alias("node"), first), "near-distinct")
     alone = distinct.select(F.col("node").alias("place"))
-    members = stored(_shared_buckets(texts.join(alone, "place", "left_semi")), "near-buckets")
-    summaries = texts.select(F.col("place").alias("node"), "n", "bins", "words")
+    members = stored(_with_centres(_shared_buckets(texts.join(alone, "place", "left_semi"))), "near-buckets")
+    nodes = texts.select(F.col("place").alias("node"), "sketches", "words")
 
-    central = stored(_central_pairs(members, similarity), "near-pairs")
-    links = stored(aligned(central, summaries, similarity), "near-links")
-    labels = components(links)
-    rest = _open_pairs(members, labels, summaries.drop("words"), similarity)
-    rest = stored(rest.distinct().join(central, ["a", "b"], "left_anti"), "near-rest")
-    links = links.unionByName(aligned(rest, summaries, similarity))
-    labels = components(links)
+    links = stored(aligned(_central_pairs(members, similarity), nodes, similarity), "near-links")
+    rest = stored(_other_links(members, components(links), nodes, similarity), "near-rest")
+    labels = components(links.unionByName(rest))
 
     nodes = distinct.join(labels, "node", "left").select(
         "key", "first", F.coalesce("component", "node").alias("label")
@@ -154,23 +149,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketches_of(shingles: np.ndarray) -> list[int]:
-    """For each of several hashes, the least shingles, in text order, as one number."""
-    out = []
-    for k in range(SKETCHES):
-        x = (shingles ^ _XOR[k]) * _ODD[k]
-        least = []
-        for _ in range(min(KEPT, len(x))):
-            least.append(int(x.argmin()))
-            x[least[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        value = k + 1
-        for place in sorted(least):
-            value = (value * 0x9E3779B97F4A7C15 + int(shingles[place])) % (1 << 64)
-        out.append(value - (1 << 63))
-    return out
+def sketches_of(shingles: np.ndarray) -> np.ndarray:
+    """For each of several hashes, the least shingles, in text order, as one number; none of no shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    together = SKETCHES if len(shingles) < 20_000 else 1  # so that long texts take little memory
+    return np.concatenate([_sketches(shingles, slice(k, k + together)) for k in range(0, SKETCHES, together)])
+
+
+def _sketches(shingles: np.ndarray, which: slice) -> np.ndarray:
+    x = (shingles ^ _XOR[which, None]) * _ODD[which, None]
+    rows, least = np.arange(len(x)), []
+    for _ in range(min(KEPT, len(shingles))):
+        least.append(x.argmin(1))
+        x[rows, least[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    value = np.arange(SKETCHES, dtype=np.uint64)[which]
+    for places in np.sort(np.array(least), axis=0):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + shingles[places]
+    return value.view(np.int64)
 
 
-def _bins_of(shingles: np.ndarray) -> bytes:
+def _bins_of(shingles: np.ndarray) -> np.ndarray:
     """In each bin of hashes the least, as 16 bits; 65535 where none falls."""
     x = _mixed(shingles + np.uint64(77))
     order = np.argsort(x)
@@ -180,13 +179,13 @@ def _bins_of(shingles: np.ndarray) -> bytes:
     out = np.full(BINS, 0xFFFF, np.uint16)
     # Bits below those that choose the bin, and not the high ones that the least hash has in common.
     out[which[first]] = np.minimum(_mixed(x[first]) >> np.uint64(48), np.uint64(0xFFFE)).astype(np.uint16)
-    return out.tobytes()
+    return out
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     place = TaskContext.get().partitionId() << 33
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
     names = [f.split()[0] for f in _TEXTS.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
@@ -199,10 +198,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
             shingles = labelled_shingles(hashes)
             key = hashlib.md5(b" ".join(words)).digest()
-            few = len(shingles) == 0
-            rows.append(
-                (place, doc_id, key, len(shingles), [] if few else sketches_of(shingles), b"" if few else _bins_of(shingles), hashes.tobytes())
-            )
+            rows.append((place, doc_id, key, len(shingles), sketches_of(shingles), hashes.tobytes()))
             place += 1
             if len(rows) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -212,76 +208,136 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_buckets(texts: DataFrame) -> DataFrame:
-    """(bucket, node, n, size): texts by sketch, for sketches that several share."""
+    """(bucket, band, node, n, size): texts by sketch, for sketches that several share."""
     each = texts.select(F.col("place").alias("node"), "n", F.posexplode("sketches").alias("band", "sketch"))
-    each = each.select("node", "n", F.xxhash64("band", "sketch").alias("bucket"))
+    each = each.select("node", "n", "band", F.xxhash64("band", "sketch").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     return each.join(for_skewed_join(sizes, "bucket"), "bucket")
 
 
-def _alike_in_length(a: str, b: str, similarity: float):
-    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+def _with_centres(members: DataFrame) -> DataFrame:
+    """Add `centre` and `centre_n`: the member of the bucket that shares most buckets with others."""
+    members = stored(members, "near-members")
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n"))
+    centres = members.join(weights, "node").groupBy("bucket").agg(best.alias("c"))
+    centres = centres.select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n"))
+    return members.join(for_skewed_join(centres, "bucket"), "bucket")
 
 
 def _central_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each text with the one of its bucket that shares most buckets with others."""
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weights, "node")
-    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n"))
-    centres = weighed.groupBy("bucket").agg(best.alias("c")).select(
-        "bucket", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n")
-    )
-    met = members.join(for_skewed_join(centres, "bucket"), "bucket").filter("node != centre")
-    met = met.filter(_alike_in_length("n", "centre_n", similarity))
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    """(a, b): each text with the centres of its buckets, where lengths allow for the similarity."""
+    alike = F.least("n", "centre_n") >= F.greatest("n", "centre_n") * similarity - 1e-9
+    ends = F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
+    return members.filter(alike & F.expr("node != centre")).select(*ends).distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, summaries: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different classes that share a bucket and pass the screen."""
-    now = members.join(labels, "node", "left").select(
-        "bucket", "node", "size", F.coalesce("component", "node").alias("label")
+def _other_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between different classes that share a bucket, centres left out."""
+    # A bucket of two is its centre and the other.
+    now = members.filter("size > 2").join(labels, "node", "left").select(
+        "bucket", "band", "node", "size", "centre", F.coalesce("component", "node").alias("label")
     )
     now = stored(now, "near-open")
     ends = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    now = now.join(for_skewed_join(ends.select("bucket"), "bucket"), "bucket").join(summaries, "node")
+    now = now.join(for_skewed_join(ends.select("bucket"), "bucket"), "bucket")
     # A bucket larger than a block is compared block by block.
-    blocks = F.ceil(F.col("size") / TOGETHER).cast("int")
-    now = now.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    now = now.withColumn("blocks", F.ceil(F.col("size") / TOGETHER).cast("int"))
+    now = now.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    now = now.select(
-        "bucket", "node", "label", "n", "bins", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    group = [F.col("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    now = now.select(*group, "band", "node", "label", "centre", "block").join(nodes, "node")
+    now = now.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ("bucket", "i", "j")):
+            found = _links_in(table, similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return now.mapInArrow(compare, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key in turn, of batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = [batch.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.logical_or.reduce([np.diff(v, prepend=v[:1]) != 0 for v in values]))
+        for start, end in zip([0, *starts], [*starts, len(batch)], strict=True):
+            key = tuple(v[start] for v in values) if start < end else last
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links_in(table: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels, one for labels that the block itself joins."""
+    node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+    if (label == label[0]).all():
+        return []
+    i, j, band, centre = (table.column(c)[0].as_py() for c in ("i", "j", "band", "centre"))
+    words = [np.frombuffer(w.as_buffer(), np.uint16) for w in table.column("words").combine_chunks()]
+    n = np.array([len(w) - SHINGLE + 1 for w in words])
+    sketches = np.array(table.column("sketches").combine_chunks().values).reshape(len(node), -1)
+    shingles: dict[int, np.ndarray] = {}
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    def shingles_of(k: int) -> np.ndarray:
+        if k not in shingles:
+            shingles[k] = labelled_shingles(words[k])
+        return shingles[k]
+
+    left, right = (np.flatnonzero((block == x) & (node != centre)) for x in (i, j))
+    found = []
+    for part in np.array_split(left, max(1, len(left) // 64)):
+        open_ = label[part][:, None] != label[right][None, :]
+        least, most = np.minimum(n[part][:, None], n[right]), np.maximum(n[part][:, None], n[right])
+        open_ &= least >= most * similarity - 1e-9
+        if i == j:
+            open_ &= part[:, None] < right[None, :]
+        at, to = np.nonzero(open_)
+        at, to = part[at], right[to]
+        # A pair is compared in the first bucket that it shares.
+        first = (sketches[at] == sketches[to]).argmax(1) == band
+        at, to = at[first], to[first]
+        if len(at) > 50:
+            used = np.unique(np.concatenate([at, to]))
+            bins = np.zeros((len(node), BINS), np.uint16)
+            for k in used:
+                bins[k] = _bins_of(shingles_of(k))
+            good = np.concatenate(
+                [_may_be_alike(bins[at[k : k + 20_000]], bins[to[k : k + 20_000]], similarity) for k in range(0, len(at), 20_000)]
+            )
+            at, to = at[good], to[good]
+        for a, b in zip(at.tolist(), to.tolist(), strict=True):
+            x, y = root(label[a]), root(label[b])
+            if x != y and similarity_of(shingles_of(a), shingles_of(b), similarity) > 0:
+                joined[max(x, y)] = min(x, y)
+                found.append((node[a], node[b]))
+    return found
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether bins agree as often as in similar texts: four standard deviations below the mean of the least similar."""
+    used = ((x != 0xFFFF) | (y != 0xFFFF)).sum(1)
+    equal = ((x == y) & (x != 0xFFFF)).sum(1)
+    return equal >= similarity * used - 4 * np.sqrt(similarity * (1 - similarity) * used)
+
 
-    def screen(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
-        found = [_screened(left.iloc[k : k + 128], right, similarity) for k in range(0, max(len(left), 1), 128)]
-        return pd.concat(found).drop_duplicates()
-
-    return now.groupBy("bucket", "i", "j").applyInPandas(screen, "a long, b long")
-
-
-def _screened(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of different labels that may be similar: bins agree as often as chance allows for."""
-    a, b = (x["node"].to_numpy() for x in (left, right))
-    n, m = (x["n"].to_numpy() for x in (left, right))
-    open_ = left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
-    open_ &= np.minimum(n[:, None], m[None, :]) >= np.maximum(n[:, None], m[None, :]) * similarity - 1e-9
-    at, to = np.nonzero(open_)
-    bins_a, bins_b = (np.frombuffer(b"".join(x["bins"]), np.uint16).reshape(-1, BINS) for x in (left, right))
-    good = np.zeros(len(at), bool)
-    for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
-        x, y = bins_a[at[part]], bins_b[to[part]]
-        used = ((x != 0xFFFF) | (y != 0xFFFF)).sum(1)
-        equal = ((x == y) & (x != 0xFFFF)).sum(1)
-        # Four standard deviations below what texts of the least similarity show on average.
-        good[part] = equal >= similarity * used - 4 * np.sqrt(similarity * (1 - similarity) * used)
-    at, to = at[good], to[good]
-    return pd.DataFrame({"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to])})
-
-
-def aligned(pairs: DataFrame, summaries: DataFrame, similarity: float) -> DataFrame:
+def aligned(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs whose texts align to the similarity."""
-    words = summaries.select("node", "words")
+    words = nodes.select("node", "words")
     met = pairs.join(words.withColumnsRenamed({"node": "a", "words": "words_a"}), "a")
     met = met.join(words.withColumnsRenamed({"node": "b", "words": "words_b"}), "b")
 
