@@ -66,6 +66,8 @@ TEMPLATES = {
     "Proprietary": ("Copyright. All rights reserved.",),
 }
 LEAST = 0.75
+# Sentences that are read together; characters from which on the words near a mention are read by themselves.
+RUN, LONG = 8, 160
 LICENCE_FILES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 _CUE = re.compile(r"licen[cs]|copyright|permission is hereby|redistribut|all rights reserved|spdx|public domain|creative commons", re.I)
@@ -79,12 +81,21 @@ def terms_of(text: str) -> list[str]:
 
 
 def passages_of(text: str) -> list[str]:
-    """Sentences and lines that speak of a licence, each alone and together with those right after it."""
+    """What a text says around each mention of a licence.
+
+    Sentences and lines with a mention, each alone and together with those
+    right before it; and, where one runs on, the words near each mention.
+    """
     out, run = [], []
     for sentence in _BREAK.split(text) if _CUE.search(text) else ():
         if _CUE.search(sentence):
-            run.append(sentence)
+            run = [*run[-RUN + 1 :], sentence]
             out += [sentence] if len(run) == 1 else [sentence, " ".join(run)]
+            if len(sentence) > LONG:
+                for cue in _CUE.finditer(sentence):
+                    before = sentence[max(0, cue.start() - LONG) : cue.start()].split(" ")
+                    after = sentence[cue.start() : cue.end() + LONG].split(" ")
+                    out += [" ".join([*before[-b:], *after[:a]]) for b in (3, 8) for a in (5, 12)]
         elif sentence.strip():
             run = []
     return out
