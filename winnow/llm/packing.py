@@ -55,7 +55,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pieces = TokenBytes(tokenizer), []
+        ids_of, pieces = TokenBytes.of(tokenizer), []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 pieces += _pieces(doc_id, ids_of(text.as_py()), capacity, keep_ids)

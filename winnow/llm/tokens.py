@@ -1,62 +1,74 @@
-"""Token ids of texts, with the ids of text between white space remembered."""
+"""Token ids of texts, with the ids of words remembered."""
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
-import numpy as np
-
-# A word of letters that lower-case to one letter each, and marks that the word can't run into.
+# A word of letters that lower-case to one letter each, and marks that no word runs into.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)")
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f]")
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 class TokenBytes:
-    """Ids as little-endian unsigned 32-bit bytes, for tokenizers that lower-case and drop white space.
+    """Ids as little-endian unsigned 32-bit bytes, for tokenizers of words in lower case.
 
-    No token of such a tokenizer spans white space, so a text's ids are those of
-    the runs between; runs of a word and marks fall apart into these. Both are
-    remembered, up to `most` each.
+    It is for tokenizers that lower-case, drop white space, and part letters
+    from marks: no token then spans white space, nor a plain word and the marks
+    after it. The ids of what lies between white space are remembered, and
+    those of words and marks, up to `most` of each and `longest` bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 60):
+    _last: dict[str, TokenBytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> TokenBytes:
+        """The worker's own for this tokenizer; a worker keeps it from task to task."""
+        if path not in cls._last:
+            cls._last = {path: cls(path)}
+        return cls._last[path]
+
+    def __init__(self, path: str, most: int = 500_000, longest: int = 60):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
 
     def __call__(self, text: bytes) -> bytes:
         # bytes.split() parts at the six ASCII white-space bytes only.
         runs = text.split()
-        if len(self.runs) > self.most:
-            self.runs.clear()
         missing = set(runs).difference(self.runs)
         if missing:
+            if len(self.runs) > self.most:
+                self.runs.clear()
+                missing = set(runs)
             self._learn(missing)
-        long_ones = [r for r in missing if len(r) > self.longest]
         ids = b"".join(map(self.runs.__getitem__, runs))
-        for run in long_ones:
-            del self.runs[run]
+        for run in missing:
+            if len(run) > self.longest:
+                del self.runs[run]
         return ids
 
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) > self.most:
-            self.words.clear()
-        parts = {}
+            self.words = {"": b""}
+        words, pairs, odd = self.words, [], []
         for run in missing:
             text = run.decode("utf-8", "replace")
             plain = _PLAIN.fullmatch(text) if len(run) <= self.longest else None
-            parts[run] = (plain[1].lower(), plain[2]) if plain else (text,)
-        new = list({p for pair in parts.values() for p in pair if p}.difference(self.words))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        for run, pair in parts.items():
-            self.runs[run] = b"".join(self.words[p] for p in pair if p)
-        for word in new:
-            if len(word) > self.longest:
-                del self.words[word]
+            if plain:
+                pairs.append((run, plain[1].lower(), plain[2]))
+            else:
+                odd.append((run, text))
+        new = list({w for _, *pair in pairs for w in pair}.difference(words))
+        words.update(zip(new, self._encoded(new), strict=True))
+        for run, word, marks in pairs:
+            self.runs[run] = words[word] + words[marks]
+        self.runs.update(zip((run for run, _ in odd), self._encoded([text for _, text in odd]), strict=True))
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(f.ids)}I", *f.ids) for f in found]
