@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from winnow.functions import text as t
 from winnow.operators import code_search as code
 from winnow.sources import corpus
 
+from tests.test_skew import SMALL_DATA_ACTS_LARGE, settings
+
 LONG = "\n".join(f"line {i}" for i in range(1, 41)).replace("line 20", "line 20 Needle")
 
 
@@ -32,7 +35,7 @@ def asked(spark, *skills):
 
 
 def test_first_hit_and_window(spark, files):
-    hits = code.with_snippets(code.search_code(files, asked(spark, "Needle")), files)
+    hits = code.best_hits(files, asked(spark, "Needle"))
     got = {r["path"]: r for r in hits.collect()}
     assert got["a.py"]["line_no"] == 1 and got["a.py"]["snippet"] == "needle first\nneedle second\nlast"
     assert got["b.js"]["line_no"] == 20
@@ -68,14 +71,15 @@ def test_status(spark, files):
     assert {r["status"] for r in status} == {"no_corpus"}
 
 
-def test_only_the_first_four_skills_are_proven(spark, files):
+def test_all_skills_are_proven_unless_fewer_are_asked_for(spark, files):
     jds = spark.createDataFrame(
         [(1, ["a1", "b1", "c1", "d1", "needle"]), (2, ["needle", "qqq"])], "jd_id bigint, required_skills array<string>"
     )
-    proofs = code.code_proofs(jds, files).collect()
+    proofs = code.code_proofs(jds, files, 4).collect()
     assert {(r["jd_id"], r["requirement"]) for r in proofs} == {(2, "needle")} and len(proofs) == 3
-    counts = dict(map(tuple, code.proof_counts(jds, files).collect()))
-    assert counts == {1: 0, 2: 3}
+    assert dict(map(tuple, code.proof_counts(jds, files, 4).collect())) == {1: 0, 2: 3}
+    assert {(r["jd_id"], r["pos"]) for r in code.code_proofs(jds, files).collect()} == {(1, 4), (2, 0)}
+    assert dict(map(tuple, code.proof_counts(jds, files).collect())) == {1: 3, 2: 3}
 
 
 def test_search_equals_brute_force(spark):
@@ -101,11 +105,45 @@ def test_search_equals_brute_force(spark):
     assert {(r["skill"], r["project"], r["path"], r["line_no"]) for r in got} == want
     found = code.matching_files(corpus_rows, wanted).collect()
     assert len(found) == len(want) and {tuple(r) for r in found} == {hit[:3] for hit in want}
-    columns = ["skill", "project", "path", "kind", "ext_rank", "line_no", "rank", "snippet"]
+    columns = ["skill", "project", "path", "kind", "ext_rank", "line_no", "rank"]
     for whole_word in (False, True):
         best = code.best_hits(corpus_rows, wanted, 2, whole_word).select(*columns).collect()
         cut = code.top_hits(code.search_code(corpus_rows, wanted, whole_word), 2)
-        assert best and sorted(best) == sorted(code.with_snippets(cut, corpus_rows).select(*columns).collect())
+        assert best and sorted(best) == sorted(cut.select(*columns).collect())
+
+
+def test_long_words_equal_brute_force(spark):
+    random.seed(5)
+    words = ["".join(random.choices("abcdeé.-", k=random.choice([3, 200, 400, 1000]))) for _ in range(60)]
+    rows = [("p", f"f{i}.py", "\n".join([f"x{i}", w, w[:90]])) for i, w in enumerate(words)]
+    skills = {w[k : k + random.randint(3, 140)] for w in words for k in random.sample(range(max(1, len(w) - 2)), 2 if len(w) > 3 else 1)}
+    skills = {s for s in skills if len(s) > 2}
+    corpus_rows, wanted = spark.createDataFrame(rows, corpus.CORPUS), asked(spark, *skills)
+    for whole_word in (False, True):
+
+        def holds(line, term):
+            found = re.search(rf"\b{re.escape(term)}\b", line) if whole_word else term in line
+            return bool(found)
+
+        want = set()
+        for _, path, content in rows:
+            for term in skills:
+                line = next((n for n, x in enumerate(content.split("\n"), 1) if holds(x, term)), None)
+                want |= {(term, "p", path, line)} if line else set()
+        got = code.first_hit_per_file(corpus_rows, wanted, whole_word).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        assert {tuple(r) for r in code.matching_files(corpus_rows, wanted, whole_word).collect()} == {w[:3] for w in want}
+
+
+def test_a_megabyte_without_a_space(spark):
+    rows = spark.range(4).select(
+        F.lit("p").alias("project"),
+        F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".js")).alias("path"),
+        F.concat(F.repeat(F.lit("abcdefghij"), 100_000), F.lit("Needle"), F.col("id").cast("string")).alias("content"),
+    )
+    with settings(spark, SMALL_DATA_ACTS_LARGE):
+        got = code.best_hits(rows, asked(spark, "needle2", "jabc", "absent"), 9).collect()
+    assert sorted((r["skill"], r["path"]) for r in got) == [("jabc", f"f{i}.js") for i in range(4)] + [("needle2", "f2.js")]
 
 
 def test_corpus_scan(spark, tmp_path):

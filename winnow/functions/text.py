@@ -71,14 +71,15 @@ def parse_list(text: Column, separator: str) -> Column:
     return F.filter(F.transform(parts, strip), lambda item: item != "")
 
 
-def contains_word(text: Column, needle: Column) -> Column:
-    """Whole-word search for a literal needle.
+def contains_word(text: Column, needle: Column, cut: str = "") -> Column:
+    """Whole-word search for a literal needle; one next to a `cut` mark doesn't count.
 
     The plain substring test comes first: it is cheap and spares most rows the
     compilation of a pattern of their own.
     """
     literal = F.regexp_replace(needle, "([^\\p{L}\\p{N}_])", "\\\\$1")
-    pattern = F.concat(F.lit("(?U)\\b"), literal, F.lit("\\b"))
+    before, after = (f"(?<!{cut})", f"(?!{cut})") if cut else ("", "")
+    pattern = F.concat(F.lit(f"(?U){before}\\b"), literal, F.lit(f"\\b{after}"))
     return (needle != "") & F.contains(text, needle) & F.rlike(text, pattern)
 
 

@@ -9,7 +9,10 @@ test runs once per distinct word of the corpus instead of once per line:
     words of files --equality with the pairs' word--> (term, file)
 
 A term always has a trigram, and its rarest one is compared, so the
-substring test too is reached by equality; nothing is joined all to all.
+substring test too is reached by equality; nothing is joined all to all. A word
+longer than a window (an image cell, a minified file) takes part as overlapping
+windows that between them hold every term it holds, so no row grows with it.
+Files travel as 8-byte ids and get their names back by hit.
 
 `best_hits` finds files first, ranks them, and looks for lines only in the few
 that are reported. `search_code` gives the line of every hit there is.
@@ -25,6 +28,10 @@ from winnow.operators.grouping import for_skewed_join
 
 FILE = ["project", "path"]
 _TRIGRAM = "(?s)(?=(.{3}))"
+# Characters from one window of a long word to the next.
+_STEP = 128
+# Marks where a window is cut off from the rest of its word; no term holds it.
+_CUT = "\ua66e"
 
 
 def query_terms(skills: DataFrame) -> DataFrame:
@@ -34,14 +41,56 @@ def query_terms(skills: DataFrame) -> DataFrame:
     )
 
 
-def word_positions(files: DataFrame) -> DataFrame:
-    """(project, path, word, line_no): first line, from 1, of each distinct word of each file."""
-    lines = files.select(*FILE, F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line"))
+def longest_term(skills: DataFrame) -> Column:
+    """Characters of the longest term, as a subquery."""
+    longest = query_terms(skills).agg(F.coalesce(F.max(F.length("term")), F.lit(1)).alias("n"))
+    return longest.select("n").scalar()
+
+
+def _windows(words: Column, reach: Column) -> Column:
+    """Words, those longer than a window as overlapping windows.
+
+    An occurrence of a term with its neighbours left and right lies whole in
+    one of them. A lookahead takes a window and the match goes one step on, so
+    a long word is read through about once.
+    """
+    width = F.lit(_STEP + 1) + reach
+
+    def cut(word: Column) -> Column:
+        pattern = F.concat(F.lit("(?s)(?=(.{1,"), width.cast("string"), F.lit(f"}})).{{1,{_STEP}}}"))
+        mark = F.lit(_CUT)
+
+        def marked(window: Column, at: Column) -> Column:
+            ends = at * _STEP + F.length(window) >= F.length(word)
+            return F.concat(F.when(at > 0, mark).otherwise(""), window, F.when(ends, "").otherwise(mark))
+
+        return F.transform(F.regexp_extract_all(word, pattern, F.lit(1)), marked)
+
+    pieces = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > width, cut(w)).otherwise(F.array(w))))
+    return F.when(F.exists(words, lambda w: F.length(w) > width), F.array_distinct(pieces)).otherwise(words)
+
+
+def _with_ids(files: DataFrame, skills: DataFrame) -> DataFrame:
+    """Files with an 8-byte id and the length that windows must allow for."""
+    return files.withColumns({"file": F.xxhash64(*FILE), "_reach": longest_term(skills)})
+
+
+def _named(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits with project and path in place of the file's id."""
+    names = files.select(F.xxhash64(*FILE).alias("file"), *FILE).distinct()
+    return hits.join(names, "file").select("skill", *FILE, *[c for c in hits.columns if c not in ("skill", "file")])
+
+
+def word_positions(files: DataFrame, skills: DataFrame) -> DataFrame:
+    """(file, word, line_no): first line, from 1, of each distinct word or window of each file."""
+    lines = _with_ids(files, skills).select(
+        "file", "_reach", F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line")
+    )
     spaced = F.array_distinct(F.split("line", t.SPACE + "+"))
-    words = lines.select(*FILE, (F.col("at") + 1).alias("line_no"), F.explode(spaced).alias("word"))
+    words = lines.select("file", (F.col("at") + 1).alias("line_no"), F.explode(_windows(spaced, F.col("_reach"))).alias("word"))
     return (
         words.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
-        .groupBy(*FILE, "word")
+        .groupBy("file", "word")
         .agg(F.min("line_no").alias("line_no"))
     )
 
@@ -78,7 +127,7 @@ def skill_words(vocabulary: DataFrame, skills: DataFrame, whole_word: bool) -> D
     terms = query_terms(skills)
     pairs = words_with_terms(vocabulary, terms)
     if whole_word:
-        pairs = pairs.filter(t.contains_word(F.col("word"), F.col("term")))
+        pairs = pairs.filter(t.contains_word(F.col("word"), F.col("term"), _CUT))
     pairs = pairs.join(terms, "term").select("skill", "word").distinct()
     return for_skewed_join(pairs, "word")  # some words stand in every file (import, return)
 
@@ -90,24 +139,20 @@ def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False
     shuffled at most once, to meet the pairs.
     """
     distinct = F.array_distinct(F.split(F.lower("content"), t.SPACE + "+"))
-    words = files.select(*FILE, F.explode(distinct).alias("word")).filter(
-        F.length("word") >= fixed.MIN_TERM_CHARS
-    )
+    words = _with_ids(files, skills).select("file", F.explode(_windows(distinct, F.col("_reach"))).alias("word"))
+    words = words.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
     pairs = skill_words(words.select("word").distinct(), skills, whole_word)
-    return words.join(pairs, "word").select("skill", *FILE).distinct()
+    return _named(words.join(pairs, "word").select("skill", "file").distinct(), files)
 
 
 def first_hit_per_file(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
     """(skill, project, path, line_no): the first line with any of the skill's terms, for every hit."""
-    words = word_positions(files)
+    words = word_positions(files, skills)
     # Every line_no is positive. Asking for it keeps the column, so that this use of
     # `words` is the same plan as the other and Spark shuffles the corpus once.
     vocabulary = words.filter(F.col("line_no") > 0).select("word").distinct()
-    return (
-        words.join(skill_words(vocabulary, skills, whole_word), "word")
-        .groupBy("skill", *FILE)
-        .agg(F.min("line_no").alias("line_no"))
-    )
+    hits = words.join(skill_words(vocabulary, skills, whole_word), "word")
+    return _named(hits.groupBy("skill", "file").agg(F.min("line_no").alias("line_no")), files)
 
 
 def is_readme(path: Column) -> Column:
@@ -195,18 +240,6 @@ def _shown() -> Column:
     return F.when(F.col("kind") == "readme", overview).otherwise(window)
 
 
-def with_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the overview of a README or the window around a code hit to hits already cut down."""
-    code_lines = F.when(F.col("kind") != "readme", t.lines_of(F.col("content")))
-    return (
-        files.select(*FILE, "content")
-        .join(hits, FILE)
-        .withColumn("_lines", code_lines)
-        .withColumn("snippet", _shown())
-        .select(*hits.columns, "snippet")
-    )
-
-
 def readme_hits(files: DataFrame, skills: DataFrame) -> DataFrame:
     """(skill, project, overview) for READMEs that hold a term anywhere."""
     readmes = files.filter(is_readme(F.col("path")))
@@ -234,14 +267,15 @@ def search_status(files: DataFrame, skills: DataFrame, hits: DataFrame) -> DataF
     )
 
 
-def proof_skills(jds: DataFrame, per_jd: int = fixed.MAX_PROOF_SKILLS) -> DataFrame:
-    """(jd_id, pos, skill): the first required skills of each JD, pos from 0."""
-    return jds.select("jd_id", F.posexplode(F.slice("required_skills", 1, per_jd)).alias("pos", "skill"))
+def proof_skills(jds: DataFrame, per_jd: int | None = None) -> DataFrame:
+    """(jd_id, pos, skill): the required skills of each JD, or the first of them, pos from 0."""
+    wanted = F.col("required_skills") if per_jd is None else F.slice("required_skills", 1, per_jd)
+    return jds.select("jd_id", F.posexplode(wanted).alias("pos", "skill"))
 
 
-def code_proofs(jds: DataFrame, files: DataFrame) -> DataFrame:
-    """Search results for the first required skills of each JD; skills without hits drop out."""
-    asked = proof_skills(jds)
+def code_proofs(jds: DataFrame, files: DataFrame, per_jd: int | None = None) -> DataFrame:
+    """Search results for the required skills of each JD; skills without hits drop out."""
+    asked = proof_skills(jds, per_jd)
     return asked.join(best_hits(files, asked), "skill").select(
         "jd_id",
         "pos",
@@ -255,12 +289,12 @@ def code_proofs(jds: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def proof_counts(jds: DataFrame, files: DataFrame) -> DataFrame:
+def proof_counts(jds: DataFrame, files: DataFrame, per_jd: int | None = None) -> DataFrame:
     """Evidence found per JD; JDs without any have a row with 0.
 
     Counting needs no snippets, so no content is fetched here.
     """
-    asked = proof_skills(jds)
+    asked = proof_skills(jds, per_jd)
     best = for_skewed_join(top_files(files, asked).select("skill"), "skill")
     counted = asked.join(best, "skill").groupBy("jd_id").agg(F.count("*").alias("n_proofs"))
     return jds.select("jd_id").join(counted, "jd_id", "left").fillna(0, ["n_proofs"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from winnow import fixed_values as fixed
 from winnow.operators import code_search as code
 from winnow.plans import tables as src
 from winnow.plans.registry import query
@@ -18,8 +19,8 @@ files AS (SELECT * FROM raw_files WHERE path NOT LIKE '%build%'),
 cut AS (SELECT project, path, string_split(regexp_replace(content, '\n$', ''), chr(10)) AS ls FROM files),
 lines AS (SELECT project, path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM cut),
 asked AS (
-  SELECT item_id AS jd_id, unnest(regexp_extract_all(text, '\p{L}{3,}')[1:4]) AS skill,
-         unnest(range(len(regexp_extract_all(text, '\p{L}{3,}')[1:4]))) AS pos FROM benchmark),
+  SELECT item_id AS jd_id, unnest(regexp_extract_all(text, '\p{L}{3,}')) AS skill,
+         unnest(range(len(regexp_extract_all(text, '\p{L}{3,}')))) AS pos FROM benchmark),
 skills AS (SELECT DISTINCT skill, lower(skill) AS term FROM asked),
 hits AS (
   SELECT skill, project, path, CASE WHEN path = 'README.md' THEN 'readme' ELSE 'code' END AS kind,
@@ -64,10 +65,10 @@ def limit_projects(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "first_four_skills",
-    f"WITH {FILES} SELECT jd_id, CAST(pos AS INTEGER) AS pos, skill FROM asked",
+    f"WITH {FILES} SELECT jd_id, CAST(pos AS INTEGER) AS pos, skill FROM asked WHERE pos < 4",
 )
 def first_four_skills(spark: SparkSession, folder: str) -> DataFrame:
-    return asked(spark, folder)
+    return code.proof_skills(src.jds(spark, folder), fixed.MAX_PROOF_SKILLS)
 
 
 @query(
