@@ -116,12 +116,6 @@ def test_read_pages_takes_three_columns(spark, sf_dir):
     assert pages.columns == ["page_id", "url", "html"] and pages.count() == 50
 
 
-def test_only_small_inputs_are_spread(spark):
-    one, many = spark.range(10).coalesce(1), spark.range(100, numPartitions=50)
-    assert documents.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert documents.spread(many, "id").rdd.getNumPartitions() == 50
-
-
 def test_pages_in_order_and_parts(spark):
     rows = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, None)], "d bigint, n int, t string")
     assert [tuple(r) for r in documents.assemble_pages(rows, "d", "n", "t").collect()] == [(1, 0, "ac", 3)]
@@ -235,6 +229,30 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_late_and_repeated_applications_are_neither_lost_nor_doubled(spark, tmp_path):
+    from winnow.operators import screening, skills
+
+    resumes = spark.createDataFrame([(i, 9.0, ["a"]) for i in range(4)], "resume_id bigint, candidate_experience double, candidate_skills array<string>")
+    jds = spark.createDataFrame([(1, None, ["A", "b"])], "jd_id bigint, experience_required double, required_skills array<string>")
+    newest = dt.datetime(2025, 6, 1)
+    days = [0, 40, 3, 400]  # before the newest, in the order in which they arrive
+    rows = [(i, i, 1, newest - dt.timedelta(days=d)) for i, d in enumerate(days)]
+    columns = ["application_id", "skill_match", "route"]
+    batch = screening.route(skills.match_skills(spark.createDataFrame(rows, streaming.APPLICATION), resumes, jds)).select(*columns)
+    source, arrived, out = (str(tmp_path / n) for n in ("in", "arrived", "out"))
+    for row in [*rows, rows[1], rows[0]]:
+        spark.createDataFrame([row], streaming.APPLICATION).write.mode("append").parquet(source)
+        arriving = streaming.read_applications(spark, source)
+        streaming.screen_arrivals(arriving, resumes, jds, arrived, str(tmp_path / "s1"), columns).awaitTermination()
+        routed = streaming.screen_stream(arriving, resumes, jds).select(*columns)
+        streaming.write_routed(routed, out, str(tmp_path / "s2")).awaitTermination()
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, spark.read.parquet(arrived).select(*columns).collect())) == want
+    assert sorted(map(tuple, spark.read.parquet(out).select(*columns).collect())) == want
+    with pytest.raises(ValueError, match="application_id"):
+        streaming.screen_arrivals(arriving, resumes, jds, arrived, out, ["route"])
+
+
 def test_streamed_entries_join_the_batch_ones(spark, tmp_path):
     root, source = str(tmp_path / "store"), str(tmp_path / "in")
     entry = spark.createDataFrame([("c", "x")], schemas.MISC_ENTRY)

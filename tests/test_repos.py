@@ -6,6 +6,7 @@ import json
 
 import pytest
 
+from winnow import fixed_values as fixed
 from winnow.operators import extraction, repos as rp
 from winnow.sources import payloads
 
@@ -131,3 +132,11 @@ def test_tiers(spark):
     assert got == {1: (1, "J"), 2: (2, "Job Position"), 3: (2, "B"), 4: (None, None)}
     kept = extraction.latest_per_posting(rows).collect()
     assert sorted(r["page_id"] for r in kept) == [1, 2, 4]
+
+
+def test_all_repositories_count_unless_fewer_are_asked_for(spark):
+    kind = "handle string, name string, description string, language string, topics array<string>, updated_at string"
+    repos = spark.createDataFrame([("h", f"r{i:03d}", f"word{i:03d} here", None, None, f"2024-{i:03d}") for i in range(150)], kind)
+    candidates = spark.createDataFrame([(1, "h", ["word000", "word149"])], "candidate_id bigint, handle string, skills array<string>")
+    assert rp.verify_skills(candidates, repos).first()["verified_skills"] == ["word000", "word149"]
+    assert rp.verify_skills(candidates, repos, fixed.MAX_REPOS_SEARCHED).first()["verified_skills"] == ["word149"]

@@ -197,3 +197,16 @@ def test_skill_sources_in_order(spark):
     )
     got = rows.select("id", skills.resolve_skills(rows).alias("s")).orderBy("id").collect()
     assert [r["s"] for r in got] == [["", "x"], ["p", "q"], ["s"], ["c", "d"], []]
+
+
+def test_a_leading_dot_belongs_to_the_skill(spark):
+    docs = spark.createDataFrame([(1, "net profit"), (2, "knows .NET, C++ and node.js."), (3, "a.net b ..net")], "id bigint, text string")
+    lexicon = spark.createDataFrame([(".NET",), ("net",), ("node.js",), ("c++",)], "skill string")
+    got = sorted(tuple(r) for r in skills.tag_skills(docs, "id", "text", lexicon).collect())
+    assert got == [(1, "net"), (2, ".NET"), (2, "c++"), (2, "node.js"), (3, "net")]
+
+
+def test_subtotals_are_told_from_jobs_without_a_title(spark):
+    rows = spark.createDataFrame([(None, "Reject", 0.5), ("a", "Reject", 0.5), ("a", "ShortList", 1.0)], "job string, route string, skill_match double")
+    got = {(r["level"], r["job"], r["route"]): r["n"] for r in screening.funnel(rows, "job").collect()}
+    assert got == {(0, None, "Reject"): 1, (0, "a", "Reject"): 1, (0, "a", "ShortList"): 1, (1, None, None): 1, (1, "a", None): 2, (3, None, None): 3}

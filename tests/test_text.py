@@ -130,9 +130,26 @@ def test_web_page_needs_more_than_100_characters(column, chars, kept):
     assert (got is not None) == kept
 
 
-def test_page_text_is_capped(column):
-    (got,) = column(html.web_page, ["<p>" + "é" * 4000 + "</p>"])
-    assert len(got["text"]) == 3500 and got["title"] == fixed.WEB_TITLE
+def test_page_text_is_whole_unless_a_length_is_given(column):
+    page = "<p>" + "é" * 4000 + "</p>"
+    (got,) = column(html.web_page, [page])
+    assert len(got["text"]) == 4000 and got["title"] == fixed.WEB_TITLE
+    (got,) = column(lambda c: html.web_page(c, fixed.JD_TEXT_CAP), [page])
+    assert len(got["text"]) == 3500
+
+
+def test_containers_go_at_any_depth(column):
+    nested = "a" + "<nav>x" * 9 + "</nav>y" * 8 + "</nav>b"
+    mixed = "a<header>1<nav>2<header>3</header>4</nav>5</header>b</nav>c<nav>open"
+    got = column(lambda c: html.text_of(c, ["nav", "header"]), [nested, mixed, "plain", None])
+    assert got == ["a\nb", "a\nb\nc\nopen", "plain", None]
+
+
+def test_references_as_browsers_read_them(column):
+    texts = ["&#150;&#146;&#x96;&#129;", "&copy 2024 &copy2024 &notit; &amp;lt; &AMP &bogus", "&hellip &hellip;"]
+    assert column(html.decode_entities, texts) == [
+        "–’–\u0081", "© 2024 ©2024 ¬it; &lt; & &bogus", "&hellip …",
+    ]
 
 
 def test_job_posting_title_prefers_h2(column):
@@ -193,6 +210,28 @@ def test_redaction_is_idempotent_and_complete(spark, sf_dir):
     assert once.filter(F.size(pii.pattern_spans(F.col("once"))) > 0).count() == 0
 
 
+def test_telephone_forms_and_small_letters(column):
+    texts = ["415-555-0132, 415.555.0132; 020 7946 0958 +14155550132 ab123456c", "19.37.233.111 2024-01-02 1234567890"]
+    assert column(pii.redact_patterns, texts) == [
+        "<PHONE_NUMBER>, <PHONE_NUMBER>; <PHONE_NUMBER> <PHONE_NUMBER> <UK_NINO>", texts[1],
+    ]
+
+
+def test_whatever_is_listed_is_redacted(spark):
+    from winnow.operators import redaction
+
+    docs = spark.createDataFrame(
+        [(1, "By John\nSmith."), (2, "New  York and John. Smith"), (3, "Johnny Smithson, york New"), (4, None), (5, "a.b John Smith Jones")],
+        "id bigint, text string",
+    )
+    names = spark.createDataFrame([("John Smith", "PERSON"), ("Smith Jones", "PERSON"), ("New York", "LOCATION"), ("a.b", "PERSON")], "term string, entity_type string")
+    clean = redaction.redact(docs, "id", "text", names)
+    assert redaction.pii_spans(docs, "id", "text", names).count() == 6
+    assert redaction.pii_spans(clean, "id", "text", names).count() == 0
+    got = {r["id"]: r["text"] for r in clean.collect()}
+    assert got == {1: "By <PERSON>.", 2: "<LOCATION> and <PERSON>", 3: "Johnny Smithson, york New", 4: None, 5: "<PERSON> <PERSON> Jones"}
+
+
 # --- replies and templates ----------------------------------------------------------
 def test_strip_fence(column):
     raws = ['```json\n{"a":1}\n```', " {} ", "```x```", "plain", None]

@@ -1,8 +1,8 @@
 """HTML to text with built-in expressions only.
 
 Raw-text elements and comments go first, by position, so that markup quoted in
-a script cannot close anything. Dropped containers go innermost first; three
-passes cover containers of one name nested three deep. What is left of the
+a script cannot close anything. Dropped containers go innermost first, in as
+many passes as they are nested deep. What is left of the
 tags becomes a break between text nodes. Containers that are never closed are
 kept (a DOM parser would close them with their parent), and a tag ends where
 another '<' comes outside quotes, so that no page makes a pattern scan the rest
@@ -22,22 +22,31 @@ from winnow.functions import text as t
 _BREAK = "\u0001"
 _ATTRS = "(?:[^<>=]++|=\\s*+\"[^\"]*+\"|=\\s*+'[^']*+'|=)*+"
 _RAW_TEXT_TAGS = {"script", "style"}
-_NESTING = 3
+# Browsers nest elements no deeper than this.
+_DEEPEST = 512
 
 # Named references from the standard library's table; the usual ones first,
 # because a map lookup reads from the front.
 _USUAL = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "ndash;", "mdash;"]
 _NAMED = {name: html5[name] for name in _USUAL}
 _NAMED.update(html5)
+_WITHOUT_SEMICOLON = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# Browsers read references to the unused range 128 to 159 as that encoding's characters.
+_WINDOWS_1252 = {
+    str(code): ord(bytes([code]).decode("cp1252")) for code in range(0x80, 0xA0) if bytes([code]).decode("cp1252", "ignore")
+}
 
 
 def decode_entities(text: Column) -> Column:
     """One pass over character references, so '&amp;lt;' gives '&lt;' and not '<'."""
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
+    windows = F.from_json(F.lit(json.dumps(_WINDOWS_1252)), "map<string,bigint>")
+
     def numeric(digits: Column) -> Column:
         hexed = F.lower(F.left(digits, F.lit(1))) == "x"
         code = F.when(hexed, F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).try_cast("bigint")
+        code = F.when(code.between(0x80, 0x9F), F.coalesce(F.element_at(windows, code.cast("string")), code)).otherwise(code)
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(valid, char).otherwise(F.lit("\ufffd"))
@@ -45,6 +54,9 @@ def decode_entities(text: Column) -> Column:
     def piece(part: Column) -> Column:
         digits = F.regexp_extract(part, "^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
         name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+        # Some old names count without the semicolon, also where letters follow.
+        bare = F.regexp_extract(part, f"^({_WITHOUT_SEMICOLON})", 1)
+        name = F.when(F.element_at(named, name).isNotNull(), name).otherwise(bare)
         known = F.element_at(named, name)
         return (
             F.when(digits != "", F.concat(numeric(digits), F.substr(part, F.length(digits) + 3)))
@@ -71,8 +83,21 @@ def drop_elements(html: Column, tags: list[str]) -> Column:
             f"(?is)<({names})(?=[\\s/>]){_ATTRS}(?<!/)>"
             "[^<]*+(?:<(?!/?\\1[\\s/>])[^<]*+)*+</\\1\\s*+>"
         )
-        for _ in range(_NESTING):
-            out = F.regexp_replace(out, innermost, _BREAK)
+        tags_of = F.regexp_extract_all(out, F.lit(f"(?is)<(/?)(?:{names})(?=[\\s/>])"), F.lit(1))
+        # A page's passes are its greatest depth, no more than it closes containers.
+        closed = F.size(F.filter(tags_of, lambda slash: slash != ""))
+        deepest = F.aggregate(
+            tags_of,
+            F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+            lambda a, slash: F.struct(
+                F.greatest(a["now"] + F.when(slash == "", 1).otherwise(-1), F.lit(0)).alias("now"),
+                F.greatest(a["most"], a["now"] + F.when(slash == "", 1).otherwise(-1)).alias("most"),
+            ),
+            lambda a: a["most"],
+        )
+        deepest = F.least(deepest, closed, F.lit(_DEEPEST))
+        passes = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
+        out = F.aggregate(passes, out, lambda markup, _: F.regexp_replace(markup, F.lit(innermost), F.lit(_BREAK)))
     return out
 
 
@@ -94,23 +119,23 @@ def element_text(markup: Column, tag: str) -> Column:
     return F.when(F.rlike(markup, F.lit(opening)), F.array_join(_text_nodes(inner), ""))
 
 
-def web_page(html: Column) -> Column:
+def web_page(html: Column, max_chars: int | None = None) -> Column:
     """Generic page: struct(title, text), null unless the text is long enough."""
     body = t.compress_markdown(text_of(html, fixed.WEB_DROP_TAGS))
-    return _page(F.lit(fixed.WEB_TITLE), body, lambda b: F.length(b) > fixed.WEB_MIN_CHARS)
+    return _page(F.lit(fixed.WEB_TITLE), body, lambda b: F.length(b) > fixed.WEB_MIN_CHARS, max_chars)
 
 
-def job_posting(html: Column) -> Column:
+def job_posting(html: Column, max_chars: int | None = None) -> Column:
     """Job-board page: title from the first h2, else h1; null unless the text is long enough."""
     markup = drop_elements(html, fixed.POSTING_DROP_TAGS)
     title = F.coalesce(
         element_text(markup, "h2"), element_text(markup, "h1"), F.lit(fixed.POSTING_TITLE_DEFAULT)
     )
     body = t.compress_markdown(F.array_join(_text_nodes(markup), "\n"))
-    return _page(title, body, lambda b: F.length(b) > fixed.POSTING_MIN_CHARS)
+    return _page(title, body, lambda b: F.length(b) > fixed.POSTING_MIN_CHARS, max_chars)
 
 
-def body_text(html: Column) -> Column:
+def body_text(html: Column, max_chars: int | None = None) -> Column:
     """Whole-body text: title from h1, else the page title; null if the body has no text."""
     markup = drop_elements(html, ["script", "style"])
     title = F.coalesce(
@@ -119,16 +144,18 @@ def body_text(html: Column) -> Column:
         F.lit(fixed.BODY_TITLE_DEFAULT),
     )
     raw = text_of(html, fixed.BODY_DROP_TAGS)
-    return _page(title, raw, lambda b: b != "", t.compress_markdown)
+    return _page(title, raw, lambda b: b != "", max_chars, t.compress_markdown)
+
+
+def _page(title: Column, body: Column, usable, max_chars: int | None, finish=lambda b: b) -> Column:
+    """struct(title, text), the text cut if a length is given, or null; the array makes Spark work the text out once."""
 
+    def shown(text: Column) -> Column:
+        return finish(text) if max_chars is None else t.cap(finish(text), max_chars)
 
-def _page(title: Column, body: Column, usable, finish=lambda b: b) -> Column:
-    """struct(title, capped text) or null; the array makes Spark work the text out once."""
     page = F.array(F.struct(title.alias("title"), body.alias("text")))
     kept = F.transform(
         F.filter(page, lambda p: usable(p["text"])),
-        lambda p: F.struct(
-            p["title"].alias("title"), t.cap(finish(p["text"]), fixed.JD_TEXT_CAP).alias("text")
-        ),
+        lambda p: F.struct(p["title"].alias("title"), shown(p["text"]).alias("text")),
     )
     return F.get(kept, F.lit(0))

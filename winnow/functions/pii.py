@@ -9,8 +9,11 @@ PATTERNS = {
     "EMAIL_ADDRESS": "[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}",
     "PHONE_NUMBER": "\\+?[0-9]{1,2}[ .-]?\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
     "|\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
-    "|\\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}",
-    "UK_NINO": "\\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\\b",
+    "|\\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}"
+    "|\\+[0-9]{10,14}\\b"
+    "|\\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\\b"
+    "|\\b0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}\\b",
+    "UK_NINO": "(?i:\\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\\b)",
 }
 # Prefixes never issued, so such a string is no insurance number.
 NINO_UNUSED_PREFIXES = ["BG", "GB", "NK", "KN", "NT", "TN", "ZZ"]
@@ -50,8 +53,11 @@ def redact_names(text: Column, names: Column, entity: str) -> Column:
     longest_first = F.array_sort(
         F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))
     )
+    # What lies between the words of a name is free, as it is where names are found.
+    words = F.lit("[\\p{L}\\p{N}_]+")
     quoted = F.transform(
-        longest_first, lambda s: F.regexp_replace(s["n"], "([^\\p{L}\\p{N}_ ])", "\\\\$1")
+        longest_first,
+        lambda s: F.array_join(F.regexp_extract_all(s["n"], words, F.lit(0)), "[^\\p{L}\\p{N}_]+"),
     )
     pattern = F.concat(
         F.lit("(?<![\\p{L}\\p{N}_])(?:"), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}_])")

@@ -100,7 +100,7 @@ def is_job_posting(url: Column) -> Column:
 
 
 def years_experience(text: Column) -> Column:
-    pattern = f"(?i)([0-9]{{1,2}}(?:\\.[0-9]+)?){SPACE}*\\+?{SPACE}*(?:years|yrs)"
+    pattern = f"(?i)(?<![0-9.])([0-9]{{1,2}}(?:\\.[0-9]+)?){SPACE}*\\+?{SPACE}*(?:years|yrs)"
     stated = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     return F.array_max(F.transform(stated, lambda n: n.cast("double")))
 

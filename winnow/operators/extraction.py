@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from winnow.functions import html, text as t
 
 
-def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, html_column: str = "html", max_chars: int | None = None) -> DataFrame:
     """Add tier, title and text of the first usable extraction of each page.
 
     Tier 1 reads job-board postings only, tier 2 the whole body, tier 3 the
     page without its furniture. All three see the same row, so choosing needs
     no union and no shuffle, and later tiers run only if earlier ones fail.
-    A page that none can read keeps its row with nulls.
+    A page that none can read keeps its row with nulls. Texts are whole unless
+    a length is given (`fixed_values.JD_TEXT_CAP` is a model's usual budget).
     """
 
     def tier(number: int, page):
@@ -22,11 +23,11 @@ def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
         )
 
     source = F.col(html_column)
-    posting = F.when(t.is_job_posting(F.col("url")), html.job_posting(source))
+    posting = F.when(t.is_job_posting(F.col("url")), html.job_posting(source, max_chars))
     rows = pages.withColumn("_p1", posting)
-    rows = rows.withColumn("_p2", F.when(F.col("_p1").isNull(), html.body_text(source)))
+    rows = rows.withColumn("_p2", F.when(F.col("_p1").isNull(), html.body_text(source, max_chars)))
     missing = F.col("_p1").isNull() & F.col("_p2").isNull()
-    rows = rows.withColumn("_p3", F.when(missing, html.web_page(source)))
+    rows = rows.withColumn("_p3", F.when(missing, html.web_page(source, max_chars)))
     chosen = F.coalesce(*[tier(n, F.col(f"_p{n}")) for n in (1, 2, 3)])
     rows = rows.withColumn("_page", chosen)
     return rows.select(*pages.columns, "_page.tier", "_page.title", "_page.text")

@@ -126,14 +126,13 @@ def language_mix(repos: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / whole)
 
 
-def repo_corpus(repos: DataFrame, per_handle: int = fixed.MAX_REPOS_SEARCHED) -> DataFrame:
-    """(handle, corpus): one text per handle from its latest repositories.
+def repo_corpus(repos: DataFrame, per_handle: int | None = None) -> DataFrame:
+    """(handle, corpus): one text per handle from its repositories, latest first, or the latest of them.
 
-    At most one search page of repositories per handle goes in, as many as one
-    search returns, so the text is bounded. Languages and topics are lowered;
-    in names and descriptions '-' and '_' also become spaces.
+    Languages and topics are lowered; in names and descriptions '-' and '_'
+    also become spaces. One search returns `fixed_values.MAX_REPOS_SEARCHED`.
     """
-    page = top_repos(repos, per_handle)
+    page = top_repos(repos, per_handle) if per_handle else repos
     spaced = [
         F.translate(F.lower(F.coalesce(c, F.lit(""))), "-_", "  ") for c in ("name", "description")
     ]
@@ -144,20 +143,27 @@ def repo_corpus(repos: DataFrame, per_handle: int = fixed.MAX_REPOS_SEARCHED) ->
         F.coalesce(F.transform("topics", F.lower), none),
         F.array(*spaced),
     )
-    by_rank = F.array_sort(F.collect_list(F.struct("rank", parts.alias("parts"))))
+
+    def latest_first(a: Column, b: Column) -> Column:
+        day, other = F.coalesce(a["day"], F.lit("")), F.coalesce(b["day"], F.lit(""))
+        earlier = F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+        return F.when(day > other, -1).when(day < other, 1).otherwise(earlier)
+
+    each = F.struct(F.col("updated_at").alias("day"), "name", parts.alias("parts"))
+    in_order = F.array_sort(F.collect_list(each), latest_first)
     return page.groupBy("handle").agg(
-        F.array_join(F.flatten(F.transform(by_rank, lambda r: r["parts"])), " ").alias("corpus")
+        F.array_join(F.flatten(F.transform(in_order, lambda r: r["parts"])), " ").alias("corpus")
     )
 
 
-def verify_skills(candidates: DataFrame, repos: DataFrame) -> DataFrame:
+def verify_skills(candidates: DataFrame, repos: DataFrame, per_handle: int | None = None) -> DataFrame:
     """Add verified_skills and verification to candidates (…, handle, skills).
 
     Each candidate meets one corpus row, so the skills are tested in the row.
     Every candidate keeps a row: without a handle the check is 'skipped',
     without skills or repositories it is 'unable'.
     """
-    corpus = for_skewed_join(repo_corpus(repos), "handle")
+    corpus = for_skewed_join(repo_corpus(repos, per_handle), "handle")
     skills = F.filter(F.transform("skills", t.strip), lambda s: s != "")
     found = F.filter(skills, lambda s: t.contains_word(F.col("corpus"), F.lower(s)))
     status = (
@@ -174,8 +180,10 @@ def verify_skills(candidates: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def verified_rows(candidates: DataFrame, repos: DataFrame, keys: list[str]) -> DataFrame:
+def verified_rows(
+    candidates: DataFrame, repos: DataFrame, keys: list[str], per_handle: int | None = None
+) -> DataFrame:
     """One row per verified skill."""
-    checked = verify_skills(candidates, repos).select(*keys, "verified_skills")
+    checked = verify_skills(candidates, repos, per_handle).select(*keys, "verified_skills")
     found = checked.select(*keys, F.explode_outer("verified_skills").alias("skill"))
     return found.filter(F.col("skill").isNotNull())

@@ -67,23 +67,29 @@ def score_percent(score: Column) -> Column:
 def skill_badges(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per required and per candidate skill: (keys, side, pos, skill, matched)."""
 
+    # The flag is set within the row, so no list is copied beside each skill.
     def side(name: str, skills: str) -> Column:
         return F.transform(
             F.coalesce(skills, F.array().cast("array<string>")),
-            lambda s, i: F.struct(F.lit(name).alias("side"), i.alias("pos"), s.alias("skill")),
+            lambda s, i: F.struct(
+                F.lit(name).alias("side"),
+                i.alias("pos"),
+                s.alias("skill"),
+                F.coalesce(F.array_contains("_matched", F.lower(s)), F.lit(False)).alias("matched"),
+            ),
         )
 
-    lowered = F.transform("matched_skills", F.lower).alias("_matched")
     both = F.concat(side("required", "required_skills"), side("candidate", "candidate_skills"))
-    return (
-        rows.select(*keys, lowered, F.explode(both).alias("b"))
-        .select(*keys, "b.*", F.array_contains("_matched", F.lower("b.skill")).alias("matched"))
-        .withColumn("matched", F.coalesce("matched", F.lit(False)))
-    )
+    lowered = rows.withColumn("_matched", F.transform("matched_skills", F.lower))
+    return lowered.select(*keys, F.explode(both).alias("b")).select(*keys, "b.*")
 
 
 def funnel(routed: DataFrame, job: str) -> DataFrame:
-    """Counts and mean score by job and route, with subtotals per job and overall."""
+    """Counts and mean score by job and route, with subtotals per job and overall.
+
+    `level` is 0 for a job and route, 1 for a job, 3 for all, so that a job
+    without a title isn't taken for a subtotal.
+    """
     return routed.rollup(job, "route").agg(
-        F.count("*").alias("n"), F.avg("skill_match").alias("mean_score")
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.avg("skill_match").alias("mean_score")
     )

@@ -8,8 +8,8 @@ from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators.grouping import for_skewed_join
 
-# A word of a skill or name: letters, digits, '_', '+', '#', and inner dots (node.js).
-SKILL_TOKEN = "[\\p{L}\\p{N}_+#]+(?:\\.[\\p{L}\\p{N}_+#]+)*"
+# A word of a skill or name: letters, digits, '_', '+', '#', inner dots (node.js) and a leading one (.NET).
+SKILL_TOKEN = "(?:(?<![\\p{L}\\p{N}_+#.])\\.(?=\\p{L}))?[\\p{L}\\p{N}_+#]+(?:\\.[\\p{L}\\p{N}_+#]+)*"
 NAME_TOKEN = "[\\p{L}\\p{N}_]+"
 
 
@@ -39,15 +39,16 @@ def match_skills(applications: DataFrame, resumes: DataFrame, jds: DataFrame) ->
     """Screen the listed (resume_id, jd_id) pairs.
 
     The lists are normalised once per resume and once per JD, then meet in one
-    row, so matching needs no shuffle beyond the two id joins. Added are
+    row, so matching needs no shuffle beyond the two id joins. The short lists
+    of the JDs come first, so the resumes' long ones move once. Added are
     matched_skills (as required), missing_skills (normalised), n_required,
-    n_matched and skill_match. Pairs without any match keep their row. A JD that many resumes apply to makes one hot
-    key with one small row on its side, which is what the adaptive skew join
-    splits.
+    n_matched and skill_match. Pairs without any match keep their row. A JD
+    that many resumes apply to makes one hot key of small rows with one row on
+    the other side, which is what the adaptive skew join splits.
     """
     candidates = resumes.withColumn("_candidate", t.norm_skills(F.col("candidate_skills")))
     required = jds.withColumn("_required", t.norm_skills(F.col("required_skills")))
-    pairs = applications.join(candidates, "resume_id", "left").join(required, "jd_id", "left")
+    pairs = applications.join(required, "jd_id", "left").join(candidates, "resume_id", "left")
     none = F.array().cast("array<string>")
     pairs = pairs.withColumn(
         "_overlap",

@@ -31,7 +31,11 @@ ROUTED = """routed AS (
   SELECT *, CASE WHEN score >= 0.5 AND coalesce(years, 0) >= 8 THEN 'ShortList' ELSE 'Reject' END AS route
   FROM scored)"""
 BASE = f"WITH {RESUMES}, {JDS}, {APPS}, {SCORED}, {ROUTED}"
-TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_+#]+(?:\.[\p{L}\p{N}_+#]+)*')"
+# RE2 cannot look around, so a dot that a word begins with is told from others by marking it first.
+TOKENS = (
+    r"[replace(w, chr(2), '.') FOR w IN regexp_extract_all(regexp_replace(lower(text), "
+    r"'(^|[^\p{L}\p{N}_+#.])\.(\p{L})', '\1' || chr(2) || '\2', 'g'), '\x02?[\p{L}\p{N}_+#]+(?:\.[\p{L}\p{N}_+#]+)*')]"
+)
 
 
 def matched(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,8 +217,9 @@ def skill_badges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "route_funnel",
-    f"""{BASE} SELECT 'Position ' || jd_id AS job_title, route, count(*) AS n, round(avg(score), 6) AS mean_score
-    FROM routed GROUP BY ROLLUP (1, 2)""",
+    f"""{BASE} SELECT 'Position ' || jd_id AS job_title, route,
+      CAST(grouping('Position ' || jd_id, route) AS INTEGER) AS level, count(*) AS n, round(avg(score), 6) AS mean_score
+    FROM routed GROUP BY ROLLUP ('Position ' || jd_id, route)""",
 )
 def route_funnel(spark: SparkSession, folder: str) -> DataFrame:
     totals = screening.funnel(routed(spark, folder), "job_title")
@@ -285,14 +290,16 @@ def skill_tagging(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "role_tagging",
-    rf"""WITH roles AS (SELECT DISTINCT regexp_extract(text, '^\p{{L}}+ \p{{L}}+') AS role FROM benchmark),
+    rf"""WITH roles AS (SELECT DISTINCT unnest([a || ' ' || w[i + 1] FOR a, i IN w IF i < len(w)]) AS role
+      FROM (SELECT regexp_extract_all(text, '\p{{L}}+') AS w FROM benchmark)),
     tok AS (SELECT doc_id, {TOKENS} AS w FROM documents),
     grams AS (SELECT doc_id, unnest([a || ' ' || w[i + 1] FOR a, i IN w IF i < len(w)]) AS gram FROM tok)
     SELECT DISTINCT doc_id, role FROM grams g JOIN roles r ON g.gram = lower(r.role) WHERE role <> ''""",
 )
 def role_tagging(spark: SparkSession, folder: str) -> DataFrame:
-    opening = F.regexp_extract("text", "^\\p{L}+ \\p{L}+", 0)
-    roles = src.load(spark, folder, "benchmark").select(opening.alias("role")).distinct()
+    words = src.load(spark, folder, "benchmark").select(F.regexp_extract_all("text", F.lit("\\p{L}+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    roles = words.filter(F.size("w") > 1).select(F.explode(pairs).alias("role")).distinct()
     return skills.tag_roles(src.load(spark, folder, "documents"), "doc_id", "text", roles)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow import fixed_values as fixed
-from winnow.sources.documents import spread
+from winnow.operators.grouping import for_skewed_join
 
 
 # Declared, so that planning a query starts no job to read file footers.
@@ -32,13 +32,10 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-# The tables with long texts, and the key each is shared out by.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    rows = spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
-    return spread(rows, TEXT_KEYS[table]) if table in TEXT_KEYS else rows
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def raw_words(text: Column) -> Column:
@@ -98,7 +95,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     path = F.when(F.col("doc_id") == F.col("first_id"), fixed.README_NAME).otherwise(
         F.concat(place, F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ending)
     )
-    return docs.join(first, "source").select(
+    return docs.join(for_skewed_join(first, "source"), "source").select(
         F.col("source").alias("project"), path.alias("path"), F.col("text").alias("content")
     )
 

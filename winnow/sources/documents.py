@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Share out rows by key when the input has no more splits than the cluster has cores.
-
-    Text work is bound by the processor, and one small file is one split. A
-    large table has splits enough and is left as it lies, without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() <= cores else rows
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Job pages already fetched: (page_id, url, html)."""
     return spark.read.parquet(path).select("page_id", "url", "html")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from winnow.operators import screening, skills
@@ -14,23 +14,25 @@ def read_applications(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(APPLICATION).parquet(path)
 
 
-def _once(applications: DataFrame, lateness: str) -> DataFrame:
-    """The only state is the ids of applications seen, dropped once the watermark has passed them."""
-    return applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(
-        ["application_id"]
-    )
-
-
 def screen_stream(
-    applications: DataFrame, resumes: DataFrame, jds: DataFrame, lateness: str = "1 day"
+    applications: DataFrame, resumes: DataFrame, jds: DataFrame, lateness: str | None = None
 ) -> DataFrame:
     """Routed rows for a stream of applications, as a stream.
 
     Matching is the array form of the batch operator, so the joins against the
     static tables keep no state. Every batch reads the static tables through;
     where they are large, `screen_arrivals` reads less.
+
+    The state is the ids of applications seen, so that none comes out twice and
+    none is lost, however late. With `lateness` ids are forgotten once the
+    watermark has passed them, and what arrives later than that is dropped;
+    `screen_arrivals` keeps no state and drops nothing.
     """
-    return screening.route(skills.match_skills(_once(applications, lateness), resumes, jds))
+    if lateness is None:
+        once = applications.dropDuplicates(["application_id"])
+    else:
+        once = applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(["application_id"])
+    return screening.route(skills.match_skills(once, resumes, jds))
 
 
 def screen_arrivals(
@@ -40,16 +42,25 @@ def screen_arrivals(
     path: str,
     checkpoint: str,
     columns: list[str] | None = None,
-    lateness: str = "1 day",
 ) -> StreamingQuery:
     """Screen what has arrived and write it to path/batch=…/route=…, then stop.
 
     A batch names few resumes. They are picked by a semi-join first, which
     Spark broadcasts by measured size, so the other resumes are neither
     normalised nor shuffled. A repeated batch replaces its own folder.
+    Applications already written by other batches are left out, whenever they
+    come again; no other is, however late. That needs `application_id` among
+    the columns.
     """
+    if columns and "application_id" not in columns:
+        raise ValueError("columns must include application_id")
 
     def put(batch: DataFrame, number: int) -> None:
+        batch = batch.dropDuplicates(["application_id"])
+        if _exists(batch.sparkSession, path):
+            done = batch.sparkSession.read.schema("application_id bigint, batch bigint, route string").parquet(path)
+            done = done.filter(F.col("batch") != number).select("application_id")
+            batch = batch.join(done, "application_id", "left_anti")
         batch.persist()
         named = resumes.join(batch.select("resume_id").distinct(), "resume_id", "left_semi")
         offered = jds.join(batch.select("jd_id").distinct(), "jd_id", "left_semi")
@@ -59,14 +70,18 @@ def screen_arrivals(
         batch.unpersist()
 
     return (
-        _once(applications, lateness)
-        .writeStream.foreachBatch(put)
+        applications.writeStream.foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived, partitioned by route, and stop."""
     return (
