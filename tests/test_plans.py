@@ -8,7 +8,7 @@ import pytest
 
 from winnow.plans import QUERIES
 
-STREAMS = {"stream_screen", "screen_arrivals"}  # run when they are built
+STREAMS = {"stream_screen", "screen_arrivals", "profile_store", "stream_profile"}  # run when they are built
 NUMPY = {"cosine_topk"}
 
 

@@ -22,21 +22,35 @@ def test_json_import(spark, tmp_path):
     root = str(tmp_path)
     (tmp_path / "skills.json").write_text(json.dumps([{"category": "c", "skills": ["a"]}, {"category": "d"}], indent=4))
     (tmp_path / "misc.json").write_text('[{"category": "c", ')
-    got = [tuple(r) for r in store.read_profile_json(spark, root, "skills").collect()]
-    assert got == [("c", ["a"]), ("d", None)]
-    assert store.read_profile_json(spark, root, "misc").count() == 0
-    assert store.read_profile_json(spark, root, "projects").count() == 0
+    got = [tuple(r) for r in store.read_profile_json(spark, root, "skills", 7).collect()]
+    assert got == [(7, 0, "c", ["a"]), (7, 1, "d", None)]
+    assert store.read_profile_json(spark, root, "misc", 7).count() == 0
+    assert store.read_profile_json(spark, root, "projects", 7).count() == 0
 
 
 def test_append_and_overwrite(spark, tmp_path):
     root = str(tmp_path)
-    entry = spark.createDataFrame([("c", ["a"])], schemas.SKILL_ENTRY)
+    entry = spark.createDataFrame([(1, 0, "c", ["a"]), (2, 0, "d", None)], schemas.STORED["skills"])
     assert store.read_profile(spark, root, "skills").count() == 0
     store.append_profile(entry, root, "skills")
-    store.append_profile(entry, root, "skills")
-    assert store.read_profile(spark, root, "skills").count() == 2
-    store.overwrite_profile(store.read_profile(spark, root, "skills").distinct(), root, "skills")
-    assert store.read_profile(spark, root, "skills").count() == 1
+    store.append_profile(entry.filter("candidate_id = 1"), root, "skills")
+    held = store.read_profile(spark, root, "skills")
+    assert sorted(tuple(r)[:3] for r in held.collect()) == [(1, 0, "c"), (1, 1, "c"), (2, 0, "d")]
+    store.overwrite_profile(held.filter("candidate_id = 1 and seq = 1"), root, "skills")
+    assert sorted(tuple(r)[:3] for r in store.read_profile(spark, root, "skills").collect()) == [(1, 1, "c"), (2, 0, "d")]
+
+
+def test_candidates_are_loaded_apart(spark, tmp_path):
+    root = str(tmp_path)
+    row = lambda n, *skills: (n, ["r"], [("cat", list(skills))], [], [], [("m", "x")])
+    for loaded in ([row(1, "a"), row(2, "b")], [row(2, "c")]):
+        profiles.populate_profile(spark.createDataFrame(loaded, schemas.PARSED_RESUME), root)
+    skills = {r["candidate_id"]: r["skills"] for r in store.read_profile(spark, root, "skills").collect()}
+    assert skills == {1: ["a"], 2: ["c"]}
+    tables = {k: store.read_profile(spark, root, k) for k in ("skills", "misc")}
+    context = {r["candidate_id"]: json.loads(r["context_json"]) for r in profiles.build_context(tables).collect()}
+    assert len(context[1]["misc"]) == 1 and len(context[2]["misc"]) == 2
+    assert {r["candidate_id"] for r in profiles.profile_ready(tables["skills"], store.read_profile(spark, root, "projects")).collect()} == {1, 2}
 
 
 def test_the_named_checkpoint_folder_is_used(spark):
@@ -73,9 +87,9 @@ def test_populating_twice(spark, tmp_path, dedupe, grown):
 
 def test_saved_projects_also_give_skills(spark, tmp_path):
     root = str(tmp_path)
-    projects = spark.createDataFrame([("P", ["x", "y"], "d")], schemas.PROJECT_ENTRY)
+    projects = spark.createDataFrame([(3, 0, "P", ["x", "y"], "d")], schemas.STORED["projects"])
     profiles.save_project(spark, projects, root)
-    assert [tuple(r) for r in store.read_profile(spark, root, "skills").collect()] == [("Project Stack (P)", ["x", "y"])]
+    assert [tuple(r) for r in store.read_profile(spark, root, "skills").collect()] == [(3, 0, "Project Stack (P)", ["x", "y"])]
 
 
 def test_numbering_equals_row_number_for_a_hot_key(spark):
@@ -255,13 +269,22 @@ def test_late_and_repeated_applications_are_neither_lost_nor_doubled(spark, tmp_
 
 def test_streamed_entries_join_the_batch_ones(spark, tmp_path):
     root, source = str(tmp_path / "store"), str(tmp_path / "in")
-    entry = spark.createDataFrame([("c", "x")], schemas.MISC_ENTRY)
+    entry = spark.createDataFrame([(1, 0, "c", "x")], schemas.STORED["misc"])
     store.append_profile(entry, root, "misc")
     entry.write.parquet(source)
     for _ in range(2):
-        arriving = spark.readStream.schema(schemas.MISC_ENTRY).parquet(source)
+        arriving = spark.readStream.schema(schemas.STORED["misc"]).parquet(source)
         streaming.append_stream(arriving, root, "misc", "form", str(tmp_path / "state")).awaitTermination()
-    assert store.read_profile(spark, root, "misc").count() == 2
+    assert sorted(tuple(r) for r in store.read_profile(spark, root, "misc").collect()) == [(1, 0, "c", "x"), (1, 1, "c", "x")]
+
+
+def test_search_passes_over_vectors_that_cannot_be_compared(spark):
+    kind = "string, embedding array<double>"
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0, None]), ("d", [1.0]), ("e", [0.0, 1.0])], f"doc_id {kind}")
+    queries = spark.createDataFrame([("q", [1.0, 0.1]), ("r", None), ("s", [1.0])], f"query_id {kind}")
+    got = [(r["query_id"], r["doc_id"]) for r in vectors.cosine_topk(corpus, queries, 5).orderBy("rank").collect()]
+    assert got == [("q", "a"), ("q", "e")]
+    assert vectors.cosine_topk(corpus, queries.limit(0), 5).schema["doc_id"].dataType.simpleString() == "string"
 
 
 def test_inventory_and_readiness(spark):

@@ -75,24 +75,28 @@ def entries_of(fanned: DataFrame, table: str) -> DataFrame:
 
 
 def populate_profile(parsed: DataFrame, root: str, dedupe: bool = False) -> None:
-    """Write parsed resumes into the store: skills are replaced, the other tables grow.
+    """Write parsed resumes into the store: a candidate's skills are replaced, the other tables grow.
 
     A second run therefore repeats the entries of the other tables; dedupe=True
-    leaves out those already there. If nothing was parsed for skills, the
-    stored skills stay.
+    leaves out those that the candidate has already. Candidates for whom no
+    skills were parsed keep those stored.
     """
     spark = parsed.sparkSession
     use_checkpoint_dir(spark)
     fanned = fan_out(parsed).checkpoint()  # parsed once for the four tables it is written to
     for table in FAN_OUT_TABLES:
-        entries = entries_of(fanned, table).drop("candidate_id", "seq")
+        entries = entries_of(fanned, table).withColumn("seq", F.col("seq").cast("bigint"))
         if table == "skills":
             if not entries.isEmpty():
                 store.overwrite_profile(entries, root, table)
             continue
         if dedupe:
-            # exceptAll and distinct compare whole entries; neither collects a group.
-            entries = entries.distinct().exceptAll(store.read_profile(spark, root, table).distinct())
+            # Whole entries are compared, at their first place; no group is collected.
+            whole = [c for c in entries.columns if c != "seq"]
+            entries = entries.groupBy(*whole).agg(F.min("seq").alias("seq"))
+            stored = store.read_profile(spark, root, table).select(*[F.col(c).alias("_" + c) for c in whole]).distinct()
+            same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in whole]
+            entries = entries.join(stored, same, "left_anti")
         store.append_profile(entries, root, table)
 
 
@@ -107,10 +111,10 @@ def skills_from_projects(projects: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def save_project(spark: SparkSession, projects: DataFrame, root: str) -> None:
-    """Append projects and the skills entries derived from them."""
-    columns = _COLUMNS["projects"]
-    store.append_profile(projects.select(*columns), root, "projects")
-    store.append_profile(skills_from_projects(projects, []), root, "skills")
+    """Append candidates' projects and the skills entries derived from them."""
+    key = ["candidate_id", "seq"]
+    store.append_profile(projects.select(*key, *_COLUMNS["projects"]), root, "projects")
+    store.append_profile(skills_from_projects(projects, key), root, "skills")
 
 
 def skill_inventory(skills: DataFrame) -> DataFrame:

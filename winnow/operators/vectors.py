@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 
@@ -22,17 +22,23 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     query go on, so a query shuffles k rows per task and not the corpus.
 
     The queries are counted first and must fit one slice, a bound fixed by
-    MAX_SLICE_CELLS; more are searched with `cosine_topk_sliced`.
+    MAX_SLICE_CELLS; more are searched with `cosine_topk_sliced`. Vectors that
+    are null, hold nulls or differ in size from the longest query are not
+    compared: as queries they have no rows, and they are found by none.
     """
+    queries = queries.filter(_whole())
     found = queries.select("query_id", "embedding").limit(MAX_SLICE_CELLS + 1)
     width = found.agg(F.max(F.size("embedding")).alias("w"), F.count("*").alias("n")).first()
     if width["n"] * (width["w"] or 0) > MAX_SLICE_CELLS:
         raise ValueError("too many queries for one slice; use cosine_topk_sliced")
-    rows = found.orderBy("query_id").collect()
+    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    rows = found.filter(F.size("embedding") == (width["w"] or 0)).orderBy("query_id").collect()
     if not rows:
         return corpus.sparkSession.createDataFrame(
-            [], "query_id bigint, rank int, doc_id bigint, score double"
+            [], f"query_id {query_kind}, rank int, doc_id {kinds['doc_id']}, score double"
         )
+    corpus = corpus.filter(_whole() & (F.size("embedding") == width["w"]))
     ids = np.array([r["query_id"] for r in rows])
     matrix = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -60,8 +66,6 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if best is not None:
             yield best
 
-    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    query_kind = queries.schema["query_id"].dataType.simpleString()
     partial = corpus.select("doc_id", "embedding").mapInPandas(
         nearest, f"query_id {query_kind}, doc_id {kinds['doc_id']}, score double"
     )
@@ -80,6 +84,10 @@ def cosine_topk_sliced(corpus: DataFrame, queries: DataFrame, k: int, slices: in
         yield cosine_topk(corpus, part, k)
 
 
+def _whole() -> Column:
+    return F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)

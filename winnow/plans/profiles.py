@@ -11,6 +11,7 @@ from winnow.operators import conform, profiles, prompts, vectors
 from winnow.plans import screening as screening_plans, tables as src
 from winnow.plans.registry import query
 from winnow.session import use_checkpoint_dir
+from winnow.sources import profiles as store
 from winnow.streaming import screening as streaming
 
 # --- profile tables ----------------------------------------------------------------
@@ -72,6 +73,52 @@ def profile_fan_out(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "profile_store",
+    """WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+    t AS (SELECT doc_id, unnest(['skills', 'projects', 'responsibilities', 'misc']) AS profile_table, n FROM l)
+    SELECT doc_id AS candidate_id, profile_table,
+      CASE WHEN profile_table = 'misc' THEN 1 ELSE n END * CASE WHEN doc_id % 3 = 0 AND profile_table <> 'skills'
+        THEN 2 ELSE 1 END AS n_entries,
+      CASE WHEN profile_table = 'misc' THEN 1 ELSE n END * CASE WHEN doc_id % 3 = 0 AND profile_table <> 'skills'
+        THEN 2 ELSE 1 END - 1 AS last_seq FROM t""",
+)
+def profile_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All candidates written to the store, every third a second time, and read back."""
+    root = _new_folder(spark)
+    parsed = parsed_resumes(spark, folder)
+    profiles.populate_profile(parsed, root)
+    profiles.populate_profile(parsed.filter(F.pmod("candidate_id", F.lit(3)) == 0), root)
+    return _stored_counts(spark, root, profiles.FAN_OUT_TABLES)
+
+
+def _stored_counts(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
+    counted = None
+    for table in tables:
+        held = store.read_profile(spark, root, table)
+        part = held.groupBy("candidate_id", F.lit(table).alias("profile_table")).agg(
+            F.count("*").alias("n_entries"), F.max("seq").alias("last_seq")
+        )
+        counted = part if counted is None else counted.unionByName(part)
+    return counted
+
+
+@query(
+    "stream_profile",
+    """SELECT doc_id AS candidate_id, 'misc' AS profile_table, 2::BIGINT AS n_entries, 1::BIGINT AS last_seq FROM documents""",
+)
+def stream_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries put into the store by a batch job and, again, as a stream."""
+    root = _new_folder(spark)
+    fanned = profiles.entries_of(profiles.fan_out(parsed_resumes(spark, folder)), "misc")
+    entries = fanned.withColumn("seq", F.col("seq").cast("bigint"))
+    store.append_profile(entries, root, "misc")
+    entries.write.parquet(f"{root}/arriving")
+    arriving = spark.readStream.schema(entries.schema).parquet(f"{root}/arriving")
+    streaming.append_stream(arriving, root, "misc", "form", f"{root}/state").awaitTermination()
+    return _stored_counts(spark, root, ["misc"])
+
+
 def order_roles(spark: SparkSession, folder: str) -> DataFrame:
     return src.load(spark, folder, "orders").select(
         F.col("o_custkey").alias("candidate_id"),

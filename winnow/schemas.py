@@ -18,6 +18,10 @@ PROFILE_ENTRIES = {
     "misc": MISC_ENTRY,
 }
 
+# A store row: whose entry it is and its place among theirs.
+ENTRY_KEY = "candidate_id bigint, seq bigint"
+STORED = {table: f"{ENTRY_KEY}, {entry}" for table, entry in PROFILE_ENTRIES.items()}
+
 # Parsed resume: what an extraction step hands to the fan-out.
 PARSED_RESUME = """
     candidate_id bigint,

@@ -8,44 +8,58 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from winnow import schemas
 from winnow.session import use_checkpoint_dir
 
-def read_profile_json(spark: SparkSession, root: str, key: str) -> DataFrame:
-    """Import a JSON array file; a missing or unparsable file gives an empty table."""
+
+def read_profile_json(spark: SparkSession, root: str, key: str, candidate_id: int) -> DataFrame:
+    """Import a candidate's JSON array file; a missing or unparsable file gives an empty table."""
     schema = schemas.PROFILE_ENTRIES[key]
     try:
         files = spark.read.text(f"{root}/{key}.json", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schemas.STORED[key])
     struct = schema.replace(", ", ",").replace(" ", ":")
     entries = F.try_variant_get(F.try_parse_json("value"), "$", f"array<struct<{struct}>>")
-    return files.select(F.inline(entries))
+    placed = files.select(F.posexplode(entries).alias("seq", "e"))
+    return placed.select(F.lit(candidate_id).cast("bigint").alias("candidate_id"), F.col("seq").cast("bigint").alias("seq"), "e.*")
 
 
-def read_profile(spark: SparkSession, root: str, key: str, schema: str | None = None) -> DataFrame:
-    """Read a store table; one that was never written is empty."""
-    schema = schema or schemas.PROFILE_ENTRIES[key]
+def read_profile(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """Read a store table, (candidate_id, seq, entry); one that was never written is empty."""
     try:
         # Streamed entries sit in folders of their own below the table's.
-        reader = spark.read.schema(schema).option("recursiveFileLookup", True)
+        reader = spark.read.schema(schemas.STORED[key]).option("recursiveFileLookup", True)
         return reader.parquet(f"{root}/{key}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schemas.STORED[key])
 
 
 def append_profile(entries: DataFrame, root: str, key: str) -> None:
-    """Append entries as they are; the store never removes duplicates."""
-    entries.write.mode("append").parquet(f"{root}/{key}")
+    """Append candidates' entries after those that they have; the store never removes duplicates.
+
+    Of the stored entries only the ids and places are read.
+    """
+    after(entries, read_profile(entries.sparkSession, root, key)).write.mode("append").parquet(f"{root}/{key}")
+
+
+def after(entries: DataFrame, held: DataFrame) -> DataFrame:
+    """Entries with their places moved on past those that the candidate has already."""
+    last = held.groupBy("candidate_id").agg(F.max("seq").alias("_last"))
+    moved = entries.join(last, "candidate_id", "left").withColumn("seq", F.col("seq") + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    return moved.select(*entries.columns)
 
 
 def overwrite_profile(entries: DataFrame, root: str, key: str) -> None:
-    """Replace a store table.
+    """Replace the entries of the candidates that the new ones belong to; other candidates keep theirs.
 
     The new rows are checkpointed first: they may have been read from the very
     files that the overwrite removes, and an executor lost half-way would then
     have nothing to recompute them from.
     """
-    use_checkpoint_dir(entries.sparkSession)
-    entries.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}")
+    spark = entries.sparkSession
+    use_checkpoint_dir(spark)
+    others = read_profile(spark, root, key).join(entries.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    whole = others.unionByName(entries.select(*others.columns))
+    whole.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from winnow.operators import screening, skills
+from winnow.session import use_checkpoint_dir
+from winnow.sources.profiles import after, read_profile
 
 APPLICATION = "application_id bigint, resume_id bigint, jd_id bigint, submitted_at timestamp"
 
@@ -96,15 +98,22 @@ def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def append_stream(entries: DataFrame, root: str, key: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Append arriving profile entries to a store table.
+    """Append arriving profile entries (candidate_id, seq, entry) to a store table.
 
     Each batch writes a folder of its own and a repeated batch replaces it, so
     a retry adds nothing twice. The plain file sink would not do: its log
     hides the entries that batch jobs have put into the same table.
     """
 
+    use_checkpoint_dir(entries.sparkSession)
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/{key}/stream-{name}-{number}")
+        folder = f"stream-{name}-{number}"
+        # Places follow those of the other batches and tables; a repeated batch must not count itself.
+        own = F.col("_metadata.file_path").contains(f"/{folder}/")
+        held = read_profile(batch.sparkSession, root, key).filter(~own) if _exists(batch.sparkSession, f"{root}/{key}") else None
+        placed = batch if held is None else after(batch, held)
+        placed.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}/{folder}")
 
     return (
         entries.writeStream.foreachBatch(put)
