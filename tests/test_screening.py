@@ -19,7 +19,7 @@ APP = "application_id bigint, resume_id bigint, jd_id bigint"
 def routed(spark):
     resumes = spark.createDataFrame(
         [
-            (1, "t", "Ada Example", 14.0, ["LangGraph", "Pinecone", "Azure", "Python", "Pydantic", "React", "Node.js"]),
+            (1, "t", "Ada Example", 14.0, ["Weaving", "Dyeing", "Kiln", "Python", "Glaze", "Loom", "Node.js"]),
             (2, "t", "Bo Example", 8.0, ["PYTHON"]),
             (3, "t", "Cy Example", None, None),
         ],
@@ -27,9 +27,9 @@ def routed(spark):
     )
     jds = spark.createDataFrame(
         [
-            (1, "Acme", "Lead GenAI engineer", 10.0,
-             ["LangGraph", "LangChain", "Pinecone", "Chroma DB", "FAISS", "Python", "FastAPI", "Azure", "Pydantic"]),
-            (2, "Acme", "Principal research architect", 18.0, ["PyTorch", "C++", "CUDA", "LLVM"]),
+            (1, "Acme", "Head of the workshop", 10.0,
+             ["Weaving", "Carding", "Dyeing", "Felt work", "Spinning", "Python", "Carving", "Kiln", "Glaze"]),
+            (2, "Acme", "Master of the forge", 18.0, ["Anvil", "C++", "Bellows", "Quench"]),
             (3, "Acme", "Dev", None, ["Python", " python ", "SQL"]),
             (4, "Acme", "Any", 0.0, []),
         ],
