@@ -63,7 +63,11 @@ def _with_leaders(docs: DataFrame, similarity: float) -> DataFrame:
     distinct = stored(texts.groupBy("key").agg(F.min("place").alias("node"), first), "near-distinct")
     alone = distinct.select(F.col("node").alias("place"))
     members = stored(_with_centres(_shared_buckets(texts.join(alone, "place", "left_semi"))), "near-buckets")
-    nodes = texts.select(F.col("place").alias("node"), "sketches", "words")
+    # Texts of shared buckets only travel on. The hints keep one plan at every
+    # size: words are sorted by text once, however few the pairs that ask for them.
+    shared = members.select("node").distinct().hint("merge")
+    nodes = texts.select(F.col("place").alias("node"), "sketches", "words").join(shared, "node", "left_semi")
+    nodes = stored(nodes, "near-words")
 
     links = stored(aligned(_central_pairs(members, similarity), nodes, similarity), "near-links")
     rest = stored(_other_links(members, components(links), nodes, similarity), "near-rest")
@@ -246,7 +250,7 @@ def _other_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, simila
     now = now.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = [F.col("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    now = now.select(*group, "band", "node", "label", "centre", "block").join(nodes, "node")
+    now = now.select(*group, "band", "node", "label", "centre", "block").join(nodes.hint("merge"), "node")
     now = now.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +342,8 @@ def _may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray
 def aligned(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs whose texts align to the similarity."""
     words = nodes.select("node", "words")
-    met = pairs.join(words.withColumnsRenamed({"node": "a", "words": "words_a"}), "a")
-    met = met.join(words.withColumnsRenamed({"node": "b", "words": "words_b"}), "b")
+    met = pairs.join(words.withColumnsRenamed({"node": "a", "words": "words_a"}).hint("merge"), "a")
+    met = met.join(words.withColumnsRenamed({"node": "b", "words": "words_b"}).hint("merge"), "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[int, np.ndarray] = {}
