@@ -413,6 +413,40 @@ def test_licences_found_and_inherited(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+RESERVED = "Copyright (c) 2001, A. N. Author\nAll rights reserved."
+
+
+def own_licences(spark, texts):
+    files = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("path", F.lit(None).cast("string"))
+    return [r["own_license"] for r in licenses.scan(files).orderBy("id").collect()]
+
+
+def test_licences_wrapped_as_usual(spark):
+    wants = [("MIT", MIT), ("MIT", MIT.replace("is hereby", "is\nhereby")), ("BSD-3-Clause", BSD), ("MPL-2.0", MPL)]
+    wants += [("BSD-3-Clause", f"{RESERVED}\n\n{BSD}"), ("Proprietary", RESERVED), ("MIT", f"{RESERVED}\n\n{MIT}")]
+    wants += [("GPL-2.0", GPL), ("GPL-3.0", GPL.replace("version 2", "version 3"))]
+    wants += [("LGPL-3.0", GPL.replace("General", "Lesser General").replace("version 2", "version 3"))]
+    wants += [(name, "/*\n" + "".join(f" * {line}\n" for line in text.split("\n")) + " */\nint x;") for name, text in wants]
+    wants += [(name, prose(6, 400) + "\n" + text + "\n" + prose(7, 400)) for name, text in wants]
+    wants.append((None, prose(8, 400)))
+    assert own_licences(spark, [text for _, text in wants]) == [name for name, _ in wants]
+
+
 # Vectors
 
 

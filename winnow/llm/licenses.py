@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
@@ -40,6 +42,9 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal license.", "SPDX-License-Identifier: CC0-1.0"),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "GPL-3.0": (
@@ -51,6 +56,12 @@ TEMPLATES = {
     ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 3 of the License, or (at "
+        "your option) any later version.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "MIT": (
@@ -70,8 +81,13 @@ LEAST = 0.75
 RUN, LONG = 8, 160
 LICENCE_FILES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
-_CUE = re.compile(r"licen[cs]|copyright|permission is hereby|redistribut|all rights reserved|spdx|public domain|creative commons", re.I)
-_BREAK = re.compile(r"(?<=[.!?;:])\s+|\n")
+# Words of a mention may stand on two lines, with the marks of a comment between them.
+_CUE = re.compile(
+    r"licen[cs]|copyright|permission\W+is\W+hereby|redistribut|all\W+rights\W+reserved|spdx|public\W+domain|creative\W+commons",
+    re.I,
+)
+# Sentences of single lines, and of paragraphs: lines up to one without a word.
+_BREAKS = (re.compile(r"(?<=[.!?;:])\s+|\n"), re.compile(r"(?<=[.!?;:])\s+|\n(?:[^\w\n]*\n)+"))
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?")
 
 
@@ -86,21 +102,49 @@ def passages_of(text: str) -> list[str]:
     Sentences and lines with a mention, each alone and together with those
     right before it; and, where one runs on, the words near each mention.
     """
-    out, run = [], []
-    for sentence in _BREAK.split(text) if _CUE.search(text) else ():
-        if _CUE.search(sentence):
-            run = [*run[-RUN + 1 :], sentence]
-            out += [sentence] if len(run) == 1 else [sentence, " ".join(run)]
-            if len(sentence) > LONG:
-                for cue in _CUE.finditer(sentence):
-                    before = sentence[max(0, cue.start() - LONG) : cue.start()].split(" ")
-                    after = sentence[cue.start() : cue.end() + LONG].split(" ")
-                    out += [" ".join([*before[-b:], *after[:a]]) for b in (3, 8) for a in (5, 12)]
-        elif sentence.strip():
-            run = []
+    out = []
+    for cut in _BREAKS if _CUE.search(text) else ():
+        run = []
+        for sentence in cut.split(text):
+            if _CUE.search(sentence):
+                run = [*run[-RUN + 1 :], sentence]
+                out += [sentence] if len(run) == 1 else [sentence, " ".join(run)]
+                if len(sentence) > LONG:
+                    for cue in _CUE.finditer(sentence):
+                        before = sentence[max(0, cue.start() - LONG) : cue.start()].split(" ")
+                        after = sentence[cue.start() : cue.end() + LONG].split(" ")
+                        out += [" ".join([*before[-b:], *after[:a]]) for b in (3, 8) for a in (5, 12)]
+            elif sentence.strip():
+                run = []
     return out
 
 
+def near_mentions(text: str, reach: int) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
+    """The terms up to `reach` from a mention, over line and sentence ends, and the first and last term of each mention.
+
+    Mentions with terms in common come together.
+    """
+    lowered = text.lower()
+    starts, terms = array("q"), []
+    for term in _TERM.finditer(lowered):
+        starts.append(term.start())
+        terms.append(term[0].removesuffix(".0"))
+    together: list[tuple[int, int]] = []
+
+    def piece() -> tuple[list[str], list[tuple[int, int]]]:
+        low = max(0, together[0][0] - reach)
+        return terms[low : together[-1][1] + reach + 1], [(a - low, b - low) for a, b in together]
+
+    for cue in _CUE.finditer(lowered):
+        first, last = bisect_right(starts, cue.start()) - 1, bisect_left(starts, cue.end()) - 1
+        if together and first - reach > together[-1][1] + reach:
+            yield piece()
+            together = []
+        together.append((first, last))
+    if together:
+        yield piece()
+
+
 def term_weights(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[str, float]:
     """The inverse document frequency, over all files, of every term of the templates; as many as these have."""
     vocabulary = frozenset(t for texts in templates.values() for text in texts for t in terms_of(text))
@@ -127,6 +171,13 @@ class Matcher:
         self.weights = weights
         self.unknown = max(weights.values(), default=1.0)
         self.templates = [(name, self._vector(text)) for name in sorted(templates) for text in templates[name]]
+        self.widths: dict[int, list[tuple[str, dict[str, float]]]] = {}
+        texts = [text for name in sorted(templates) for text in templates[name]]
+        for template, text in zip(self.templates, texts, strict=True):
+            for width in widths_for(len(terms_of(text))):
+                self.widths.setdefault(width, []).append(template)
+        # By how often a term occurs, its weight's factor.
+        self.factors = [0.0, *(1 + log(n) for n in range(1, max(self.widths, default=0) + 1))]
 
     def _vector(self, text: str) -> dict[str, float]:
         raw = {t: (1 + log(n)) * self.weights.get(t, self.unknown) for t, n in Counter(terms_of(text)).items()}
@@ -134,23 +185,78 @@ class Matcher:
         return {t: v / length for t, v in raw.items()}
 
     def best(self, text: str) -> tuple[str | None, float]:
-        """The licence of the closest template to any passage of the text; of equal ones the first by name."""
+        """The licence of the closest template to any passage or window of the text; of equal ones the first by name."""
         found: tuple[float, str | None] = (0.0, None)
         for passage in dict.fromkeys(passages_of(text)):
             vector = self._vector(passage)
             for name, template in self.templates:
-                cosine = sum(v * vector.get(t, 0.0) for t, v in template.items())
-                if cosine > found[0] + 1e-12 or (found[1] and abs(cosine - found[0]) <= 1e-12 and name < found[1]):
-                    found = (cosine, name)
+                found = _closer(found, sum(v * vector.get(t, 0.0) for t, v in template.items()), name)
+        if _CUE.search(text):
+            for terms, mentions in near_mentions(text, max(self.widths, default=0)):
+                found = self._best_window(terms, mentions, found)
         return found[1], found[0]
 
+    def _best_window(
+        self, terms: list[str], mentions: list[tuple[int, int]], found: tuple[float, str | None]
+    ) -> tuple[float, str | None]:
+        """The closest of what was found and of all windows that hold a part of a mention, for each template of its widths."""
+        there = set(terms)
+        # No window is closer to a template than the terms in common allow.
+        bounds = {
+            width: max(sqrt(sum(v * v for t, v in template.items() if t in there)) for _, template in group)
+            for width, group in self.widths.items()
+        }
+        for width in sorted(bounds, key=lambda w: (-bounds[w], w)):
+            if bounds[width] < found[0] - 1e-12:
+                break
+            found = self._slide(terms, mentions, width, found)
+        return found
+
+    def _slide(
+        self, terms: list[str], mentions: list[tuple[int, int]], width: int, found: tuple[float, str | None]
+    ) -> tuple[float, str | None]:
+        group, factors = self.widths[width], self.factors
+        counts: dict[str, int] = {}
+        products, square = [0.0] * len(group), 0.0
+        begin = end = 0
+        for first, last in mentions:
+            for start in range(max(begin, first - width + 1), max(0, min(last, len(terms) - width)) + 1):
+                stop = min(start + width, len(terms))
+                if start >= end:
+                    counts, products, square, begin, end = {}, [0.0] * len(group), 0.0, start, start
+                for at, step in [*((i, -1) for i in range(begin, start)), *((i, 1) for i in range(end, stop))]:
+                    term = terms[at]
+                    n = counts.get(term, 0)
+                    counts[term] = n + step
+                    weight, old, new = self.weights.get(term, self.unknown), factors[n], factors[n + step]
+                    square += weight * weight * (new * new - old * old)
+                    for k, (_, template) in enumerate(group):
+                        if term in template:
+                            products[k] += template[term] * weight * (new - old)
+                begin, end = start, stop
+                length = sqrt(square)
+                for k, (name, _) in enumerate(group):
+                    found = _closer(found, products[k] / length, name)
+        return found
+
+
+def widths_for(length: int) -> set[int]:
+    """The widths of the windows that are compared with a template of so many terms."""
+    return {length} - {0}
+
+
+def _closer(found: tuple[float, str | None], cosine: float, name: str) -> tuple[float, str | None]:
+    better = cosine > found[0] + 1e-12 or (found[1] and abs(cosine - found[0]) <= 1e-12 and name < found[1])
+    return (cosine, name) if better else found
+
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, own_license, score, license, inherited_from) of every row of (id, path, text).
 
     `own_license` is that of the template with the largest cosine to a passage
-    anywhere in the text, if it is `least` or more; `score` is that cosine. A
-    file without one has the licence of the nearest directory, its own or one
+    or to a window of its own length around a mention, over line ends, anywhere
+    in the text, if it is `least` or more; `score` is that cosine. A file
+    without one has the licence of the nearest directory, its own or one
     above it, that holds a licence file (by name) with a licence of its own;
     `inherited_from` is that directory, '' the root. Of several licence files
     in a directory the highest score counts, then the first by path and name.
