@@ -447,6 +447,16 @@ def test_licences_wrapped_as_usual(spark):
     assert own_licences(spark, [text for _, text in wants]) == [name for name, _ in wants]
 
 
+def test_licences_in_long_lines(spark):
+    grants = [("MIT", MIT), ("BSD-3-Clause", BSD), ("MPL-2.0", MPL), ("GPL-2.0", GPL)]
+    joined = [(name, " ".join(text.split())) for name, text in grants]
+    wants = [(name, f"{prose(9, 300)} {text.replace('.', '').replace(':', '')} {prose(10, 300)}") for name, text in joined]
+    # A mark put in at every former line end, and a grant that is cut short.
+    wants += [(name, f"{prose(11, 300)} {text} {prose(12, 300)}".replace("\n", " <br> ")) for name, text in grants]
+    wants += [("MIT", f"{prose(13, 300)} {' '.join(joined[0][1].split()[:21])} {prose(14, 300)}")]
+    assert own_licences(spark, [text for _, text in wants]) == [name for name, _ in wants]
+
+
 # Vectors
 
 

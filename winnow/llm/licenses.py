@@ -77,8 +77,8 @@ TEMPLATES = {
     "Proprietary": ("Copyright. All rights reserved.",),
 }
 LEAST = 0.75
-# Sentences that are read together; characters from which on the words near a mention are read by themselves.
-RUN, LONG = 8, 160
+# Sentences that are read together.
+RUN = 8
 LICENCE_FILES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 # Words of a mention may stand on two lines, with the marks of a comment between them.
@@ -97,11 +97,7 @@ def terms_of(text: str) -> list[str]:
 
 
 def passages_of(text: str) -> list[str]:
-    """What a text says around each mention of a licence.
-
-    Sentences and lines with a mention, each alone and together with those
-    right before it; and, where one runs on, the words near each mention.
-    """
+    """Sentences and lines with a mention of a licence, each alone and together with those right before it."""
     out = []
     for cut in _BREAKS if _CUE.search(text) else ():
         run = []
@@ -109,11 +105,6 @@ def passages_of(text: str) -> list[str]:
             if _CUE.search(sentence):
                 run = [*run[-RUN + 1 :], sentence]
                 out += [sentence] if len(run) == 1 else [sentence, " ".join(run)]
-                if len(sentence) > LONG:
-                    for cue in _CUE.finditer(sentence):
-                        before = sentence[max(0, cue.start() - LONG) : cue.start()].split(" ")
-                        after = sentence[cue.start() : cue.end() + LONG].split(" ")
-                        out += [" ".join([*before[-b:], *after[:a]]) for b in (3, 8) for a in (5, 12)]
             elif sentence.strip():
                 run = []
     return out
@@ -241,8 +232,12 @@ class Matcher:
 
 
 def widths_for(length: int) -> set[int]:
-    """The widths of the windows that are compared with a template of so many terms."""
-    return {length} - {0}
+    """The widths of the windows that are compared with a template of so many terms.
+
+    Its own, a quarter less for grants that are cut short, and a quarter more
+    for those with words or marks put in.
+    """
+    return {length - length // 4, length, length + length // 4 + 1} if length else set()
 
 
 def _closer(found: tuple[float, str | None], cosine: float, name: str) -> tuple[float, str | None]:
@@ -254,8 +249,8 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     """(id, path, own_license, score, license, inherited_from) of every row of (id, path, text).
 
     `own_license` is that of the template with the largest cosine to a passage
-    or to a window of its own length around a mention, over line ends, anywhere
-    in the text, if it is `least` or more; `score` is that cosine. A file
+    or to a window of about its own length around a mention, over line ends,
+    anywhere in the text, if it is `least` or more; `score` is that cosine. A file
     without one has the licence of the nearest directory, its own or one
     above it, that holds a licence file (by name) with a licence of its own;
     `inherited_from` is that directory, '' the root. Of several licence files
