@@ -287,6 +287,32 @@ def test_search_passes_over_vectors_that_cannot_be_compared(spark):
     assert vectors.cosine_topk(corpus, queries.limit(0), 5).schema["doc_id"].dataType.simpleString() == "string"
 
 
+def test_search_compares_each_query_with_vectors_of_its_size(spark, tmp_path):
+    kind = "string, embedding array<double>"
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0, None]), ("d", [1.0, 2.0, 3.0]), ("e", [0.0, 1.0])], f"doc_id {kind}")
+    asked = [("q", [1.0, 0.1]), ("r", None), ("s", [1.0, 2.0, 3.0]), ("t", [1.0, None]), ("u", [1.0]), ("v", []), (None, [1.0, 0.0])]
+    queries = spark.createDataFrame(asked, f"query_id {kind}")
+    want = [(None, None, None, "null id"), ("q", 1, "a", "compared"), ("q", 2, "e", "compared"), ("r", None, None, "null vector")]
+    want += [("s", 1, "d", "compared"), ("t", None, None, "null in vector"), ("u", None, None, "no vector of its size"), ("v", None, None, "empty vector")]
+    rows = lambda frames: sorted((tuple(r)[:3] + (r["status"],) for f in frames for r in f.collect()), key=str)
+    assert rows([vectors.cosine_topk_by_size(corpus, queries, 5)]) == sorted(want, key=str)
+    for slices in (1, 2, 5):
+        assert rows(vectors.cosine_topk_sliced(corpus, queries, 5, slices)) == sorted(want, key=str)
+    assert vectors.cosine_topk_by_size(corpus, queries.limit(0), 5).count() == 0
+
+
+def test_one_longer_embedding_costs_other_labels_nothing(spark, tmp_path):
+    rows = [(i, [float(i % 5 + 1), float(i % 3), 1.0], i % 2) for i in range(40)]
+    kind = "vec_id bigint, embedding array<float>, label int"
+    from winnow.plans import QUERIES
+
+    for name, more in (("even", []), ("odd", [(40, [1.0, 2.0, 3.0, 4.0], 1)])):
+        spark.createDataFrame(rows + more, kind).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    even, odd = ({tuple(r) for r in QUERIES["cosine_topk"](spark, f"{tmp_path}/{name}").collect()} for name in ("even", "odd"))
+    assert {r for r in odd if r[0] == 0} == {r for r in even if r[0] == 0} and len({r for r in odd if r[0] == 0}) == 10
+    assert [r[:3] for r in odd if r[0] == 1] == [(1, 1, 40)]
+
+
 def test_inventory_and_readiness(spark):
     skills = spark.createDataFrame([("c", ["a", "A", "b"]), ("d", ["a"])], schemas.SKILL_ENTRY)
     got = sorted(tuple(r) for r in profiles.skill_inventory(skills).collect())

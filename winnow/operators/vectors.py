@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from winnow import fixed_values as fixed
 
@@ -24,50 +24,89 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The queries are counted first and must fit one slice, a bound fixed by
     MAX_SLICE_CELLS; more are searched with `cosine_topk_sliced`. Vectors that
     are null, hold nulls or differ in size from the longest query are not
-    compared: as queries they have no rows, and they are found by none.
+    compared: as queries they have no rows, and they are found by none. Where
+    sizes may differ use `cosine_topk_by_size`.
     """
     queries = queries.filter(_whole())
     found = queries.select("query_id", "embedding").limit(MAX_SLICE_CELLS + 1)
     width = found.agg(F.max(F.size("embedding")).alias("w"), F.count("*").alias("n")).first()
     if width["n"] * (width["w"] or 0) > MAX_SLICE_CELLS:
         raise ValueError("too many queries for one slice; use cosine_topk_sliced")
-    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    query_kind = queries.schema["query_id"].dataType.simpleString()
     rows = found.filter(F.size("embedding") == (width["w"] or 0)).orderBy("query_id").collect()
+    return _search(corpus, rows, queries.schema["query_id"].dataType.simpleString(), k)
+
+
+def cosine_topk_by_size(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, score, status): each query against the corpus vectors of its own size.
+
+    As `cosine_topk`, but queries may differ in size; the corpus is still read
+    once. The status is 'compared', or, in the one row without rank, document
+    and score of a query that cannot be compared, the reason: 'null id', 'null
+    vector', 'empty vector', 'null in vector' or 'no vector of its size'.
+    """
+    asked = queries.select("query_id", "embedding").limit(MAX_SLICE_CELLS + 1)
+    # A query without a vector counts as one cell.
+    cells = asked.agg(F.sum(F.greatest(F.coalesce(F.size("embedding"), F.lit(1)), F.lit(1))).alias("n")).first()["n"]
+    if (cells or 0) > MAX_SLICE_CELLS:
+        raise ValueError("too many queries for one slice; use cosine_topk_sliced")
+    rows = asked.withColumn("status", _hindrance()).orderBy("query_id").collect()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    found = _search(corpus, [r for r in rows if r["status"] is None], query_kind, k)
+    # An id that repeats is compared if one of its vectors is.
+    hindered: dict = {}
+    for row in rows:
+        known = hindered.setdefault(row["query_id"], row["status"])
+        hindered[row["query_id"]] = None if known is None else row["status"]
+    statuses = corpus.sparkSession.createDataFrame(list(hindered.items()), f"query_id {query_kind}, _hindrance string")
+    status = F.coalesce("_hindrance", F.when(F.col("rank").isNotNull(), "compared").otherwise("no vector of its size"))
+    joined = statuses.join(found, "query_id", "left")
+    return joined.select("query_id", "rank", "doc_id", "score", status.alias("status"))
+
+
+def _search(corpus: DataFrame, rows: list[Row], query_kind: str, k: int) -> DataFrame:
+    """The k nearest corpus vectors of its own size of each (query_id, embedding), in one pass over the corpus."""
+    doc_kind = corpus.schema["doc_id"].dataType.simpleString()
     if not rows:
-        return corpus.sparkSession.createDataFrame(
-            [], f"query_id {query_kind}, rank int, doc_id {kinds['doc_id']}, score double"
+        return corpus.sparkSession.createDataFrame([], f"query_id {query_kind}, rank int, doc_id {doc_kind}, score double")
+    by_size: dict[int, list[Row]] = {}
+    for row in rows:
+        by_size.setdefault(len(row["embedding"]), []).append(row)
+    corpus = corpus.filter(_whole() & F.size("embedding").isin(list(by_size)))
+    asked = {
+        size: (
+            np.array([r["query_id"] for r in alike]),
+            _unit(np.array([r["embedding"] for r in alike], dtype="float64")),
         )
-    corpus = corpus.filter(_whole() & (F.size("embedding") == width["w"]))
-    ids = np.array([r["query_id"] for r in rows])
-    matrix = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+        for size, alike in by_size.items()
+    }
+    shared = corpus.sparkSession.sparkContext.broadcast(asked)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = shared.value
         best = None
-        for batch in batches:
-            vectors = _unit(np.array(batch["embedding"].tolist(), dtype="float64"))
-            scores = query_matrix @ vectors.T
-            if len(batch) > k:
-                # Whatever reaches the k-th score may still be needed: ties go by id later.
-                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                query_at, doc_at = np.nonzero(scores >= kth)
-            else:
-                query_at, doc_at = np.nonzero(np.ones_like(scores, dtype=bool))
-            frame = pd.DataFrame(
-                {
-                    "query_id": query_ids[query_at],
-                    "doc_id": batch["doc_id"].to_numpy()[doc_at],
-                    "score": scores[query_at, doc_at],
-                }
-            )
-            best = _first(frame if best is None else pd.concat([best, frame]), k)
+        for mixed in batches:
+            for size, batch in mixed.groupby(mixed["embedding"].map(len), sort=False):
+                query_ids, query_matrix = shared.value[size]
+                vectors = _unit(np.array(batch["embedding"].tolist(), dtype="float64"))
+                scores = query_matrix @ vectors.T
+                if len(batch) > k:
+                    # Whatever reaches the k-th score may still be needed: ties go by id later.
+                    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                    query_at, doc_at = np.nonzero(scores >= kth)
+                else:
+                    query_at, doc_at = np.nonzero(np.ones_like(scores, dtype=bool))
+                frame = pd.DataFrame(
+                    {
+                        "query_id": query_ids[query_at],
+                        "doc_id": batch["doc_id"].to_numpy()[doc_at],
+                        "score": scores[query_at, doc_at],
+                    }
+                )
+                best = _first(frame if best is None else pd.concat([best, frame]), k)
         if best is not None:
             yield best
 
     partial = corpus.select("doc_id", "embedding").mapInPandas(
-        nearest, f"query_id {query_kind}, doc_id {kinds['doc_id']}, score double"
+        nearest, f"query_id {query_kind}, doc_id {doc_kind}, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = partial.withColumn("rank", F.row_number().over(order))
@@ -75,19 +114,29 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_topk_sliced(corpus: DataFrame, queries: DataFrame, k: int, slices: int) -> Iterator[DataFrame]:
-    """The same for any number of queries: one result per slice of them, to be written in turn.
+    """`cosine_topk_by_size` for any number of queries: one result per slice of them, to be written in turn.
 
     Only one slice of queries is held at a time.
     """
     for number in range(slices):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number)
-        yield cosine_topk(corpus, part, k)
+        yield cosine_topk_by_size(corpus, part, k)
 
 
 def _whole() -> Column:
     return F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
 
 
+def _hindrance() -> Column:
+    """Why a query cannot be compared with any vector; null if it can."""
+    return (
+        F.when(F.col("query_id").isNull(), "null id")
+        .when(F.col("embedding").isNull(), "null vector")
+        .when(F.size("embedding") == 0, "empty vector")
+        .when(~_whole(), "null in vector")
+    )
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)

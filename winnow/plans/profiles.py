@@ -351,8 +351,8 @@ def centroids(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     corpus = src.load(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    found = vectors.cosine_topk(corpus, centroids(spark, folder), 10)
-    return found.withColumn("score", F.round("score", 6))
+    found = vectors.cosine_topk_by_size(corpus, centroids(spark, folder), 10)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
