@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,6 +105,18 @@ def test_numbering_equals_row_number_for_a_hot_key(spark):
     assert {(r["k"], r["s"]): r["position"] for r in got} == want
 
 
+def test_numbers_of_sparse_places(spark):
+    draw = random.Random(6)
+    seqs = sorted({-(1 << 63), (1 << 63) - 1, *(draw.randrange(-(1 << 63), 1 << 63) for _ in range(500)), *range(-9, 9), *range(1 << 40, (1 << 40) + 99)})
+    rows = spark.createDataFrame([("hot", s) for s in draw.sample(seqs, len(seqs))] + [("k", 1 << 50)], "k string, s bigint")
+    placed = numbered(rows, "k", "s")
+    got = {(r["k"], r["s"]): r["position"] for r in placed.collect()}
+    assert got == {**{("hot", s): i for i, s in enumerate(seqs, 1)}, ("k", 1 << 50): 1}
+    # Ranges are summed within wider ones, not all those of a key in one window.
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"windowspecdefinition\(k#\d+, _wider#\d+L?, _range#", plan)) == 2
+
+
 def test_quick_glance(spark):
     rows = spark.createDataFrame(
         [(1, 10, "T", ["a", "b"]), (1, 20, None, ["c"])],

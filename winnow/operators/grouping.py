@@ -12,13 +12,13 @@ def numbered(
 
     A key is cut into ranges of `width` consecutive seq values. Places are
     counted inside each range and moved on by the sizes of the ranges before
-    it, so with seq unique in its key no task orders more than `width` rows of
-    a key, whatever share of the table the key holds.
+    it. These are summed in the same way, ranges of `width` ranges at a time,
+    so however sparse seq is, with seq unique in its key and the width as it
+    is, no task orders more than `width` rows or ranges of a key together.
     """
     ranged = rows.withColumn("_range", F.floor(F.col(seq) / width))
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_size"))
-    offsets = sizes.select(key, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    offsets = ranged.groupBy(key, "_range").agg(F.count("*").alias("_size"))
+    offsets = _with_sizes_before(offsets, key, width, 2).select(key, "_range", "_before")
     local = F.row_number().over(Window.partitionBy(key, "_range").orderBy(seq))
     placed = ranged.withColumn("_local", local).join(offsets, [key, "_range"])
     return placed.withColumn(name, F.col("_before") + F.col("_local")).drop(
@@ -26,6 +26,21 @@ def numbered(
     )
 
 
+def _with_sizes_before(sizes: DataFrame, key: str, width: int, levels: int) -> DataFrame:
+    """Add to (key, _range, _size) the sizes of all ranges of the key before it; `levels` times by wider ranges first."""
+    if levels == 0:
+        inside = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        return sizes.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    nested = sizes.withColumn("_wider", F.floor(F.col("_range") / width))
+    wider = nested.groupBy(key, F.col("_wider").alias("_range")).agg(F.sum("_size").alias("_size"))
+    wider = _with_sizes_before(wider, key, width, levels - 1)
+    wider = wider.select(key, F.col("_range").alias("_wider"), F.col("_before").alias("_start"))
+    inside = Window.partitionBy(key, "_wider").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    summed = nested.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    placed = summed.join(wider, [key, "_wider"]).withColumn("_before", F.col("_start") + F.col("_inside"))
+    return placed.drop("_wider", "_start", "_inside")
+
+
 def salted_join(
     rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: str, how: str, salts: int = 16
 ) -> DataFrame:
