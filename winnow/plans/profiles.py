@@ -11,7 +11,7 @@ from winnow.operators import conform, profiles, prompts, vectors
 from winnow.plans import screening as screening_plans, tables as src
 from winnow.plans.registry import query
 from winnow.session import use_checkpoint_dir
-from winnow.sources import profiles as store
+from winnow.sources import arrivals, profiles as store
 from winnow.streaming import screening as streaming
 
 # --- profile tables ----------------------------------------------------------------
@@ -385,17 +385,17 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------
 def arriving_applications(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as they lie in their folder, each arriving as an application."""
-    arriving = (
-        spark.readStream.schema(src.SCHEMAS["documents"])
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-        .select("doc_id")
-    )
+    arriving = arrivals.stream_parquet(spark, f"{folder}/documents.parquet", src.SCHEMAS["documents"]).select("doc_id")
     items = src.load(spark, folder, "benchmark").agg(F.count("*")).scalar()
     at = F.timestamp_seconds(F.col("application_id") + F.lit(1_700_000_000))
     return src.with_job(arriving, items).withColumn("submitted_at", at)
 
 
+ROUTED = (
+    "application_id bigint, resume_id bigint, jd_id bigint, n_required int, n_matched int, skill_match double, route string"
+)
+
+
 def _new_folder(spark: SparkSession) -> str:
     return f"{use_checkpoint_dir(spark).rstrip('/')}/screen-{uuid.uuid4().hex}"
 
@@ -409,7 +409,7 @@ def stream_screen(spark: SparkSession, folder: str) -> DataFrame:
     place = _new_folder(spark)
     routed = routed.select(*screening_plans.screen_columns())
     streaming.write_routed(routed, f"{place}/routed", f"{place}/state").awaitTermination()
-    return spark.read.parquet(f"{place}/routed").select(*routed.columns)
+    return arrivals.read_written(spark, f"{place}/routed", routed.schema)
 
 
 @query("screen_arrivals", screening_plans.SCREEN_SQL)
@@ -424,4 +424,4 @@ def screen_arrivals(spark: SparkSession, folder: str) -> DataFrame:
         f"{place}/state",
         ["application_id", "resume_id", "jd_id", "n_required", "n_matched", "skill_match", "route"],
     ).awaitTermination()
-    return spark.read.parquet(f"{place}/routed").select(*screening_plans.screen_columns())
+    return arrivals.read_written(spark, f"{place}/routed", ROUTED).select(*screening_plans.screen_columns())

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from winnow.operators import screening, skills
 from winnow.session import use_checkpoint_dir
+from winnow.sources.arrivals import exists
 from winnow.sources.profiles import after, read_profile
 
 APPLICATION = "application_id bigint, resume_id bigint, jd_id bigint, submitted_at timestamp"
@@ -59,7 +60,7 @@ def screen_arrivals(
 
     def put(batch: DataFrame, number: int) -> None:
         batch = batch.dropDuplicates(["application_id"])
-        if _exists(batch.sparkSession, path):
+        if exists(batch.sparkSession, path):
             done = batch.sparkSession.read.schema("application_id bigint, batch bigint, route string").parquet(path)
             done = done.filter(F.col("batch") != number).select("application_id")
             batch = batch.join(done, "application_id", "left_anti")
@@ -79,11 +80,6 @@ def screen_arrivals(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived, partitioned by route, and stop."""
     return (
@@ -111,7 +107,7 @@ def append_stream(entries: DataFrame, root: str, key: str, name: str, checkpoint
         folder = f"stream-{name}-{number}"
         # Places follow those of the other batches and tables; a repeated batch must not count itself.
         own = F.col("_metadata.file_path").contains(f"/{folder}/")
-        held = read_profile(batch.sparkSession, root, key).filter(~own) if _exists(batch.sparkSession, f"{root}/{key}") else None
+        held = read_profile(batch.sparkSession, root, key).filter(~own) if exists(batch.sparkSession, f"{root}/{key}") else None
         placed = batch if held is None else after(batch, held)
         placed.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}/{folder}")
 
