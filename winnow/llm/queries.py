@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from winnow.llm import embedding_dedup, kneser_ney, licenses, mixing, order_minhash, packing, quality_classifier, quality_rules, sharding, warc
+from winnow.llm import embedding_dedup, filter_audit, kneser_ney, licenses, mixing, order_minhash, packing, quality_classifier, quality_rules, sharding, warc
 from winnow.llm.common import WORD, remainder_of_crc, shared_folder, stored
 from winnow.plans.registry import Query
 
@@ -202,3 +204,45 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         "predicted",
     )
+
+
+_OP11_ORDERS = [("".join(p), i + 1, p[i], "".join(p[:i])) for p in itertools.permutations("ABCDE") for i in range(5)]
+_OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), w AS (
+  SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM d LEFT JOIN l USING (doc_id)
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS failed
+  FROM w
+), o(filter_order, step, own, before) AS (VALUES {", ".join(f"('{a}', {b}, '{c}', '{d}')" for a, b, c, d in _OP11_ORDERS)}
+), x AS (
+  SELECT part, filter_order, step, own, contains(failed, own) AS fails, failed = own AS alone, good, toxic,
+    len(list_filter(string_split(before, ''), lambda b: contains(failed, b) AND b <> '')) > 0 AS gone, count(*) AS n
+  FROM f, o GROUP BY ALL
+), s AS (
+  SELECT part, filter_order, step::INT AS step, own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM s
+"""
+
+
+@query("op11_filter_audit", _OP11_SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{folder}/documents.parquet", read(spark, folder, "labels"))
