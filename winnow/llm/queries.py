@@ -7,7 +7,7 @@ import itertools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from winnow.llm import embedding_dedup, filter_audit, kneser_ney, licenses, mixing, order_minhash, packing, quality_classifier, quality_rules, sharding, warc
+from winnow.llm import collocations, disclosure, embedding_dedup, filter_audit, kneser_ney, licenses, mixing, order_minhash, packing, quality_classifier, quality_rules, sharding, warc
 from winnow.llm.common import WORD, remainder_of_crc, shared_folder, stored
 from winnow.plans.registry import Query
 
@@ -246,3 +246,48 @@ FROM s
 @query("op11_filter_audit", _OP11_SQL)
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(spark, f"{folder}/documents.parquet", read(spark, folder, "labels"))
+
+
+@query("op12_disclosure")
+def op12_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.find(read(spark, folder, "documents"))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+_OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), t AS (
+  SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang
+), i AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k FROM i, range(1, 6) AS r(k) WHERE i + k - 1 <= len(words)
+), f AS (
+  SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, n, cut, x.a AS l, y.a AS r, (1000 * c.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')
+), inside AS (
+  SELECT lang, array_to_string(words[s:s + m - 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1) x
+  ANTI JOIN (SELECT f.* FROM f JOIN inside USING (lang, phrase) WHERE 100 * held >= 100 * f.a) d USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", _OP13_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
