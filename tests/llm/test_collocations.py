@@ -107,3 +107,22 @@ def test_scores_beyond_64_bits(spark):
     row = spark.createDataFrame([(big, 7 * big, [big + 1, big], [big, big + 2])], "a long, n long, heads array<long>, tails array<long>")
     cut = row.select(collocations._weakest_cut(2).alias("c")).first()["c"]
     assert cut["score"] == 1000 * big * 7 * big // ((big + 1) * (big + 2)) and (cut["l"], cut["r"]) == (big + 1, big + 2)
+
+
+def test_candidates_are_all_phrases_of_their_buckets(spark):
+    """Also where phrases share a bucket; what tasks count is summed by key."""
+    draw = np.random.default_rng(4)
+    codes = draw.integers(0, 30, 5000).astype(np.int32)
+    pairs = collections.Counter((a, b) for a, b in zip(codes.tolist(), codes[1:].tolist(), strict=False) if a and b)
+    wanted = sorted(pairs)[::7]
+    first, rest = (np.array(c) for c in zip(*wanted, strict=True))
+    frame = spark.createDataFrame([(bytearray(codes.tobytes()),), (bytearray(codes[:9].tobytes()),)], "codes binary").repartition(2)
+    words = spark.range(1, 30).selectExpr("int(id) AS id", "int(id) AS word")
+    found = collocations._candidates(frame, 3, [], collocations.hashes(first, rest), words, 100).collect()
+    assert sorted((r["first"], r["rest"]) for r in found) == wanted and all(r["word"] == r["rest"] for r in found)
+    assert sorted(r["id"] for r in found) == list(range(101, 101 + len(wanted)))
+    assert [(r["first"], r["rest"]) for r in sorted(found, key=lambda r: r["id"])] == wanted
+    kept = collocations._buckets(frame, 5, [], 8, 2).collect()
+    pairs.update((a, b) for a, b in zip(codes[:9].tolist(), codes[1:9].tolist(), strict=False) if a and b)
+    often = [p for p, n in pairs.items() if n >= 8]
+    assert {r["key"] for r in kept} == {int(collocations.hashes(np.array([a]), np.array([b]))[0]) for a, b in often}

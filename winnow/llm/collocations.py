@@ -2,13 +2,13 @@
 
 Words that are frequent in their language get numbers, most frequent first, and
 the corpus is written once as runs of these numbers (0: a break, or a word too
-rare to be part of any frequent phrase). Phrases of k words are found in three
-passes over the numbers, given the frequent ones of k - 1:
+rare to be part of any frequent phrase). Phrases of k words are found in
+three passes over the numbers, given the frequent ones of k - 1:
 
 1. A place can start a phrase only if phrases of k - 1 words start there and
    at the next word (Apriori). What such places hold is counted by 32-bit hash,
    so all phrases behind a hash that is too rare are out.
-2. Of the others each distinct phrase is a candidate.
+2. The distinct phrases behind the others are the candidates.
 3. The candidates make a double-array trie, which is broadcast. A task moves
    the states of all its places one word on at once, level by level, and counts
    the accepting ones; the counts of all shards of the corpus are summed.
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -44,6 +45,8 @@ PHRASES_TOGETHER = 1_000_000
 # Words counted in a task, and words of a row of numbers, before they're written.
 COUNTED_TOGETHER = 1_000_000
 CODES_TOGETHER = 65_536
+# Bytes of the numbers for each block of keys that is summed in one task.
+PLACES_TOGETHER = 4_000_000
 _BREAK = b"\xff"
 _PLAIN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + 10 * _BREAK
@@ -144,10 +147,12 @@ def hashes(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, place, np.concatenate([n for _, n in parts]))
-    return keys, sums
+    """Distinct keys, in order, with the sums of their counts."""
+    keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -241,67 +246,121 @@ def _encoder(sent, last: bool, texts: bool) -> Callable:
     return of_texts if texts else of_rest
 
 
-def _buckets(codes: DataFrame, levels, least: int, k: int) -> DataFrame:
-    """(bucket) of the hashes that hold `least` places or more."""
+def _opened(levels) -> Levels:
+    return [[piece.value for piece in level] for level in levels]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, tries = [], 0, _opened(levels)
-        for numbers in _numbers(batches):
-            first, _, rest = safe(numbers, tries)
-            parts.append(np.unique(hashes(first, rest), return_counts=True))
-            size += len(parts[-1][0])
+
+Counted = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _shards_summed(codes: DataFrame, blocks: int, count: Callable[[Iterator[np.ndarray]], Counted], least: int) -> DataFrame:
+    """(key, n) with n >= least: what a task counts in its shard of the corpus, summed over all shards.
+
+    A task gives its keys and counts as arrays, one pair for each block of keys
+    that it holds any of, and a block's arrays are added up in one task. All
+    tasks together give no more keys than the corpus has places, and blocks are
+    as many as keep a block's share of those small.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in count(_numbers(batches)):
+            if not len(keys):
+                continue
+            block = (keys % blocks).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            keys, counts, block = keys[order].astype(np.int64), counts[order].astype(np.int64), block[order]
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(starts[1:], len(block))
+            parts = list(zip(starts.tolist(), ends.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[starts]),
+                    pa.array([keys[i:j].tobytes() for i, j in parts], pa.binary()),
+                    pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in parts], pa.binary()),
+                ],
+                names=["block", "keys", "counts"],
+            )
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, sums = _summed([(np.frombuffer(b"".join(frame["keys"]), np.int64), np.frombuffer(b"".join(frame["counts"]), np.uint32).astype(np.int64))])
+        often = sums >= least
+        return pd.DataFrame({"key": keys[often], "n": sums[often]})
+
+    rows = codes.mapInArrow(packed, "block int, keys binary, counts binary")
+    return rows.groupBy("block").applyInPandas(added, "key long, n long")
+
+
+def _together(found: Counted) -> Counted:
+    """Distinct keys with their sums, of about `COUNTED_TOGETHER` keys at a time."""
+    parts, size = [], 0
+    for keys, counts in found:
+        parts.append((keys, counts))
+        size += len(keys)
+        if size > 2 * COUNTED_TOGETHER:
+            parts = [_summed(parts)]
+            size = len(parts[0][0])
             if size > COUNTED_TOGETHER:
-                parts = [_summed(parts)]
-                size = len(parts[0][0])
-                if size > COUNTED_TOGETHER // 2:
-                    yield _pair(*parts.pop())
-                    size = 0
-        if parts:
-            yield _pair(*_summed(parts))
+                yield parts.pop()
+                size = 0
+    if parts:
+        yield _summed(parts)
 
-    def _pair(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["bucket", "n"])
 
-    counted = codes.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return stored(counted.filter(F.col("n") >= least).select("bucket"), f"buckets-{k}")
+def _buckets(codes: DataFrame, blocks: int, levels, least: int, k: int) -> DataFrame:
+    """(key) of the 32-bit hashes that hold `least` places or more."""
 
+    def count(shard: Iterator[np.ndarray]) -> Counted:
+        tries = _opened(levels)
 
-def _opened(levels) -> Levels:
-    return [[piece.value for piece in level] for level in levels]
+        def held() -> Counted:
+            for numbers in shard:
+                first, _, rest = safe(numbers, tries)
+                found = hashes(first, rest).astype(np.int64)
+                yield found, np.ones(len(found), np.int64)
+
+        yield from _together(held())
 
+    return stored(_shards_summed(codes, blocks, count, least).select("key"), f"buckets-{k}")
 
-def _candidates(codes: DataFrame, levels, buckets: np.ndarray, before: int) -> DataFrame:
-    """(first, word, rest, id) of all safe phrases in the buckets, numbered from `before` + 1."""
+
+def _candidates(codes: DataFrame, blocks: int, levels, buckets: np.ndarray, shorter: DataFrame, before: int) -> DataFrame:
+    """(first, rest, word, id) of all safe phrases in the buckets, numbered from `before` + 1; `word` is the last one."""
     sent = codes.sparkSession.sparkContext.broadcast(np.sort(buckets.astype(np.uint64)))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, wanted, seen = _opened(levels), sent.value, None
-        for numbers in _numbers(batches):
-            first, word, rest = safe(numbers, tries)
-            at = np.searchsorted(wanted, hashed := hashes(first, rest)).clip(max=len(wanted) - 1)
-            hit = wanted[at] == hashed
-            rows = np.stack([first[hit], word[hit], rest[hit]], axis=1)
-            seen = np.unique(rows if seen is None else np.concatenate([seen, rows]), axis=0)
-        if seen is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in seen.astype(np.int32).T.copy()], names=["first", "word", "rest"])
-
-    rows = codes.mapInArrow(find, "first int, word int, rest int").distinct()
+    def find(shard: Iterator[np.ndarray]) -> Counted:
+        tries, wanted = _opened(levels), sent.value
+
+        def held() -> Counted:
+            for numbers in shard:
+                first, _, rest = safe(numbers, tries)
+                hashed = hashes(first, rest)
+                hit = wanted[np.searchsorted(wanted, hashed).clip(max=len(wanted) - 1)] == hashed
+                keys = first[hit].astype(np.int64) << 32 | rest[hit]
+                yield keys, np.ones(len(keys), np.int64)
+
+        yield from _together(held())
+
+    key = F.col("key")
+    split = _shards_summed(codes, blocks, find, 1).select(
+        F.shiftright(key, 32).cast("int").alias("first"), key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("rest")
+    )
+    rows = split.join(shorter.select(F.col("id").alias("rest"), "word"), "rest").select("first", "rest", "word")
     numbered = numbered_rows(rows, [F.col("first"), F.col("word")], "id")
     return stored(numbered.withColumn("id", (F.col("id") + 1 + before).cast("int")), "candidates")
 
 
-def _counted(codes: DataFrame, levels, trie, before: int, size: int) -> DataFrame:
-    """(id, n): how often each candidate of the piece occurs."""
+def _counted(codes: DataFrame, blocks: int, levels, trie, before: int, size: int, least: int) -> DataFrame:
+    """(id, n) of the piece's candidates that occur `least` times or more: the accepting states of all places, counted."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(shard: Iterator[np.ndarray]) -> Counted:
         tries, sums = [*_opened(levels), [trie.value]], np.zeros(size + 1, np.int64)
-        for numbers in _numbers(batches):
+        for numbers in shard:
             _, states = advance(numbers, tries)
             sums += np.bincount(states - before, minlength=size + 1)
         ids = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array((ids + before).astype(np.int32)), pa.array(sums[ids])], names=["id", "n"])
+        yield ids + before, sums[ids]
 
-    return codes.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return _shards_summed(codes, blocks, count, least).select(F.col("key").cast("int").alias("id"), "n")
 
 
 def _column(rows: DataFrame, *names: str) -> list[np.ndarray]:
@@ -310,9 +369,10 @@ def _column(rows: DataFrame, *names: str) -> list[np.ndarray]:
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, together: int = PHRASES_TOGETHER) -> list[DataFrame]:
-    """Of each length from 1 on: (id, lang, phrase, a, n, heads, tails).
+    """Of each length from 1 on: (id, word, lang, phrase, a, n, heads, tails), from 2 on with `first` and `rest`.
 
-    `heads` are the counts of the phrase's first 1, 2, ... words and `tails`
+    `word` is the last one's number, `first` and `rest` are the phrases without
+    the last and without the first word. `heads` are the counts of the phrase's first 1, 2, ... words and `tails`
     those of its words from the 1st, 2nd, ... on; `n` counts the words of the
     language.
     """
@@ -328,6 +388,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         stored(
             vocabulary.join(totals, "lang").select(
                 "id",
+                F.col("id").alias("word"),
                 "lang",
                 F.col("word").cast("string").alias("phrase"),
                 F.col("n").alias("a"),
@@ -338,20 +399,22 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             "phrases-1",
         )
     ]
+    places = codes.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    blocks = max(64, places // PLACES_TOGETHER)
     levels: list[list] = []
     for k in range(2, longest + 1):
-        buckets = _buckets(codes, levels, least, k)
+        buckets = _buckets(codes, blocks, levels, least, k)
         pieces = -(-buckets.count() // together)
         level, ids, rows = [], 0, []
         for piece in range(pieces):
-            (own,) = _column(buckets.filter(F.col("bucket") % pieces == piece), "bucket")
+            (own,) = _column(buckets.filter(F.col("key") % pieces == piece), "key")
             if not len(own):
                 continue
-            candidates = _candidates(codes, levels, own, ids)
+            candidates = _candidates(codes, blocks, levels, own, found[-1], ids)
             first, word, number = _column(candidates, "first", "word", "id")
             trie = Trie.of(first, word, number, size)
             sent = spark.sparkContext.broadcast(trie)
-            counts = stored(_counted(codes, levels, sent, ids, len(number)).filter(F.col("n") >= least), f"counts-{k}")
+            counts = stored(_counted(codes, blocks, levels, sent, ids, len(number), least), f"counts-{k}")
             sent.unpersist()
             trie.keep(_column(counts, "id")[0])
             level.append(spark.sparkContext.broadcast(trie))
@@ -380,6 +443,7 @@ def _joined(pieces: list[DataFrame], words: DataFrame, shorter: DataFrame) -> Da
             "id",
             "first",
             "rest",
+            "word",
             "lang",
             F.concat_ws(" ", "phrase", "last").alias("phrase"),
             F.col("n").alias("a"),
