@@ -182,3 +182,25 @@ def test_content_lines_survive_window_ends(spark):
     rows = spark.createDataFrame([("a\nb", 1), ("a\nb", 2)], "c string, n int")
     got = rows.select(code.snippet(t.lines_of(F.col("c")), F.col("n")).alias("s")).collect()
     assert [r["s"] for r in got] == ["a\nb", "a\nb"]
+
+
+def test_first_files_of_words_hold_the_first_files_of_skills(spark):
+    """Against ranking every hit; a term of every file sends three rows a word, not a row per file."""
+    draw = random.Random(8)
+    words = ["alpha", "alphabet", "beta", "betamax", "gamma", "common"]
+    rows = [
+        (f"p{draw.randint(0, 5)}", f"src/f{i:04d}.{draw.choice(['py', 'ts', 'js'])}", " ".join(["common", *draw.choices(words, k=4)]))
+        for i in range(600)
+    ]
+    corpus_rows = spark.createDataFrame(rows, "project string, path string, content string").repartition(3)
+    wanted = asked(spark, "alpha", "beta", "common", "alpha gamma", "nothing")
+    every = code.top_hits(code.search_code(corpus_rows, wanted))
+    best = code.top_files(corpus_rows, wanted)
+    key = ["skill", "project", "path", "kind", "ext_rank", "rank"]
+    assert sorted(best.select(*key).collect()) == sorted(every.select(*key).collect())
+    first = code.first_files_of_words(corpus_rows, wanted, 3)
+    assert first.count() == 3 * len(words)
+    assert {r["skill"] for r in code.skills_found(corpus_rows, wanted).collect()} == {"alpha", "beta", "common", "alpha gamma"}
+    # Words' files are cut before they're shuffled, and no table of skills and files is made.
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[word.* Partial", plan) and "xxhash64(project" not in plan

@@ -12,10 +12,14 @@ A term always has a trigram, and its rarest one is compared, so the
 substring test too is reached by equality; nothing is joined all to all. A word
 longer than a window (an image cell, a minified file) takes part as overlapping
 windows that between them hold every term it holds, so no row grows with it.
-Files travel as 8-byte ids and get their names back by hit.
 
-`best_hits` finds files first, ranks them, and looks for lines only in the few
-that are reported. `search_code` gives the line of every hit there is.
+Only a few files of a skill are reported, and the first files of a skill are
+among the first files of its words. `top_files` therefore keeps the first few
+files of each *word*, in each task and then of all, and merges the words' lists
+by skill: no table of skills and files is made. `best_hits` then looks for lines
+in those files alone. `search_code` gives the line of every hit there is; there
+files travel as two 8-byte hashes and get their names back by hit. Project and
+path name a file, so they are expected once in a corpus.
 """
 
 from __future__ import annotations
@@ -70,21 +74,21 @@ def _windows(words: Column, reach: Column) -> Column:
     return F.when(F.exists(words, lambda w: F.length(w) > width), F.array_distinct(pieces)).otherwise(words)
 
 
-def _with_ids(files: DataFrame, skills: DataFrame) -> DataFrame:
-    """Files with an 8-byte id and the length that windows must allow for."""
-    return files.withColumns({"file": F.xxhash64(*FILE), "_reach": longest_term(skills)})
+def _file_id() -> Column:
+    """Two hashes; one of 64 bits is shared by two files from some 10^9 files on."""
+    return F.struct(F.xxhash64(*FILE).alias("a"), F.xxhash64(*FILE[::-1], F.lit(1)).alias("b")).alias("file")
 
 
 def _named(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits with project and path in place of the file's id."""
-    names = files.select(F.xxhash64(*FILE).alias("file"), *FILE).distinct()
+    names = files.select(_file_id(), *FILE)
     return hits.join(names, "file").select("skill", *FILE, *[c for c in hits.columns if c not in ("skill", "file")])
 
 
 def word_positions(files: DataFrame, skills: DataFrame) -> DataFrame:
     """(file, word, line_no): first line, from 1, of each distinct word or window of each file."""
-    lines = _with_ids(files, skills).select(
-        "file", "_reach", F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line")
+    lines = files.withColumn("_reach", longest_term(skills)).select(
+        _file_id(), "_reach", F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line")
     )
     spaced = F.array_distinct(F.split("line", t.SPACE + "+"))
     words = lines.select("file", (F.col("at") + 1).alias("line_no"), F.explode(_windows(spaced, F.col("_reach"))).alias("word"))
@@ -132,15 +136,24 @@ def skill_words(vocabulary: DataFrame, skills: DataFrame, whole_word: bool) -> D
     return for_skewed_join(pairs, "word")  # some words stand in every file (import, return)
 
 
-def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(skill, project, path) of the files with any of the skill's terms.
-
-    A file is one row, so its distinct words are taken in the row and are
-    shuffled at most once, to meet the pairs.
-    """
+def _distinct_words(files: DataFrame, skills: DataFrame, *keep: str | Column) -> DataFrame:
+    """(kept columns, word): the distinct words or windows of each file; a file is one row, so nothing is shuffled."""
     distinct = F.array_distinct(F.split(F.lower("content"), t.SPACE + "+"))
-    words = _with_ids(files, skills).select("file", F.explode(_windows(distinct, F.col("_reach"))).alias("word"))
-    words = words.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
+    spread = files.withColumn("_reach", longest_term(skills)).select(
+        *keep, F.explode(_windows(distinct, F.col("_reach"))).alias("word")
+    )
+    return spread.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
+
+
+def skills_found(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(skill) of the skills with a term in any file. The words of the corpus tell; files and their names aren't needed."""
+    vocabulary = _distinct_words(files, skills).distinct()
+    return skill_words(vocabulary, skills, whole_word).select("skill").distinct()
+
+
+def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(skill, project, path) of all files with any of the skill's terms."""
+    words = _distinct_words(files, skills, _file_id())
     pairs = skill_words(words.select("word").distinct(), skills, whole_word)
     return _named(words.join(pairs, "word").select("skill", "file").distinct(), files)
 
@@ -190,12 +203,30 @@ def top_hits(hits: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL) -> Data
     return ranked.filter(F.col("rank") <= per_skill)
 
 
+def first_files_of_words(files: DataFrame, skills: DataFrame, per_word: int) -> DataFrame:
+    """(word, project, path, kind, ext_rank): the first files of each word, in encounter order.
+
+    The limit cuts each task's rows before the shuffle, and again after it, so
+    a task sends `per_word` rows of a word at most, whatever it stands in.
+    """
+    words = _distinct_words(files, skills, *FILE, *_kinds())
+    order = Window.partitionBy("word").orderBy("project", "ext_rank", "path")
+    ranked = words.withColumn("_place", F.row_number().over(order))
+    return ranked.filter(F.col("_place") <= per_word).drop("_place")
+
+
 def top_files(
     files: DataFrame, skills: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL, whole_word: bool = False
 ) -> DataFrame:
-    """top_hits without their lines: (skill, project, path, kind, ext_rank, rank)."""
-    hits = matching_files(files, skills, whole_word)
-    return top_hits(hits.select("skill", *FILE, *_kinds()), per_skill)
+    """The first files of each skill with their rank: (skill, project, path, kind, ext_rank, rank).
+
+    A skill's first files hold one of its words, and each is among the first
+    files of that word; so the words' lists merged by skill hold them all.
+    """
+    first = first_files_of_words(files, skills, per_skill)
+    pairs = skill_words(first.select("word").distinct(), skills, whole_word)
+    listed = first.join(pairs, "word").select("skill", *FILE, "kind", "ext_rank").distinct()
+    return top_hits(listed, per_skill)
 
 
 def best_hits(
@@ -249,7 +280,7 @@ def readme_hits(files: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def search_status(files: DataFrame, skills: DataFrame, hits: DataFrame) -> DataFrame:
-    """(skill, status): no_corpus, no_terms, no_matches or found."""
+    """(skill, status): no_corpus, no_terms, no_matches or found; `hits` has the skills found, as of `skills_found`."""
     any_file = files.limit(1).agg(F.count("*")).scalar()
     hit = hits.select("skill").distinct().withColumn("_hit", F.lit(True))
     status = (

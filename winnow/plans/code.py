@@ -142,7 +142,7 @@ def search_status(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[^ .,\\n]+"), F.lit(0))
     skills = src.load(spark, folder, "benchmark").select(F.explode(words).alias("skill"))
     corpus_files = files(spark, folder)
-    return code.search_status(corpus_files, skills, code.matching_files(corpus_files, skills))
+    return code.search_status(corpus_files, skills, code.skills_found(corpus_files, skills))
 
 
 @query(
