@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 
@@ -69,8 +71,8 @@ def test_cards(repos):
 
 
 def test_corpus_and_word_matches(spark, repos):
-    corpus = {r["handle"]: r["corpus"] for r in rp.repo_corpus(repos).collect()}
-    assert corpus["skills"] == "python ml data_base scikit learn demo uses node.js|and\nc#"
+    corpus = {(r["handle"], r["part"]): r["corpus"] for r in rp.repo_corpus(repos).collect()}
+    assert corpus["skills", 0] == "python ml data_base scikit learn demo uses node.js|and\nc#"
     people = spark.createDataFrame(
         [
             (1, "skills", ["C#", " Node.js ", "scikit-learn", "python", "Python", "Data"]),
@@ -140,3 +142,31 @@ def test_all_repositories_count_unless_fewer_are_asked_for(spark):
     candidates = spark.createDataFrame([(1, "h", ["word000", "word149"])], "candidate_id bigint, handle string, skills array<string>")
     assert rp.verify_skills(candidates, repos).first()["verified_skills"] == ["word000", "word149"]
     assert rp.verify_skills(candidates, repos, fixed.MAX_REPOS_SEARCHED).first()["verified_skills"] == ["word149"]
+
+
+def test_corpus_in_parts_and_phrases_over_repositories(spark):
+    """Against one text per handle, made in Python."""
+    kind = "handle string, name string, description string, language string, topics array<string>, updated_at string"
+    draw = random.Random(4)
+    words = ["red", "blue", "big data", "c#", "x", "node.js", "", "data", "a-b"]
+    rows = []
+    for i in range(700):
+        handle = draw.choice(["hot"] * 6 + ["small", "tiny", None])
+        day = draw.choice([None, "2024-01-01", "2024-05-05", f"2023-{i:04d}"])
+        rows.append((handle, f"{draw.choice(words)}", draw.choice(words), draw.choice([None, "Data", ""]), draw.choice([None, [], ["Red"]]), day))
+    rows = sorted({(r[0], r[5], r[1]): r for r in rows}.values(), key=repr)
+    texts = {}
+    for handle, name, description, language, topics, day in sorted(rows, key=lambda r: r[1]):
+        parts = [language.lower()] if language else []
+        parts += [x.lower() for x in topics or []] + [(c or "").lower().replace("-", " ").replace("_", " ") for c in (name, description)]
+        texts.setdefault(handle, []).append((day or "", " ".join(parts)))
+    texts = {h: [x for _, x in sorted(own, key=lambda r: r[0], reverse=True)] for h, own in texts.items()}
+    repos = spark.createDataFrame(rows, kind)
+    got = {(r["handle"], r["part"]): r["corpus"] for r in rp.repo_corpus(repos, per_part=50).collect()}
+    assert got == {(h, i // 50): " ".join(own[i : i + 50]) for h, own in texts.items() for i in range(0, len(own), 50)}
+    hot = " ".join(texts["hot"])
+    asked = {"big data", "data red", "red big", "node.js x", "data red blue", "x  x", "blue c#", "nowhere", "red red red data", "c", hot[40:75].strip()}
+    candidates = spark.createDataFrame([(1, "hot", sorted(asked)), (2, "tiny", sorted(asked))], "id int, handle string, skills array<string>")
+    for r in rp.verify_skills(candidates, repos).collect():
+        text = " ".join(texts[r["handle"]])
+        assert r["verified_skills"] == sorted(a for a in asked if re.search(rf"\b{re.escape(a)}\b", text))

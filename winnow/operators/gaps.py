@@ -8,6 +8,7 @@ from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators import skills as s
 from winnow.operators.grouping import for_skewed_join
+from winnow.operators.ordering import written
 
 
 def missing_rows(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,8 +30,14 @@ def covered_skills(aliases: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 def audit_gaps(rows: DataFrame, aliases: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Add `overlooked`: missing skills (resume_id, missing_skills, …) the resume has by another name."""
-    covered = for_skewed_join(covered_skills(aliases, resumes), "resume_id")
+    """Add `overlooked`: missing skills (resume_id, missing_skills, …) the resume has by another name.
+
+    Only resumes of rows with missing skills are looked through. The rows are
+    read twice, so they should be cheap to read.
+    """
+    asked = rows.filter(F.size("missing_skills") > 0).select("resume_id").distinct()
+    named = resumes.select("resume_id", "resume_text").join(for_skewed_join(asked, "resume_id"), "resume_id", "left_semi")
+    covered = for_skewed_join(covered_skills(aliases, named), "resume_id")
     found = F.array_intersect("missing_skills", F.coalesce("covered", F.array().cast("array<string>")))
     return rows.join(covered, "resume_id", "left").withColumn("overlooked", found).drop("covered")
 
@@ -43,9 +50,11 @@ def gap_report(
     Pass 1 lists every missing skill and the audit marks those the resume has
     under another name. Only if it marks any is there a pass 2, without them.
     `rejects` needs application_id, resume_id and missing_skills; it is
-    evaluated once and meets the aliases found by resume.
+    evaluated once, written, and read to find the resumes to look through and
+    to meet the aliases found in them.
     """
-    audited = audit_gaps(rejects.select("application_id", "resume_id", "missing_skills"), aliases, resumes)
+    rejects = written(rejects.select("application_id", "resume_id", "missing_skills"), "rejects")
+    audited = audit_gaps(rejects, aliases, resumes)
     wrong = F.size("overlooked") > 0
     return (
         audited.withColumn("missing", F.array_except("missing_skills", "overlooked"))

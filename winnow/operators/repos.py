@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators.grouping import for_skewed_join, salted_join
+from winnow.operators.ordering import numbered_in_order, runs_of_rows, written
+
+REPOS_PER_PART = 1000
 
 
 def is_recent(cutoff: str) -> Column:
@@ -126,13 +129,12 @@ def language_mix(repos: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / whole)
 
 
-def repo_corpus(repos: DataFrame, per_handle: int | None = None) -> DataFrame:
-    """(handle, corpus): one text per handle from its repositories, latest first, or the latest of them.
+def repo_texts(repos: DataFrame) -> DataFrame:
+    """(handle, updated_at, name, text): what there is to search of each repository.
 
     Languages and topics are lowered; in names and descriptions '-' and '_'
-    also become spaces. One search returns `fixed_values.MAX_REPOS_SEARCHED`.
+    also become spaces.
     """
-    page = top_repos(repos, per_handle) if per_handle else repos
     spaced = [
         F.translate(F.lower(F.coalesce(c, F.lit(""))), "-_", "  ") for c in ("name", "description")
     ]
@@ -143,40 +145,97 @@ def repo_corpus(repos: DataFrame, per_handle: int | None = None) -> DataFrame:
         F.coalesce(F.transform("topics", F.lower), none),
         F.array(*spaced),
     )
+    return repos.select("handle", "updated_at", "name", F.array_join(parts, " ").alias("text"))
+
 
-    def latest_first(a: Column, b: Column) -> Column:
-        day, other = F.coalesce(a["day"], F.lit("")), F.coalesce(b["day"], F.lit(""))
-        earlier = F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
-        return F.when(day > other, -1).when(day < other, 1).otherwise(earlier)
+def _as_listed() -> list[Column]:
+    """Handles, and the repositories of each latest first, missing dates last."""
+    return [F.col("handle"), F.desc(F.coalesce("updated_at", F.lit(""))), F.col("name")]
 
-    each = F.struct(F.col("updated_at").alias("day"), "name", parts.alias("parts"))
-    in_order = F.array_sort(F.collect_list(each), latest_first)
-    return page.groupBy("handle").agg(
-        F.array_join(F.flatten(F.transform(in_order, lambda r: r["parts"])), " ").alias("corpus")
+
+def repo_corpus(repos: DataFrame, per_handle: int | None = None, per_part: int = REPOS_PER_PART) -> DataFrame:
+    """(handle, part, corpus): the texts of a handle's repositories, latest first, or of the latest of them.
+
+    A handle of up to `per_part` repositories has one part, 0; others go on in
+    further parts, so no cell grows with a handle. One search of the service
+    that lists repositories returns `fixed_values.MAX_REPOS_SEARCHED`.
+    """
+    page = top_repos(repos, per_handle) if per_handle else repos
+    numbered = numbered_in_order(repo_texts(page), _as_listed(), "_number")
+    first = numbered.groupBy(F.col("handle").alias("_handle")).agg(F.min("_number").alias("_first"))
+    placed = numbered.join(for_skewed_join(first, "_handle"), F.col("handle").eqNullSafe(F.col("_handle")))
+    placed = placed.withColumn("_place", F.col("_number") - F.col("_first"))
+    parts = runs_of_rows(placed, "handle", "_place", "text", per_part)
+    return parts.select("handle", F.col("run").alias("part"), F.array_join("values", " ").alias("corpus"))
+
+
+def skills_in_repos(repos: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(handle, skill) of the wanted lower-case skills that a handle's repositories mention as whole words.
+
+    A skill counts wherever it stands in the texts of the handle's repositories
+    run together by spaces, latest first. One without a space lies within one
+    repository, so each is tested by itself, in any order. A phrase may also
+    run on from one repository to the next: then one of them ends with a first
+    part of it. Only handles with such a phrase, not found yet, have their
+    repositories put in order; they are looked through in runs that overlap by
+    as many rows as the longest phrase can reach over.
+    """
+    texts = repo_texts(repos)
+    words = F.split("skill", " ")
+    lead = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    )
+    leads_on = F.when(F.contains("skill", F.lit(" ")), F.exists(lead, lambda p: F.endswith(F.col("text"), p))).otherwise(False)
+    tested = texts.join(for_skewed_join(wanted, "handle"), "handle").select(
+        "handle", "skill", t.contains_word(F.col("text"), F.col("skill")).alias("whole"), leads_on.alias("leads")
     )
+    told = tested.filter("whole OR leads").groupBy("handle", "skill").agg(F.bool_or("whole").alias("whole"))
+    told = written(told, "skills-in-repos")
+    found = told.filter("whole").select("handle", "skill")
+    open_ = told.filter("NOT whole").select("handle", "skill")
+    longest = open_.agg(F.max(F.length("skill"))).first()[0]
+    if longest is None:
+        return found
+    # Whole rows between two ends of a phrase take a character and a space of it at least.
+    overlap = longest // 2 + 1
+    few = texts.join(open_.select("handle").distinct(), "handle", "left_semi")
+    numbered = numbered_in_order(few, _as_listed(), "_number")
+    runs = runs_of_rows(numbered, "handle", "_number", "text", max(64, 4 * overlap), overlap)
+    across = (
+        runs.select("handle", F.array_join("values", " ").alias("text"))
+        .join(open_, "handle")
+        .filter(t.contains_word(F.col("text"), F.col("skill")))
+    )
+    return found.unionByName(across.select("handle", "skill").distinct())
 
 
 def verify_skills(candidates: DataFrame, repos: DataFrame, per_handle: int | None = None) -> DataFrame:
     """Add verified_skills and verification to candidates (…, handle, skills).
 
-    Each candidate meets one corpus row, so the skills are tested in the row.
-    Every candidate keeps a row: without a handle the check is 'skipped',
-    without skills or repositories it is 'unable'.
+    What is asked of a handle is looked for once, whoever asks; a candidate
+    then meets the handle's list of found skills, which is bounded by what is
+    asked. Every candidate keeps a row: without a handle the check is
+    'skipped', without skills or repositories it is 'unable'.
     """
-    corpus = for_skewed_join(repo_corpus(repos, per_handle), "handle")
+    page = top_repos(repos, per_handle) if per_handle else repos
     skills = F.filter(F.transform("skills", t.strip), lambda s: s != "")
-    found = F.filter(skills, lambda s: t.contains_word(F.col("corpus"), F.lower(s)))
+    asked = candidates.select("handle", F.explode(F.array_distinct(F.transform(skills, F.lower))).alias("skill"))
+    found = skills_in_repos(page, asked.filter(F.col("handle").isNotNull()).distinct())
+    lists = found.groupBy("handle").agg(F.collect_set("skill").alias("_found"))
+    known = page.select("handle").distinct().join(lists, "handle", "left").withColumn("_known", F.lit(True))
     status = (
         F.when(F.coalesce("handle", F.lit("")) == "", "skipped")
-        .when(F.col("corpus").isNull() | (F.coalesce(F.size("skills"), F.lit(0)) <= 0), "unable")
+        .when(F.col("_known").isNull() | (F.coalesce(F.size("skills"), F.lit(0)) <= 0), "unable")
         .when(F.size("verified_skills") > 0, "yes")
         .otherwise("no")
     )
+    none = F.array().cast("array<string>")
+    verified = F.filter(skills, lambda s: F.array_contains(F.coalesce("_found", none), F.lower(s)))
     return (
-        candidates.join(corpus, "handle", "left")
-        .withColumn("verified_skills", F.array_sort(F.array_distinct(found)))
+        candidates.join(for_skewed_join(known, "handle"), "handle", "left")
+        .withColumn("verified_skills", F.array_sort(F.array_distinct(verified)))
         .withColumn("verification", status)
-        .drop("corpus")
+        .drop("_found", "_known")
     )
 
 

@@ -137,7 +137,7 @@ found AS (
   WHERE regexp_matches(corpus, '(^|[^\\p{L}\\p{N}_])' || lower(s.skill) || '($|[^\\p{L}\\p{N}_])'))"""
 
 
-@query("repo_corpus", f"WITH {PARTS} SELECT handle, corpus FROM corpus")
+@query("repo_corpus", f"WITH {PARTS} SELECT handle, 0::BIGINT AS part, corpus FROM corpus")
 def repo_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return rp.repo_corpus(src.part_repos(spark, folder))
 
