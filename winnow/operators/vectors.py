@@ -6,121 +6,121 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from winnow import fixed_values as fixed
-
-# A slice of queries is at most this many vector cells, 32 MB of doubles.
-MAX_SLICE_CELLS = 4_000_000
-
-
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k nearest corpus vectors of each query.
-
-    Exact search. The corpus stays where it is and is read once: each task
-    multiplies its batches with the query matrix and lets only its k best per
-    query go on, so a query shuffles k rows per task and not the corpus.
-
-    The queries are counted first and must fit one slice, a bound fixed by
-    MAX_SLICE_CELLS; more are searched with `cosine_topk_sliced`. Vectors that
-    are null, hold nulls or differ in size from the longest query are not
-    compared: as queries they have no rows, and they are found by none. Where
-    sizes may differ use `cosine_topk_by_size`.
-    """
-    queries = queries.filter(_whole())
-    found = queries.select("query_id", "embedding").limit(MAX_SLICE_CELLS + 1)
-    width = found.agg(F.max(F.size("embedding")).alias("w"), F.count("*").alias("n")).first()
-    if width["n"] * (width["w"] or 0) > MAX_SLICE_CELLS:
-        raise ValueError("too many queries for one slice; use cosine_topk_sliced")
-    rows = found.filter(F.size("embedding") == (width["w"] or 0)).orderBy("query_id").collect()
-    return _search(corpus, rows, queries.schema["query_id"].dataType.simpleString(), k)
-
-
-def cosine_topk_by_size(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, doc_id, score, status): each query against the corpus vectors of its own size.
-
-    As `cosine_topk`, but queries may differ in size; the corpus is still read
-    once. The status is 'compared', or, in the one row without rank, document
-    and score of a query that cannot be compared, the reason: 'null id', 'null
-    vector', 'empty vector', 'null in vector' or 'no vector of its size'.
+from winnow.sources.arrivals import exists
+from winnow.sources.buckets import bucket_of, read_buckets, values_of, write_partitions
+
+# Vector cells of the queries that are held in one task, 32 MB of doubles, and of the corpus beside them.
+BLOCK_CELLS = 4_000_000
+# Folders of a stored vector table.
+VECTOR_BUCKETS = 256
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(query_id, rank, doc_id, score, status): the k nearest corpus vectors of each query, for any number of both.
+
+    Exact search among vectors of the query's own size. Queries that fill one
+    block are broadcast: the corpus stays where it is, each task multiplies its
+    batches with the query matrix and lets only its k best per query go on.
+    More queries are cut into blocks, the corpus too, and each block of the one
+    meets each block of the other in a task of bounded size that gives k rows
+    per query. Either way the k best of all tasks are merged by query, and the
+    corpus is read once.
+
+    The status is 'compared', or, in the one row without rank, document and
+    score of a query that cannot be compared, the reason: 'null id', 'null
+    vector', 'empty vector', 'null in vector' or 'no vector of its size'. An
+    id that repeats is compared if one of its vectors can be. Corpus vectors
+    that are null or hold nulls are found by none.
     """
-    asked = queries.select("query_id", "embedding").limit(MAX_SLICE_CELLS + 1)
-    # A query without a vector counts as one cell.
-    cells = asked.agg(F.sum(F.greatest(F.coalesce(F.size("embedding"), F.lit(1)), F.lit(1))).alias("n")).first()["n"]
-    if (cells or 0) > MAX_SLICE_CELLS:
-        raise ValueError("too many queries for one slice; use cosine_topk_sliced")
-    rows = asked.withColumn("status", _hindrance()).orderBy("query_id").collect()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    found = _search(corpus, [r for r in rows if r["status"] is None], query_kind, k)
-    # An id that repeats is compared if one of its vectors is.
-    hindered: dict = {}
-    for row in rows:
-        known = hindered.setdefault(row["query_id"], row["status"])
-        hindered[row["query_id"]] = None if known is None else row["status"]
-    statuses = corpus.sparkSession.createDataFrame(list(hindered.items()), f"query_id {query_kind}, _hindrance string")
+    asked = queries.select("query_id", "embedding").withColumn("status", _hindrance())
+    able = asked.filter("status IS NULL").drop("status")
+    cells = able.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
+    given = corpus.filter(_whole()).select("doc_id", "embedding")
+    kinds = f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(corpus, 'doc_id')}, score double"
+    partial = _by_broadcast(given, able, k, kinds) if cells <= block_cells else _by_blocks(given, able, k, kinds, block_cells)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    statuses = asked.groupBy("query_id").agg(
+        F.when(F.count_if(F.col("status").isNull()) == 0, F.min("status")).alias("_hindrance")
+    )
     status = F.coalesce("_hindrance", F.when(F.col("rank").isNotNull(), "compared").otherwise("no vector of its size"))
-    joined = statuses.join(found, "query_id", "left")
+    joined = statuses.join(ranked, "query_id", "left")
     return joined.select("query_id", "rank", "doc_id", "score", status.alias("status"))
 
 
-def _search(corpus: DataFrame, rows: list[Row], query_kind: str, k: int) -> DataFrame:
-    """The k nearest corpus vectors of its own size of each (query_id, embedding), in one pass over the corpus."""
-    doc_kind = corpus.schema["doc_id"].dataType.simpleString()
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], f"query_id {query_kind}, rank int, doc_id {doc_kind}, score double")
+def _kind(rows: DataFrame, name: str) -> str:
+    return rows.schema[name].dataType.simpleString()
+
+
+def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int, kinds: str) -> DataFrame:
+    """Candidates (query_id, doc_id, score) of queries that are known to fill no more than a block."""
     by_size: dict[int, list[Row]] = {}
-    for row in rows:
+    for row in queries.orderBy("query_id").collect():
         by_size.setdefault(len(row["embedding"]), []).append(row)
-    corpus = corpus.filter(_whole() & F.size("embedding").isin(list(by_size)))
-    asked = {
-        size: (
-            np.array([r["query_id"] for r in alike]),
-            _unit(np.array([r["embedding"] for r in alike], dtype="float64")),
-        )
-        for size, alike in by_size.items()
-    }
+    asked = {size: (np.array([r["query_id"] for r in alike]), _matrix([r["embedding"] for r in alike])) for size, alike in by_size.items()}
     shared = corpus.sparkSession.sparkContext.broadcast(asked)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for mixed in batches:
             for size, batch in mixed.groupby(mixed["embedding"].map(len), sort=False):
-                query_ids, query_matrix = shared.value[size]
-                vectors = _unit(np.array(batch["embedding"].tolist(), dtype="float64"))
-                scores = query_matrix @ vectors.T
-                if len(batch) > k:
-                    # Whatever reaches the k-th score may still be needed: ties go by id later.
-                    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    query_at, doc_at = np.nonzero(scores >= kth)
-                else:
-                    query_at, doc_at = np.nonzero(np.ones_like(scores, dtype=bool))
-                frame = pd.DataFrame(
-                    {
-                        "query_id": query_ids[query_at],
-                        "doc_id": batch["doc_id"].to_numpy()[doc_at],
-                        "score": scores[query_at, doc_at],
-                    }
-                )
-                best = _first(frame if best is None else pd.concat([best, frame]), k)
+                found = _nearest(*shared.value[size], batch, k)
+                best = _first(found if best is None else pd.concat([best, found]), k)
         if best is not None:
             yield best
 
-    partial = corpus.select("doc_id", "embedding").mapInPandas(
-        nearest, f"query_id {query_kind}, doc_id {doc_kind}, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return corpus.filter(F.size("embedding").isin(list(by_size))).mapInPandas(nearest, kinds)
 
 
-def cosine_topk_sliced(corpus: DataFrame, queries: DataFrame, k: int, slices: int) -> Iterator[DataFrame]:
-    """`cosine_topk_by_size` for any number of queries: one result per slice of them, to be written in turn.
+def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, kinds: str, block_cells: int) -> DataFrame:
+    """Candidates (query_id, doc_id, score) from all blocks of queries and of the corpus, of equal sizes of vectors."""
 
-    Only one slice of queries is held at a time.
-    """
-    for number in range(slices):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == number)
-        yield cosine_topk_by_size(corpus, part, k)
+    def sized(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.withColumn("size", F.size("embedding"))
+        blocks = F.ceil(F.count("*") * F.first("size") / F.lit(block_cells)).cast("int")
+        return rows, rows.groupBy("size").agg(blocks.alias(name))
+
+    asked, asked_blocks = sized(queries, "query_blocks")
+    held, held_blocks = sized(corpus, "doc_blocks")
+    both = asked_blocks.join(held_blocks, "size")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its own block, once for every block that it is to meet."""
+        block = F.pmod(F.xxhash64(key, "embedding"), F.col(own)).cast("int").alias(own)
+        meets = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return rows.join(both, "size").select("size", block, meets, key, "embedding")
+
+    keys = ["size", "query_blocks", "doc_blocks"]
+    left = dealt(asked, "query_id", "query_blocks", "doc_blocks").groupBy(*keys)
+    right = dealt(held, "doc_id", "doc_blocks", "query_blocks").groupBy(*keys)
+
+    def nearest(own: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        ids, step = own["query_id"].to_numpy(), max(1, block_cells // max(1, len(batch)))
+        matrix = _matrix(own["embedding"].tolist())
+        parts = [_first(_nearest(ids[i : i + step], matrix[i : i + step], batch, k), k) for i in range(0, len(own) * (len(batch) > 0), step)]
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    return left.cogroup(right).applyInPandas(nearest, kinds)
+
+
+def _nearest(query_ids: np.ndarray, query_matrix: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
+    """All of a batch that may be among the k best of a query."""
+    scores = query_matrix @ _matrix(batch["embedding"].tolist()).T
+    if len(batch) > k:
+        # Whatever reaches the k-th score may still be needed: ties go by id later.
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        query_at, doc_at = np.nonzero(scores >= kth)
+    else:
+        query_at, doc_at = np.nonzero(np.ones_like(scores, dtype=bool))
+    found = {"query_id": query_ids[query_at], "doc_id": batch["doc_id"].to_numpy()[doc_at], "score": scores[query_at, doc_at]}
+    return pd.DataFrame(found)
+
+
+def _matrix(vectors: list) -> np.ndarray:
+    return _unit(np.array(vectors, dtype="float64"))
 
 
 def _whole() -> Column:
@@ -147,6 +147,32 @@ def _first(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return in_order.groupby("query_id", sort=False).head(k)
 
 
+def upsert_into_store(
+    new: DataFrame, path: str, dimension: int = fixed.VECTOR_DIMENSION, buckets: int = VECTOR_BUCKETS
+) -> None:
+    """Upsert (doc_id, embedding, …, version) rows into the vector table at `path`, laid out by a bucket of the id.
+
+    Only the buckets of new ids are read and replaced. All writers of a table
+    use the same number of buckets and upsert one after the other.
+    """
+    spark = new.sparkSession
+    placed = new.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
+    held = read_buckets(spark, path, f"{_ddl(new)}, bucket bigint", "bucket", values_of(placed, "bucket"))
+    merged = upsert_vectors(held.select(*new.columns), new, dimension)
+    write_partitions(merged.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)), path, "bucket")
+
+
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a vector table; one that was never written is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def upsert_vectors(
     stored: DataFrame, new: DataFrame, dimension: int = fixed.VECTOR_DIMENSION
 ) -> DataFrame:

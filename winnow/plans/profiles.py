@@ -351,7 +351,7 @@ def centroids(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     corpus = src.load(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    found = vectors.cosine_topk_by_size(corpus, centroids(spark, folder), 10)
+    found = vectors.cosine_topk(corpus, centroids(spark, folder), 10)
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -392,7 +392,8 @@ def arriving_applications(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROUTED = (
-    "application_id bigint, resume_id bigint, jd_id bigint, n_required int, n_matched int, skill_match double, route string"
+    "application_id bigint, resume_id bigint, jd_id bigint, n_required int, n_matched int, skill_match double, "
+    "ids bigint, batch bigint, route string"
 )
 
 
@@ -409,7 +410,7 @@ def stream_screen(spark: SparkSession, folder: str) -> DataFrame:
     place = _new_folder(spark)
     routed = routed.select(*screening_plans.screen_columns())
     streaming.write_routed(routed, f"{place}/routed", f"{place}/state").awaitTermination()
-    return arrivals.read_written(spark, f"{place}/routed", routed.schema)
+    return arrivals.read_written(spark, f"{place}/routed", ROUTED).select(*routed.columns)
 
 
 @query("screen_arrivals", screening_plans.SCREEN_SQL)

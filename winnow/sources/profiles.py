@@ -1,12 +1,18 @@
-"""The profile store: five small tables under one folder."""
+"""The profile store: five tables under one folder, each laid out by a bucket of the candidate and by batch.
+
+All writers of a store use the same number of buckets. A load reads and replaces
+a bucket whole, so there should be about as many as the table has GB, or more.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow import schemas
-from winnow.session import use_checkpoint_dir
+from winnow.sources.buckets import bucket_of, drop_partitions, read_buckets, values_of, write_partitions
+
+BUCKETS = 64
 
 
 def read_profile_json(spark: SparkSession, root: str, key: str, candidate_id: int) -> DataFrame:
@@ -27,7 +33,7 @@ def read_profile_json(spark: SparkSession, root: str, key: str, candidate_id: in
 def read_profile(spark: SparkSession, root: str, key: str) -> DataFrame:
     """Read a store table, (candidate_id, seq, entry); one that was never written is empty."""
     try:
-        # Streamed entries sit in folders of their own below the table's.
+        # The folders of buckets and batches are for writers.
         reader = spark.read.schema(schemas.STORED[key]).option("recursiveFileLookup", True)
         return reader.parquet(f"{root}/{key}")
     except AnalysisException as error:
@@ -36,12 +42,26 @@ def read_profile(spark: SparkSession, root: str, key: str) -> DataFrame:
         return spark.createDataFrame([], schemas.STORED[key])
 
 
-def append_profile(entries: DataFrame, root: str, key: str) -> None:
+def _touched(spark: SparkSession, root: str, key: str, entries: DataFrame, buckets: int) -> DataFrame:
+    """What the store holds in the buckets of the entries' candidates, with `bucket` and `batch`."""
+    own = values_of(entries.select(bucket_of(F.col("candidate_id"), buckets).alias("bucket")), "bucket")
+    return read_buckets(spark, f"{root}/{key}", f"{schemas.STORED[key]}, bucket bigint, batch string", "bucket", own)
+
+
+def _placed(entries: DataFrame, batch: str | Column, buckets: int) -> DataFrame:
+    name = F.lit(batch) if isinstance(batch, str) else batch
+    return entries.withColumn("bucket", bucket_of(F.col("candidate_id"), buckets)).withColumn("batch", name)
+
+
+def append_profile(entries: DataFrame, root: str, key: str, batch: str | None = None, buckets: int = BUCKETS) -> None:
     """Append candidates' entries after those that they have; the store never removes duplicates.
 
-    Of the stored entries only the ids and places are read.
+    Of the stored entries only the ids and places in the same buckets are read.
+    With a name a batch can be written again: it replaces its own entries.
     """
-    after(entries, read_profile(entries.sparkSession, root, key)).write.mode("append").parquet(f"{root}/{key}")
+    held = _touched(entries.sparkSession, root, key, entries, buckets).filter(F.col("batch") != F.lit(batch or ""))
+    rows = _placed(after(entries, held), batch or "load", buckets)
+    write_partitions(rows, f"{root}/{key}", "bucket", "batch", replace=batch is not None)
 
 
 def after(entries: DataFrame, held: DataFrame) -> DataFrame:
@@ -51,15 +71,19 @@ def after(entries: DataFrame, held: DataFrame) -> DataFrame:
     return moved.select(*entries.columns)
 
 
-def overwrite_profile(entries: DataFrame, root: str, key: str) -> None:
+def overwrite_profile(entries: DataFrame, root: str, key: str, buckets: int = BUCKETS) -> None:
     """Replace the entries of the candidates that the new ones belong to; other candidates keep theirs.
 
-    The new rows are checkpointed first: they may have been read from the very
-    files that the overwrite removes, and an executor lost half-way would then
-    have nothing to recompute them from.
+    Only the buckets of these candidates are read and replaced. Whoever dies
+    half-way leaves all other buckets as they are, and a bucket's old files
+    until its new ones are whole. Loads that share no bucket may run side by
+    side; others one after the other.
     """
     spark = entries.sparkSession
-    use_checkpoint_dir(spark)
-    others = read_profile(spark, root, key).join(entries.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    whole = others.unionByName(entries.select(*others.columns))
-    whole.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}")
+    held = _touched(spark, root, key, entries, buckets)
+    others = held.join(entries.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    whole = others.unionByName(_placed(entries, "load", buckets).select(*others.columns))
+    partitions = [rows.select("bucket", "batch").distinct() for rows in (held, whole)]
+    emptied = [r.asDict() for r in partitions[0].subtract(partitions[1]).collect()]
+    write_partitions(whole, f"{root}/{key}", "bucket", "batch")
+    drop_partitions(spark, f"{root}/{key}", emptied)

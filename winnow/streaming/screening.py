@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from winnow.operators import screening, skills
-from winnow.session import use_checkpoint_dir
-from winnow.sources.arrivals import exists
-from winnow.sources.profiles import after, read_profile
+from winnow.sources.buckets import read_buckets, values_of, write_partitions
+from winnow.sources.profiles import append_profile
 
 APPLICATION = "application_id bigint, resume_id bigint, jd_id bigint, submitted_at timestamp"
+# Ids that share a folder of what is written.
+IDS_TOGETHER = 1 << 16
 
 
 def read_applications(spark: SparkSession, path: str) -> DataFrame:
@@ -26,16 +27,40 @@ def screen_stream(
     static tables keep no state. Every batch reads the static tables through;
     where they are large, `screen_arrivals` reads less.
 
-    The state is the ids of applications seen, so that none comes out twice and
-    none is lost, however late. With `lateness` ids are forgotten once the
-    watermark has passed them, and what arrives later than that is dropped;
-    `screen_arrivals` keeps no state and drops nothing.
+    Applications that come again come out again, and `write_routed` writes each
+    once. With `lateness` they are left out here already: ids are state until
+    the watermark has passed them, and what arrives later than that is dropped.
     """
-    if lateness is None:
-        once = applications.dropDuplicates(["application_id"])
-    else:
-        once = applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(["application_id"])
-    return screening.route(skills.match_skills(once, resumes, jds))
+    if lateness is not None:
+        applications = applications.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(["application_id"])
+    return screening.route(skills.match_skills(applications, resumes, jds))
+
+
+def _ids(key: Column) -> Column:
+    return F.floor(key / F.lit(IDS_TOGETHER)).cast("bigint")
+
+
+def unseen(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """The batch's applications, each once, that no other batch has written, with their bucket of ids.
+
+    What is written lies in folders by range of ids, and only those of the
+    batch's own ranges are listed and read: the cost doesn't grow with what was
+    screened before. Applications without an id are all new.
+    """
+    spark = batch.sparkSession
+    batch = batch.dropDuplicates(["application_id"]).withColumn("ids", _ids(F.col("application_id")))
+    own = [v for v in values_of(batch, "ids") if v is not None]
+    done = read_buckets(spark, path, "application_id bigint, ids bigint, batch bigint, route string", "ids", own)
+    done = done.filter(F.col("batch") != number).select("application_id")
+    return batch.join(done, "application_id", "left_anti")
+
+
+def _put(routed: DataFrame, path: str, number: int) -> None:
+    write_partitions(routed.withColumn("batch", F.lit(number).cast("bigint")), path, "ids", "batch", "route")
+
+
+def _foreach(stream: DataFrame, checkpoint: str, put) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def screen_arrivals(
@@ -46,11 +71,11 @@ def screen_arrivals(
     checkpoint: str,
     columns: list[str] | None = None,
 ) -> StreamingQuery:
-    """Screen what has arrived and write it to path/batch=…/route=…, then stop.
+    """Screen what has arrived and write it to path/ids=…/batch=…/route=…, then stop.
 
     A batch names few resumes. They are picked by a semi-join first, which
     Spark broadcasts by measured size, so the other resumes are neither
-    normalised nor shuffled. A repeated batch replaces its own folder.
+    normalised nor shuffled. A repeated batch replaces its own partitions.
     Applications already written by other batches are left out, whenever they
     come again; no other is, however late. That needs `application_id` among
     the columns.
@@ -59,61 +84,36 @@ def screen_arrivals(
         raise ValueError("columns must include application_id")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(["application_id"])
-        if exists(batch.sparkSession, path):
-            done = batch.sparkSession.read.schema("application_id bigint, batch bigint, route string").parquet(path)
-            done = done.filter(F.col("batch") != number).select("application_id")
-            batch = batch.join(done, "application_id", "left_anti")
-        batch.persist()
-        named = resumes.join(batch.select("resume_id").distinct(), "resume_id", "left_semi")
-        offered = jds.join(batch.select("jd_id").distinct(), "jd_id", "left_semi")
-        routed = screening.route(skills.match_skills(batch, named, offered))
-        routed = routed.select(*columns) if columns else routed
-        routed.write.mode("overwrite").partitionBy("route").parquet(f"{path}/batch={number}")
-        batch.unpersist()
+        new = unseen(batch, path, number).persist()
+        named = resumes.join(new.select("resume_id").distinct(), "resume_id", "left_semi")
+        offered = jds.join(new.select("jd_id").distinct(), "jd_id", "left_semi")
+        routed = screening.route(skills.match_skills(new, named, offered))
+        _put(routed.select(*columns, "ids") if columns else routed, path, number)
+        new.unpersist()
 
-    return (
-        applications.writeStream.foreachBatch(put)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _foreach(applications, checkpoint, put)
 
 
 def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what has arrived, partitioned by route, and stop."""
-    return (
-        routed.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("route")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Write routed rows that have arrived to path/ids=…/batch=…/route=…, each application once, and stop."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        # The ids are asked for first, which must not screen the batch twice.
+        batch.persist()
+        _put(unseen(batch, path, number), path, number)
+        batch.unpersist()
+
+    return _foreach(routed, checkpoint, put)
 
 
 def append_stream(entries: DataFrame, root: str, key: str, name: str, checkpoint: str) -> StreamingQuery:
     """Append arriving profile entries (candidate_id, seq, entry) to a store table.
 
-    Each batch writes a folder of its own and a repeated batch replaces it, so
-    a retry adds nothing twice. The plain file sink would not do: its log
-    hides the entries that batch jobs have put into the same table.
+    A batch bears a name and a repeated batch replaces its own entries, so a
+    retry adds nothing twice.
     """
 
-    use_checkpoint_dir(entries.sparkSession)
-
     def put(batch: DataFrame, number: int) -> None:
-        folder = f"stream-{name}-{number}"
-        # Places follow those of the other batches and tables; a repeated batch must not count itself.
-        own = F.col("_metadata.file_path").contains(f"/{folder}/")
-        held = read_profile(batch.sparkSession, root, key).filter(~own) if exists(batch.sparkSession, f"{root}/{key}") else None
-        placed = batch if held is None else after(batch, held)
-        placed.checkpoint(eager=True).write.mode("overwrite").parquet(f"{root}/{key}/{folder}")
-
-    return (
-        entries.writeStream.foreachBatch(put)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        append_profile(batch, root, key, f"{name}-{number}")
+
+    return _foreach(entries, checkpoint, put)
