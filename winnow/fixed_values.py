@@ -73,7 +73,6 @@ FLAG_WRONG_GAP = "MISIDENTIFIED_GAP"
 MAX_REFLECTIONS = 2
 
 # --- personal data ---------------------------------------------------------
-PII_ENTITIES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "PERSON", "LOCATION", "UK_NINO"]
 
 # --- code search -----------------------------------------------------------
 README_NAME = "README.md"

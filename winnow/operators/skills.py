@@ -115,7 +115,7 @@ def screen_all(
     overlap = F.size(F.array_intersect("candidate", "required"))  # hashes the second, the short one
     return (
         found.join(required, "jd_id")
-        .join(candidate, "resume_id")
+        .join(for_skewed_join(candidate, "resume_id"), "resume_id")
         .select(
             "resume_id",
             "jd_id",
@@ -128,6 +128,58 @@ def screen_all(
 
 
 # --- tagging -------------------------------------------------------------------
+# Slots, of a byte each, of the filter of starts.
+_START_SLOTS = 1 << 19
+
+
+def _start_slot(word: Column, n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(word, F.lit(n) if isinstance(n, int) else n), F.lit(_START_SLOTS)).cast("int")
+
+
+def _starts(terms: DataFrame) -> dict[int, bytes]:
+    """Per number of words, a filter of fixed size: 1 in the slots of words that start a term of so many words.
+
+    The lexicon is read for it. The more terms there are, the less it tells.
+    """
+    slots = terms.select("_n", _start_slot(F.element_at("_words", 1), F.col("_n")).alias("slot")).groupBy("_n")
+    found = {}
+    for n, held in slots.agg(F.collect_set("slot")).collect():
+        filled = bytearray(_START_SLOTS)
+        for slot in held:
+            filled[slot] = 1
+        found[n] = bytes(filled)
+    return found
+
+
+def _lexicon(lexicon: DataFrame, term: str, keep: tuple[str, ...], words) -> DataFrame:
+    """(term, kept, _words, _n, _gram): each term with its words."""
+    return (
+        lexicon.select(term, *keep)
+        .distinct()
+        .withColumn("_words", words(F.col(term)))
+        .filter(F.size("_words") > 0)
+        .select(term, *keep, "_words", F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_gram"))
+    )
+
+
+def _grams(words: Column, starts: dict[int, bytes]) -> Column:
+    """The distinct n-grams of the words that may be terms: those whose first word starts a term of that length."""
+    if not starts:
+        return F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        def may_start(word: Column) -> Column:
+            return F.substring(F.lit(starts[n]), _start_slot(word, n) + 1, F.lit(1)) == F.lit(b"\x01")
+
+        if n == 1:
+            return F.filter(words, may_start)
+        places = F.filter(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: may_start(F.element_at(words, i)))
+        grams = F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sorted(starts)]))
+
+
 def tag_terms(
     docs: DataFrame,
     id: str,
@@ -140,37 +192,35 @@ def tag_terms(
 ) -> DataFrame:
     """(id, term, kept lexicon columns) for every lexicon term in the text as whole words.
 
-    Documents are cut into word n-grams of just the lengths the lexicon holds
-    (a subquery finds them), made distinct within the document, and met with
-    the lexicon by equality. Only ids travel. The lexicon is not forced to be
-    broadcast; Spark does so when its measured size allows.
+    Of a document's words only those that start a term, by a filter of fixed
+    size, are made into n-grams, of the lengths of the terms that they start.
+    These few, distinct within the document, meet the lexicon by equality. Only
+    ids travel. The lexicon is not forced to be broadcast; Spark does so when
+    its measured size allows.
     """
 
     def words(of: Column) -> Column:
         return F.regexp_extract_all(F.lower(of) if ignore_case else of, F.lit(token), F.lit(0))
 
-    terms = (
-        lexicon.select(term, *keep)
-        .distinct()
-        .withColumn("_words", words(F.col(term)))
-        .filter(F.size("_words") > 0)
-        .select(term, *keep, F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_gram"))
-    )
-    lengths = terms.agg(F.collect_set("_n")).scalar()
-
-    def grams(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_words") - n + 1)
-        joined = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-        return F.when(n == 1, F.col("_words")).otherwise(joined)
-
-    fitting = F.filter("_lengths", lambda n: n <= F.size("_words"))
+    terms = _lexicon(lexicon, term, keep, words)
+    cut = docs.select(id, words(F.col(text)).alias("_words"))
     # The array is exploded as an expression, not as a column: for a column Spark
     # would add a size filter below it that works the whole array out again.
-    distinct = F.array_distinct(F.flatten(F.transform(fitting, grams)))
-    cut = docs.select(id, words(F.col(text)).alias("_words"), lengths.alias("_lengths")).select(
-        id, F.explode(distinct).alias("_gram")
-    )
-    return cut.join(terms.drop("_n"), "_gram").select(id, term, *keep)
+    found = cut.select(id, F.explode(_grams(F.col("_words"), _starts(terms))).alias("_gram"))
+    return found.join(terms.drop("_n", "_words"), "_gram").select(id, term, *keep)
+
+
+def may_hold_terms(
+    text: Column, lexicon: DataFrame, term: str, token: str = SKILL_TOKEN, ignore_case: bool = True
+) -> Column:
+    """Whether any word of the text starts a term, by the filter of starts: false only for texts that hold none."""
+
+    def words(of: Column) -> Column:
+        return F.regexp_extract_all(F.lower(of) if ignore_case else of, F.lit(token), F.lit(0))
+
+    starts = _starts(_lexicon(lexicon, term, (), words))
+    held = F.transform(F.array(words(text)), lambda w: F.size(_grams(w, starts)))
+    return F.coalesce(F.get(held, F.lit(0)), F.lit(0)) > 0
 
 
 def tag_skills(docs: DataFrame, id: str, text: str, lexicon: DataFrame, skill: str = "skill") -> DataFrame:
