@@ -93,3 +93,33 @@ def test_a_handle_with_most_repositories(spark):
         by_rank = rp.top_recent_repos(repos, 3, "2026-01-01").select("handle", "name", "rank").collect()
     assert largest < kept.count() / 2
     assert sorted(by_join) == sorted(by_rank)
+
+
+def test_a_resume_that_meets_every_job(spark):
+    """One resume holds the rare skills of all jobs; others hold one each."""
+    jds = spark.range(4000).select(F.col("id").alias("jd_id"), F.array(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("required_skills"))
+    all_skills = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    own = F.array(F.concat(F.lit("s"), F.col("id").cast("string")))
+    resumes = spark.range(4000).select(F.col("id").alias("resume_id"), F.when(F.col("id") == 0, all_skills).otherwise(own).alias("candidate_skills"))
+    with settings(spark, SMALL_DATA_ACTS_LARGE | {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB"}):
+        joins, rows = skewed_joins(skills.screen_all(resumes, jds, 1.0))
+    assert joins and len(rows) == 4000 + 3999
+
+
+def test_a_handle_with_a_million_repositories(spark):
+    """Texts are tested row by row; only those of handles with an open phrase are put in order, in runs of bounded size."""
+    number = F.col("id").cast("string")
+    repos = spark.range(1_000_000).select(
+        F.when(F.col("id") % 50 < 49, "hot").otherwise(F.concat(F.lit("h"), number)).alias("handle"),
+        F.concat(F.lit("r"), F.lpad(number, 7, "0")).alias("name"),
+        F.when(F.col("id") == 7, "needle").when(F.col("id") == 500_000, "ends with big").otherwise("plain").alias("description"),
+        F.lit(None).cast("string").alias("language"),
+        F.lit(None).cast("array<string>").alias("topics"),
+        F.lit("2024").alias("updated_at"),
+    )
+    wanted = spark.createDataFrame([("hot", s) for s in ("needle", "big r0500001", "big r0500002", "plain r0000003", "nowhere")], "handle string, skill string")
+    with settings(spark, {"spark.sql.shuffle.partitions": "16"}):
+        found = rp.skills_in_repos(repos, wanted)
+        got = sorted(r["skill"] for r in found.collect())
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert got == ["big r0500001", "needle", "plain r0000003"] and "Window" not in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
@@ -41,14 +41,30 @@ def route(rows: DataFrame, min_score: float = fixed.SHORTLIST_MIN_SCORE) -> Data
 
 
 def split_routes(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shortlisted, rejected): two filters over one plan. To store both, write once with
-    partitionBy('route') instead."""
+    """(shortlisted, rejected): two filters over one plan. To store both use `store_routes`, which screens once."""
     return (
         routed.filter(F.col("route") == fixed.ROUTE_SHORTLIST),
         routed.filter(F.col("route") == fixed.ROUTE_REJECT),
     )
 
 
+def store_routes(routed: DataFrame, path: str, **measures: Column) -> dict[str, dict[str, object]]:
+    """Write both routes to path/route=… in one pass and give, per route, its rows (`n`) and further measures.
+
+    The counts are observed while the rows are written, so nothing is screened
+    or read a second time. A measure is a column, summed per route.
+    """
+    seen = Observation("routes")
+    routes = (fixed.ROUTE_SHORTLIST, fixed.ROUTE_REJECT)
+    counts = []
+    for route_ in routes:
+        own = F.col("route") == route_
+        counts.append(F.count_if(own).alias(f"{route_}.n"))
+        counts += [F.sum(F.when(own, value)).alias(f"{route_}.{name}") for name, value in measures.items()]
+    routed.observe(seen, *counts).write.partitionBy("route").parquet(path)
+    return {r: {name: seen.get[f"{r}.{name}"] for name in ("n", *measures)} for r in routes}
+
+
 def outcome_message() -> Column:
     job, company, name = (
         F.coalesce(F.col(c), F.lit("None")) for c in ("job_title", "company_name", "candidate_name")

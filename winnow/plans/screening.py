@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow.functions import text as t
 from winnow.operators import gaps, screening, skills
 from winnow.plans import tables as src
 from winnow.plans.registry import query
+from winnow.session import use_checkpoint_dir
 
 # --- shared SQL --------------------------------------------------------------
 RESUMES = r"""resumes AS (
@@ -242,11 +245,11 @@ def outcome_messages(spark: SparkSession, folder: str) -> DataFrame:
     f"""{BASE} SELECT route, count(*) AS n, CAST(sum(m) AS BIGINT) AS n_matched FROM routed GROUP BY route""",
 )
 def split_route_counts(spark: SparkSession, folder: str) -> DataFrame:
-    totals = [
-        part.groupBy("route").agg(F.count("*").alias("n"), F.sum("n_matched").alias("n_matched"))
-        for part in screening.split_routes(routed(spark, folder))
-    ]
-    return totals[0].unionByName(totals[1])
+    """Both routes stored; the counts are those seen while writing."""
+    path = f"{use_checkpoint_dir(spark).rstrip('/')}/routes-{uuid.uuid4().hex}"
+    seen = screening.store_routes(routed(spark, folder), path, n_matched=F.col("n_matched"))
+    rows = [(route, counts["n"], counts["n_matched"]) for route, counts in seen.items() if counts["n"]]
+    return spark.createDataFrame(rows, "route string, n bigint, n_matched bigint")
 
 
 @query("score_numeric", f"{BASE} SELECT application_id, round(score * 100, 4) AS score_pct FROM scored")

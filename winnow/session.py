@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,19 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="winnow-checkpoint-")
     context.setCheckpointDir(made)
     return made
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the workers of the session, once."""
+    context = spark.sparkContext
+    if any(f.startswith("winnow-package-") for f in context._python_includes):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    handle, path = tempfile.mkstemp(prefix="winnow-package-", suffix=".zip")
+    with os.fdopen(handle, "wb") as file, zipfile.ZipFile(file, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
