@@ -70,7 +70,7 @@ def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int, kinds: str) ->
                 found = _nearest(*shared.value[size], batch, k)
                 best = _first(found if best is None else pd.concat([best, found]), k)
         if best is not None:
-            yield best
+            yield _plain(best)
 
     return corpus.filter(F.size("embedding").isin(list(by_size))).mapInPandas(nearest, kinds)
 
@@ -98,10 +98,11 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, kinds: str, block_
     right = dealt(held, "doc_id", "doc_blocks", "query_blocks").groupBy(*keys)
 
     def nearest(own: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        ids, step = own["query_id"].to_numpy(), max(1, block_cells // max(1, len(batch)))
+        if own.empty or batch.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}, dtype=object)
+        ids, step = own["query_id"].to_numpy(), max(1, block_cells // len(batch))
         matrix = _matrix(own["embedding"].tolist())
-        parts = [_first(_nearest(ids[i : i + step], matrix[i : i + step], batch, k), k) for i in range(0, len(own) * (len(batch) > 0), step)]
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        return _plain(pd.concat(_first(_nearest(ids[i : i + step], matrix[i : i + step], batch, k), k) for i in range(0, len(own), step)))
 
     return left.cogroup(right).applyInPandas(nearest, kinds)
 
@@ -119,6 +120,11 @@ def _nearest(query_ids: np.ndarray, query_matrix: np.ndarray, batch: pd.DataFram
     return pd.DataFrame(found)
 
 
+def _plain(found: pd.DataFrame) -> pd.DataFrame:
+    """Ids as plain objects: text put together from several frames lies in chunks, which Spark doesn't take."""
+    return found.astype({"query_id": object, "doc_id": object})
+
+
 def _matrix(vectors: list) -> np.ndarray:
     return _unit(np.array(vectors, dtype="float64"))
 
