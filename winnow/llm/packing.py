@@ -57,8 +57,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, pieces = TokenBytes.of(tokenizer), []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                pieces += _pieces(doc_id, ids_of(text.as_py()), capacity, keep_ids)
+            texts = ids_of.many(batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                pieces += _pieces(doc_id, ids, capacity, keep_ids)
                 if len(pieces) >= PIECES_TOGETHER:
                     yield from _packed([(p[3], [p]) for p in pieces], capacity)
                     pieces = []

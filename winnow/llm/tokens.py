@@ -5,9 +5,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
+
+import numpy as np
 
 # A word of letters that lower-case to one letter each, and marks that no word runs into.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)")
+_BETWEEN = " | "
+# Words encoded as one text, and bytes of texts whose new words are learnt together.
+_TOGETHER = 256
+_LEARNT_TOGETHER = 1 << 21
 
 
 class TokenBytes:
@@ -28,25 +35,42 @@ class TokenBytes:
             cls._last = {path: cls(path)}
         return cls._last[path]
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 60):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 60):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in (_BETWEEN, f"a{_BETWEEN}b", "a", "b")]
+        # The id of the mark, if it is one that stays by itself between words.
+        self.between = alone[0][0] if alone[1] == alone[2] + alone[0] + alone[3] and len(alone[0]) == 1 else None
         self.runs: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
 
     def __call__(self, text: bytes) -> bytes:
+        return self._ids([text])[0]
+
+    def many(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text. What is new in some texts is learnt at once."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > _LEARNT_TOGETHER:
+                yield from self._ids(group)
+                group, size = [], 0
+        yield from self._ids(group)
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
         # bytes.split() parts at the six ASCII white-space bytes only.
-        runs = text.split()
-        missing = set(runs).difference(self.runs)
+        runs = [text.split() for text in texts]
+        missing = set().union(*runs).difference(self.runs)
         if missing:
             if len(self.runs) > self.most:
                 self.runs.clear()
-                missing = set(runs)
+                missing = set().union(*runs)
             self._learn(missing)
-        ids = b"".join(map(self.runs.__getitem__, runs))
+        ids = [b"".join(map(self.runs.__getitem__, own)) for own in runs]
         for run in missing:
             if len(run) > self.longest:
                 del self.runs[run]
@@ -63,12 +87,29 @@ class TokenBytes:
                 pairs.append((run, plain[1].lower(), plain[2]))
             else:
                 odd.append((run, text))
-        new = list({w for _, *pair in pairs for w in pair}.difference(words))
+        new = list({word for _, word, _ in pairs}.difference(words))
+        words.update(zip(new, self._encoded_words(new), strict=True))
+        new = list({marks for *_, marks in pairs}.difference(words))
         words.update(zip(new, self._encoded(new), strict=True))
         for run, word, marks in pairs:
             self.runs[run] = words[word] + words[marks]
         self.runs.update(zip((run for run, _ in odd), self._encoded([text for _, text in odd]), strict=True))
 
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only: many are encoded as one text, with a mark between that no word holds."""
+        if self.between is None:
+            return self._encoded(words)
+        out = []
+        joined = [_BETWEEN.join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            whole, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(whole[4 * start : 4 * end])
+                start = end + 1
+        return out
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(f.ids)}I", *f.ids) for f in found]
