@@ -616,3 +616,17 @@ def test_classifier_odd_rows(spark):
     unlabelled = quality_classifier.classify(docs, labels.limit(0), F.lit(True)).collect()
     assert {r["score"] for r in unlabelled} == {0.5}
     assert quality_classifier.classify(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_a_pair_is_looked_up_once_in_a_group(spark):
+    from winnow.llm import kneser_ney
+
+    docs = spark.createDataFrame([(i, f"over and over and over w{i % 3}") for i in range(30)], "doc_id long, text string")
+    reader = kneser_ney.Reader(kneser_ney.train(docs, F.lit(True)))
+    looked_up, plain = [], reader.pair_counts
+    reader.pair_counts = lambda before, ids: looked_up.append(len(ids)) or plain(before, ids)
+    texts = [b"over and over and unknown", b"", b"over and over w1"] * 50
+    group = [kneser_ney.tokens_of(text) for text in texts]
+    together = reader.score(group)
+    assert sum(looked_up) < 15
+    assert (np.concatenate([reader.score([tokens]) for tokens in group]) == together).all()

@@ -20,9 +20,10 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -329,18 +330,27 @@ class Reader:
             self.arrays[name] = np.load(path, mmap_mode="r")
         return self.arrays[name]
 
-    def ids(self, group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ids before, first places of the texts); -1 for words that the model doesn't know."""
-        words = [w for tokens in group for w in tokens]
+    def places(self, group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the distinct words, place among them of each token, of the one before it, first places of the texts).
+
+        The last id is that of the start of a text, -1 those of words that the model doesn't know.
+        """
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        missing = list(set(words).difference(self.known))
+        place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        own = np.fromiter(map(place.__getitem__, chain.from_iterable(group)), np.int64, sum(map(len, group)))
+        missing = [w for w in place if w not in self.known]
         self.known.update(zip(missing, self._find(_hashes(missing)).tolist(), strict=True))
-        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.known.__getitem__, place), np.int64, len(place))
         firsts = np.cumsum([0, *map(len, group[:-1])])
-        before = np.roll(ids, 1)
-        before[firsts] = self.model.words  # the start of a text
-        return ids, before, firsts
+        before = np.roll(own, 1)
+        before[firsts] = len(place)
+        return np.append(ids, self.model.words), own, before, firsts
+
+    def ids(self, group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids before, first places of the texts); -1 for words that the model doesn't know."""
+        ids, own, before, firsts = self.places(group)
+        return ids[own], ids[before], firsts
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         starts = self.model.starts
@@ -373,29 +383,33 @@ class Reader:
             out[both[at[found]]] = self.array(f"pairs-{s}")[place[found]]
         return out
 
-    def probabilities(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Of each word after the one before it."""
+    def probabilities(self, ids: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of each word after the one before it, both by their place among `ids`."""
         m = self.model
         if not m.tokens:
-            return np.ones(len(ids))
+            return np.ones(len(own))
         seen = self.facts("before", ids)
-        lower = (seen - _taken(seen, m.lower_discounts)) / m.pairs + m.lower_rest / (m.words + 1)
-        totals = self.facts("totals", before)
-        ones, twos, mores = (self.facts(n, before) for n in ("ones", "twos", "mores"))
+        lower = ((seen - _taken(seen, m.lower_discounts)) / m.pairs + m.lower_rest / (m.words + 1))[own]
+        totals = self.facts("totals", ids)[before]
+        ones, twos, mores = (self.facts(n, ids) for n in ("ones", "twos", "mores"))
         d = m.discounts
-        counts = self.pair_counts(before, ids)
-        upper = counts - _taken(counts, d) + (d[0] * ones + d[1] * twos + d[2] * mores) * lower
+        rest = (d[0] * ones + d[1] * twos + d[2] * mores)[before]
+        counts = self.pair_counts(ids[before], ids[own])
+        upper = counts - _taken(counts, d) + rest * lower
         return np.where(totals > 0, upper / np.maximum(totals, 1), lower)
 
     def score(self, group: list[list[bytes]]) -> np.ndarray:
+        """Words and pairs are looked up once each, however often the group has them."""
         m = self.model
-        ids, before, firsts = self.ids(group)
-        counts = self.facts("counts", ids)
+        ids, own, before, firsts = self.places(group)
+        base = np.log10((self.facts("counts", ids[:-1]) + 1) / (m.tokens + m.words + 1))
+        pairs, at = np.unique(before * len(ids) + own, return_inverse=True)
+        pairs_before, pairs_own = np.divmod(pairs, len(ids))
         out = np.zeros(len(group), _SCORES)
         out["n_tokens"] = [len(tokens) for tokens in group]
-        out["n_known"] = np.add.reduceat((ids >= 0).astype(np.int64), firsts)
-        out["base_score"] = np.add.reduceat(np.log10((counts + 1) / (m.tokens + m.words + 1)), firsts)
-        out["score"] = np.add.reduceat(np.log10(self.probabilities(before, ids)), firsts)
+        out["n_known"] = np.add.reduceat((ids[own] >= 0).astype(np.int64), firsts)
+        out["base_score"] = np.add.reduceat(base[own], firsts)
+        out["score"] = np.add.reduceat(np.log10(self.probabilities(ids, pairs_before, pairs_own))[at], firsts)
         return out
 
 
