@@ -23,7 +23,9 @@ class TokenBytes:
     It is for tokenizers that lower-case, drop white space, and part letters
     from marks: no token then spans white space, nor a plain word and the marks
     after it. The ids of what lies between white space are remembered, and
-    those of words and marks, up to `most` of each and `longest` bytes.
+    those of words and marks, up to `most` of each and `longest` bytes. Most of
+    what is new is never met again, so beyond that only what the latest texts
+    hold is kept: the frequent ones are among it.
     """
 
     _last: dict[str, TokenBytes] = {}
@@ -35,7 +37,7 @@ class TokenBytes:
             cls._last = {path: cls(path)}
         return cls._last[path]
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 60):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 60):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,11 +66,11 @@ class TokenBytes:
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         # bytes.split() parts at the six ASCII white-space bytes only.
         runs = [text.split() for text in texts]
-        missing = set().union(*runs).difference(self.runs)
+        met = set().union(*runs)
+        missing = met.difference(self.runs)
         if missing:
             if len(self.runs) > self.most:
-                self.runs.clear()
-                missing = set().union(*runs)
+                self.runs = {run: self.runs[run] for run in met.difference(missing)}
             self._learn(missing)
         ids = [b"".join(map(self.runs.__getitem__, own)) for own in runs]
         for run in missing:
