@@ -42,8 +42,9 @@ TOP = 2000
 # Words, and phrases, of one broadcast piece.
 WORDS_TOGETHER = 500_000
 PHRASES_TOGETHER = 1_000_000
-# Words counted in a task, and words of a row of numbers, before they're written.
-COUNTED_TOGETHER = 1_000_000
+# Words counted in a task, places counted, and words of a row of numbers, before they're written.
+COUNTED_TOGETHER = 250_000
+KEYS_TOGETHER = 600_000
 CODES_TOGETHER = 65_536
 # Bytes of the numbers for each block of keys that is summed in one task.
 PLACES_TOGETHER = 4_000_000
@@ -291,15 +292,15 @@ def _shards_summed(codes: DataFrame, blocks: int, count: Callable[[Iterator[np.n
 
 
 def _together(found: Counted) -> Counted:
-    """Distinct keys with their sums, of about `COUNTED_TOGETHER` keys at a time."""
+    """Distinct keys with their sums, of about `KEYS_TOGETHER` keys at a time."""
     parts, size = [], 0
     for keys, counts in found:
         parts.append((keys, counts))
         size += len(keys)
-        if size > 2 * COUNTED_TOGETHER:
+        if size > 2 * KEYS_TOGETHER:
             parts = [_summed(parts)]
             size = len(parts[0][0])
-            if size > COUNTED_TOGETHER:
+            if size > KEYS_TOGETHER:
                 yield parts.pop()
                 size = 0
     if parts:
