@@ -17,9 +17,9 @@ Only a few files of a skill are reported, and the first files of a skill are
 among the first files of its words. `top_files` therefore keeps the first few
 files of each *word*, in each task and then of all, and merges the words' lists
 by skill: no table of skills and files is made. `best_hits` then looks for lines
-in those files alone. `search_code` gives the line of every hit there is; there
-files travel as two 8-byte hashes and get their names back by hit. Project and
-path name a file, so they are expected once in a corpus.
+in those files alone. `search_code` gives the line of every hit there is; what
+travels there are the hits, each task's cut to the first line of a skill and
+file. Project and path name a file, so they are expected once in a corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators.grouping import for_skewed_join
+from winnow.operators.ordering import written
 
 FILE = ["project", "path"]
 _TRIGRAM = "(?s)(?=(.{3}))"
@@ -85,18 +86,23 @@ def _named(hits: DataFrame, files: DataFrame) -> DataFrame:
     return hits.join(names, "file").select("skill", *FILE, *[c for c in hits.columns if c not in ("skill", "file")])
 
 
+def _copies(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits once for every row of `files` with their project and path, which is one row as a rule."""
+    several = files.groupBy(*[F.col(c).alias("_" + c) for c in FILE]).agg(F.count("*").alias("_n")).filter("_n > 1")
+    several = written(several, "repeated-files")
+    same = F.col("project").eqNullSafe(F.col("_project")) & F.col("path").eqNullSafe(F.col("_path"))
+    copied = hits.join(several, same, "left")
+    return copied.withColumn("_n", F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)).cast("int")))).select(*hits.columns)
+
+
 def word_positions(files: DataFrame, skills: DataFrame) -> DataFrame:
-    """(file, word, line_no): first line, from 1, of each distinct word or window of each file."""
+    """(project, path, word, line_no): the distinct words or windows of each line, lines from 1."""
     lines = files.withColumn("_reach", longest_term(skills)).select(
-        _file_id(), "_reach", F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line")
+        *FILE, "_reach", F.posexplode(t.lines_of(F.lower("content"))).alias("at", "line")
     )
     spaced = F.array_distinct(F.split("line", t.SPACE + "+"))
-    words = lines.select("file", (F.col("at") + 1).alias("line_no"), F.explode(_windows(spaced, F.col("_reach"))).alias("word"))
-    return (
-        words.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
-        .groupBy("file", "word")
-        .agg(F.min("line_no").alias("line_no"))
-    )
+    words = lines.select(*FILE, (F.col("at") + 1).alias("line_no"), F.explode(_windows(spaced, F.col("_reach"))).alias("word"))
+    return words.filter(F.length("word") >= fixed.MIN_TERM_CHARS)
 
 
 def words_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
@@ -161,11 +167,11 @@ def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False
 def first_hit_per_file(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
     """(skill, project, path, line_no): the first line with any of the skill's terms, for every hit."""
     words = word_positions(files, skills)
-    # Every line_no is positive. Asking for it keeps the column, so that this use of
-    # `words` is the same plan as the other and Spark shuffles the corpus once.
-    vocabulary = words.filter(F.col("line_no") > 0).select("word").distinct()
-    hits = words.join(skill_words(vocabulary, skills, whole_word), "word")
-    return _named(hits.groupBy("skill", "file").agg(F.min("line_no").alias("line_no")), files)
+    # Written, so that Spark knows their size before it plans the join: where they
+    # can be broadcast, the words of the corpus are met where they are read.
+    pairs = written(skill_words(words.select("word").distinct(), skills, whole_word), "skill-words")
+    hits = words.join(pairs, "word").groupBy("skill", *FILE).agg(F.min("line_no").alias("line_no"))
+    return _copies(hits, files)
 
 
 def is_readme(path: Column) -> Column:
