@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow import schemas
-from winnow.sources.buckets import bucket_of, drop_partitions, read_buckets, values_of, write_partitions
+from winnow.operators.ordering import written
+from winnow.sources.buckets import bucket_of, drop_partitions, even, read_buckets, values_of, write_partitions
 
 BUCKETS = 64
 
@@ -77,13 +78,16 @@ def overwrite_profile(entries: DataFrame, root: str, key: str, buckets: int = BU
     Only the buckets of these candidates are read and replaced. Whoever dies
     half-way leaves all other buckets as they are, and a bucket's old files
     until its new ones are whole. Loads that share no bucket may run side by
-    side; others one after the other.
+    side; others one after the other. The candidates' ids are written first, so
+    that Spark knows their size: where they can be broadcast, what the others
+    keep is copied from file to file and only new entries are shuffled.
     """
     spark = entries.sparkSession
     held = _touched(spark, root, key, entries, buckets)
-    others = held.join(entries.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    whole = others.unionByName(_placed(entries, "load", buckets).select(*others.columns))
+    own = written(entries.select("candidate_id").distinct(), "candidates")
+    others = held.join(own, "candidate_id", "left_anti")
+    whole = others.unionByName(even(_placed(entries, "load", buckets), "bucket", "batch").select(*others.columns))
     partitions = [rows.select("bucket", "batch").distinct() for rows in (held, whole)]
     emptied = [r.asDict() for r in partitions[0].subtract(partitions[1]).collect()]
-    write_partitions(whole, f"{root}/{key}", "bucket", "batch")
+    write_partitions(whole, f"{root}/{key}", "bucket", "batch", spread=False)
     drop_partitions(spark, f"{root}/{key}", emptied)
