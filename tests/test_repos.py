@@ -7,9 +7,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from winnow import fixed_values as fixed
 from winnow.operators import extraction, repos as rp
+from winnow.operators.grouping import likely_among
 from winnow.sources import payloads
 
 REPO = (
@@ -101,6 +103,39 @@ def test_commits(spark, repos):
     assert (many["message"], many["sha"], many["day"]) == ("No commit message", "", "")
 
 
+def test_commits_of_other_repositories_are_left_out_where_they_are_read(spark):
+    number = F.col("id").cast("string")
+    repos = spark.range(5000).select(
+        F.concat(F.lit("h"), F.floor(F.col("id") / 10).cast("string")).alias("handle"),
+        F.when(F.col("id") == 4999, None).otherwise(F.concat(F.lit("r"), number)).alias("name"),
+        F.concat(F.lit("2026-01-1"), (F.col("id") % 10).cast("string")).alias("updated_at"),
+        F.lit("2026-01-01").alias("pushed_at"),
+    )
+    owners = spark.range(5000).select("id", F.concat(F.lit("h"), F.floor(F.col("id") / 10).cast("string")).alias("owner"))
+    lines = spark.range(40_000).select((F.col("id") % 5000).alias("id"), F.col("id").alias("pos"))
+    commits = lines.join(owners.hint("merge"), "id").select(
+        "owner", F.concat(F.lit("r"), number).alias("repo"), "pos", F.lit("s").alias("sha"), F.lit("m").alias("commit")
+    )
+    found = rp.recent_commits(repos, commits, 5)
+    got = sorted((r["owner"], r["repo"], r["pos"], r["rank"]) for r in found.collect())
+    want = [(f"h{i // 10}", f"r{i}", i + 5000 * n, n + 1) for i in range(9, 4999, 10) for n in range(5)]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Join Inner") < plan.index("scalar-subquery")
+
+
+def test_likely_among(spark):
+    held = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")).unionByName(
+        spark.createDataFrame([(None,)], "key string")
+    )
+    rows = spark.range(100_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    passed = rows.filter(likely_among(held, "key"))
+    assert passed.join(held, "key", "left_semi").count() == 3000 and passed.count() < 3100
+    nulls = spark.createDataFrame([(None,)], "key string")
+    assert nulls.filter(likely_among(held, "key")).count() == 0
+    assert rows.filter(likely_among(held.limit(0), "key")).count() == 0
+
+
 def test_totals_and_languages(repos):
     assert {r["handle"]: r["total"] for r in rp.repo_totals(repos).collect()}["many"] == 11
     mix = [r for r in rp.language_mix(repos).collect() if r["handle"] == "skills"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Bitmaps of a filter and bits of each: 8 MB at most.
+_BITMAPS, _BITS = 2048, 32768
 
 
 def numbered(
@@ -64,3 +67,24 @@ def for_skewed_join(lookup: DataFrame, *keys: str) -> DataFrame:
     shuffled again, so it is laid out by a hash of the key instead.
     """
     return lookup.repartition(F.xxhash64(*keys))
+
+
+def likely_among(lookup: DataFrame, name: str) -> Column:
+    """Whether a row's `name` may be one of the lookup's: false only for values, or nulls, that a join would not match.
+
+    A bitmap of hashes, of fixed size however large the lookup is, worked out
+    once as a subquery. As a condition on one column it goes where the rows are
+    read, below the joins and shuffles that made them. With a hash for each
+    eighth of its bits it lets an eighth of the other values pass.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(_BITMAPS * _BITS))
+    bitmap, bit = F.floor(place / _BITS).cast("int"), F.pmod(place, F.lit(_BITS))
+    held = lookup.filter(F.col(name).isNotNull()).select(bitmap.alias("_bitmap"), bit.alias("_bit"))
+    held = held.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    every = lookup.sparkSession.range(_BITMAPS).select(F.col("id").cast("int").alias("_bitmap"))
+    listed = F.array_sort(F.collect_list(F.struct("_bitmap", F.coalesce("_bits", F.lit(b"")).alias("_bits"))))
+    bitmaps = every.join(held, "_bitmap", "left").agg(F.transform(listed, lambda b: b["_bits"]).alias("bitmaps")).scalar()
+    byte = F.substring(F.get(bitmaps, bitmap), F.floor(bit / 8).cast("int") + 1, F.lit(1))
+    number = F.conv(F.hex(byte), 16, 10).cast("bigint")
+    is_set = F.getbit(number, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return F.col(name).isNotNull() & F.coalesce(is_set, F.lit(False))

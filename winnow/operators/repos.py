@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
-from winnow.operators.grouping import for_skewed_join, salted_join
+from winnow.operators.grouping import for_skewed_join, likely_among, salted_join
 from winnow.operators.ordering import numbered_in_order, runs_of_rows, written
 
 REPOS_PER_PART = 1000
@@ -72,13 +72,14 @@ def recent_commits(
 ) -> DataFrame:
     """The first listed commits of each handle's latest repository, with their rank.
 
-    Only commits of the chosen repositories are ranked. Those of one
-    repository are shared out for the join and cut to the first few by each
-    task before they come together.
+    Commits of repositories that no handle has as its latest are left out by
+    name where they are read, but for a few. Those of one repository are cut to
+    the first few by each task, so they are shuffled once, and what is left of
+    each meets the chosen repositories where the ranking has put it.
     """
-    latest = latest_repo(repos, cutoff).withColumnRenamed("handle", "owner")
-    chosen = salted_join(commits, latest, ["owner", "repo"], "pos", "left_semi")
-    return top_commits(chosen, per_repo)
+    latest = written(latest_repo(repos, cutoff).withColumnRenamed("handle", "owner"), "latest-repos")
+    ranked = top_commits(commits.filter(likely_among(latest, "repo")), per_repo)
+    return ranked.join(latest, ["owner", "repo"], "left_semi")
 
 
 def top_commits(commits: DataFrame, per_repo: int = fixed.MAX_COMMITS_SHOWN) -> DataFrame:
