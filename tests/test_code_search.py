@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
 from winnow.operators import code_search as code
+from winnow.plans import tables
 from winnow.sources import corpus
 
 from tests.test_skew import SMALL_DATA_ACTS_LARGE, settings
@@ -204,3 +205,21 @@ def test_first_files_of_words_hold_the_first_files_of_skills(spark):
     # Words' files are cut before they're shuffled, and no table of skills and files is made.
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"WindowGroupLimit \[word.* Partial", plan) and "xxhash64(project" not in plan
+
+
+def test_words_without_a_term_are_not_ranked(spark):
+    """The texts are cut into words once in what is left to run, and of their words those that no term is in are left out first."""
+    rows = spark.createDataFrame([("p", f"src/f{i}.py", f"needle{i} hay{i}\nstraw") for i in range(50)], "project string, path string, content string")
+    wanted = asked(spark, "needle", "hay7")
+    best = code.top_files(rows, wanted)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(content") == 1 and "scalar-subquery" in plan
+    got = sorted((r["skill"], r["path"], r["rank"]) for r in best.collect())
+    assert got == [("hay7", "src/f7.py", 1), ("needle", "src/f0.py", 1), ("needle", "src/f1.py", 2), ("needle", "src/f10.py", 3)]
+
+
+def test_texts_stay_where_they_are_read(spark, sf_dir):
+    """The first documents of the sources are few, so the texts are not shuffled to meet them."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "20KB"}):
+        plan = tables.code_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -359,3 +359,11 @@ def test_unknown_slot_is_an_error(spark):
     rows = spark.createDataFrame([("{nope}",)], "t string")
     with pytest.raises(Exception, match="no value for template slot"):
         rows.select(replies.render_template(F.col("t"), {})).collect()
+
+
+def test_the_set_of_spaces_is_short_and_whole(column):
+    assert t.SPACE.count("\\x") < 25
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    others = [chr(i) for i in range(1, 0x3100) if not chr(i).isspace()]
+    assert all(column(lambda c: F.rlike(c, F.lit(f"^{t.SPACE}$")), spaces))
+    assert not any(column(lambda c: F.rlike(c, F.lit(f"^{t.SPACE}$")), others))

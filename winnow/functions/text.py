@@ -11,7 +11,20 @@ from winnow import fixed_values as fixed
 
 # Every character Python calls white space, from the rule rather than a list.
 WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
-SPACE = "[" + "".join("\\x{%x}" % ord(ch) for ch in WHITESPACE) + "]"
+
+
+def _set_of(chars: str) -> str:
+    """The set of these characters. Java looks those below 256 up in one table, but tries the others one by one: runs of them are ranges."""
+    parts: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if code > 256 and parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join("\\x{%x}" % a if a == b else "\\x{%x}-\\x{%x}" % (a, b) for a, b in parts) + "]"
+
+
+SPACE = _set_of(WHITESPACE)
 NON_SPACE = "[^" + SPACE[1:]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow import fixed_values as fixed
 from winnow.functions import text as t
-from winnow.operators.grouping import for_skewed_join
+from winnow.operators.grouping import for_skewed_join, likely_among
 from winnow.operators.ordering import written
 
 FILE = ["project", "path"]
@@ -71,8 +71,12 @@ def _windows(words: Column, reach: Column) -> Column:
 
         return F.transform(F.regexp_extract_all(word, pattern, F.lit(1)), marked)
 
-    pieces = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > width, cut(w)).otherwise(F.array(w))))
-    return F.when(F.exists(words, lambda w: F.length(w) > width), F.array_distinct(pieces)).otherwise(words)
+    def all_cut(words: Column) -> Column:
+        pieces = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > width, cut(w)).otherwise(F.array(w))))
+        return F.when(F.exists(words, lambda w: F.length(w) > width), F.array_distinct(pieces)).otherwise(words)
+
+    # One-element array: binds the words, so that they are worked out once.
+    return F.flatten(F.transform(F.array(words), all_cut))
 
 
 def _file_id() -> Column:
@@ -113,10 +117,11 @@ def words_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
         return F.array_distinct(F.regexp_extract_all(F.col(of), F.lit(_TRIGRAM), F.lit(1)))
 
     term_grams = wanted.select("term", F.explode(trigrams("term")).alias("gram"))
+    needed = written(term_grams.select("gram").distinct(), "term-trigrams")
     word_grams = vocabulary.select("word", F.explode(trigrams("word")).alias("gram"))
     # How common each needed trigram is in the vocabulary decides which one to compare.
     common = (
-        word_grams.join(for_skewed_join(term_grams.select("gram").distinct(), "gram"), "gram", "left_semi")
+        word_grams.filter(likely_among(needed, "gram"))
         .groupBy("gram")
         .agg(F.count("*").alias("n"))
     )
@@ -125,6 +130,8 @@ def words_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     )
+    rarest = written(rarest, "rarest-trigrams")
+    word_grams = word_grams.filter(likely_among(rarest, "gram"))
     return (
         word_grams.join(rarest, "gram")
         .filter(F.contains("word", F.col("term")))
@@ -138,8 +145,7 @@ def skill_words(vocabulary: DataFrame, skills: DataFrame, whole_word: bool) -> D
     pairs = words_with_terms(vocabulary, terms)
     if whole_word:
         pairs = pairs.filter(t.contains_word(F.col("word"), F.col("term"), _CUT))
-    pairs = pairs.join(terms, "term").select("skill", "word").distinct()
-    return for_skewed_join(pairs, "word")  # some words stand in every file (import, return)
+    return pairs.join(terms, "term").select("skill", "word").distinct()
 
 
 def _distinct_words(files: DataFrame, skills: DataFrame, *keep: str | Column) -> DataFrame:
@@ -161,6 +167,7 @@ def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False
     """(skill, project, path) of all files with any of the skill's terms."""
     words = _distinct_words(files, skills, _file_id())
     pairs = skill_words(words.select("word").distinct(), skills, whole_word)
+    pairs = for_skewed_join(pairs, "word")  # some words stand in every file (import, return)
     return _named(words.join(pairs, "word").select("skill", "file").distinct(), files)
 
 
@@ -209,13 +216,14 @@ def top_hits(hits: DataFrame, per_skill: int = fixed.MAX_HITS_PER_SKILL) -> Data
     return ranked.filter(F.col("rank") <= per_skill)
 
 
-def first_files_of_words(files: DataFrame, skills: DataFrame, per_word: int) -> DataFrame:
-    """(word, project, path, kind, ext_rank): the first files of each word, in encounter order.
+def first_files_of_words(files: DataFrame, skills: DataFrame, per_word: int, wanted: Column | None = None) -> DataFrame:
+    """(word, project, path, kind, ext_rank): the first files of each word, or of each wanted one, in encounter order.
 
     The limit cuts each task's rows before the shuffle, and again after it, so
     a task sends `per_word` rows of a word at most, whatever it stands in.
     """
     words = _distinct_words(files, skills, *FILE, *_kinds())
+    words = words if wanted is None else words.filter(wanted)
     order = Window.partitionBy("word").orderBy("project", "ext_rank", "path")
     ranked = words.withColumn("_place", F.row_number().over(order))
     return ranked.filter(F.col("_place") <= per_word).drop("_place")
@@ -227,10 +235,12 @@ def top_files(
     """The first files of each skill with their rank: (skill, project, path, kind, ext_rank, rank).
 
     A skill's first files hold one of its words, and each is among the first
-    files of that word; so the words' lists merged by skill hold them all.
+    files of that word; so the words' lists merged by skill hold them all. Words
+    that have no term are left out before the files of any are ranked.
     """
-    first = first_files_of_words(files, skills, per_skill)
-    pairs = skill_words(first.select("word").distinct(), skills, whole_word)
+    vocabulary = written(_distinct_words(files, skills).distinct(), "vocabulary")
+    pairs = written(skill_words(vocabulary, skills, whole_word), "skill-words")
+    first = first_files_of_words(files, skills, per_skill, likely_among(pairs, "word"))
     listed = first.join(pairs, "word").select("skill", *FILE, "kind", "ext_rank").distinct()
     return top_hits(listed, per_skill)
 
@@ -243,7 +253,7 @@ def best_hits(
     The contents are met only by the ranked hits, and only of a file that was
     hit are the lines looked through.
     """
-    best = top_files(files, skills, per_skill, whole_word)
+    best = written(top_files(files, skills, per_skill, whole_word), "top-files")
 
     def has_term(line: Column) -> Column:
         def within(term: Column) -> Column:
@@ -255,6 +265,7 @@ def best_hits(
     first = F.array_position(F.transform("_lines", lambda line: has_term(F.lower(line))), True)
     return (
         files.select(*FILE, "content")
+        .filter(likely_among(best, "path"))
         .join(best, FILE)
         .withColumn("_lines", code_lines)
         .withColumn("line_no", first.cast("int"))
