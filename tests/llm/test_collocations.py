@@ -102,6 +102,16 @@ def test_trie_moves_like_a_dictionary():
     assert trie.step(pairs[:, 0], pairs[:, 1]).tolist() == [t if t in left else 0 for t in targets.tolist()]
 
 
+def test_a_trie_gives_back_the_room_of_what_it_forgets():
+    states, words = np.divmod(np.arange(40_000), 40)
+    trie = collocations.Trie.of(states + 1, words + 1, np.arange(40_000) + 1, 1000)
+    before = sum(a.nbytes for a in (trie.base, trie.check, trie.target))
+    trie.keep(np.arange(1, 40_001, 10))
+    assert sum(a.nbytes for a in (trie.base, trie.check, trie.target)) < before / 4
+    assert trie.base.itemsize == 4
+    assert np.flatnonzero(trie.step(states + 1, words + 1)).tolist() == list(range(0, 40_000, 10))
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3 * 10**12
     row = spark.createDataFrame([(big, 7 * big, [big + 1, big], [big, big + 2])], "a long, n long, heads array<long>, tails array<long>")

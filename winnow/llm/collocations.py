@@ -79,7 +79,7 @@ class Trie:
         size = np.diff(np.append(first, len(states)))
         width = int(words.max(initial=0)) + 1
         used = np.zeros(width + 2 * len(states) + 64, bool)
-        base = np.zeros(most + 1, np.int64)
+        base = np.zeros(most + 1, np.int32)
         draw = np.random.default_rng(0)
         several = np.flatnonzero(size > 1)
         for group in several[np.argsort(-size[several], kind="stable")]:
@@ -108,8 +108,11 @@ class Trie:
         return np.where(inside & (self.check[cells] == states), self.target[cells], 0)
 
     def keep(self, frequent: np.ndarray) -> None:
-        """Forget the moves to states that aren't frequent."""
-        self.target[~np.isin(self.target, frequent)] = 0
+        """Forget the moves to states that aren't frequent, and the room they took."""
+        cells = np.flatnonzero((self.target > 0) & np.isin(self.target, frequent))
+        states = self.check[cells]
+        made = Trie.of(states, cells - self.base[states], self.target[cells], len(self.base) - 1)
+        self.base, self.check, self.target = made.base, made.check, made.target
 
 
 Levels = list[list[Trie]]
