@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import functions as F
@@ -65,6 +66,29 @@ def test_room_is_made_for_words_but_those_just_met_stay():
     assert len(fresh.runs) > 200
 
 
+def test_words_are_held_as_columns_between_tasks():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b"Often seen, often told!\x0bOne two", b"", b" \n ", b"\xff broken \xc3\xa9t\xc3\xa9", "une \u00a0 \u0130x ".encode() * 3]
+    plain = TokenBytes(path)
+    whole = [struct.pack(f"<{len(f)}I", *f) for f in (plain.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in texts)]
+    for _ in range(2):
+        with TokenBytes.at_work(path) as own:
+            assert list(own.many(texts)) == whole
+            assert b"Often" in own.runs
+        assert not own.runs and not own.older and not own.words
+    with TokenBytes.at_work(path) as own:
+        assert b"Often" in own.older and own.words["often"] and not own.packed
+
+
+def test_the_classifier_remembers_no_words():
+    from winnow.llm import quality_classifier
+
+    at, values = quality_classifier.features(b"one two one")
+    assert len(at) == len(values) and not hasattr(quality_classifier, "WordHashes")
+
+
 def test_counts_of_a_task_are_handed_on_in_small_parts():
     import numpy as np
 

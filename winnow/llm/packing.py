@@ -55,14 +55,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pieces = TokenBytes.of(tokenizer), []
-        for batch in batches:
-            texts = ids_of.many(batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                pieces += _pieces(doc_id, ids, capacity, keep_ids)
-                if len(pieces) >= PIECES_TOGETHER:
-                    yield from _packed([(p[3], [p]) for p in pieces], capacity)
-                    pieces = []
+        pieces = []
+        with TokenBytes.at_work(tokenizer) as ids_of:
+            for batch in batches:
+                texts = ids_of.many(text.as_py() for text in batch.column("text"))
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                    pieces += _pieces(doc_id, ids, capacity, keep_ids)
+                    if len(pieces) >= PIECES_TOGETHER:
+                        yield from _packed([(p[3], [p]) for p in pieces], capacity)
+                        pieces = []
         if pieces:
             yield from _packed([(p[3], [p]) for p in pieces], capacity)
 

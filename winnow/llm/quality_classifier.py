@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.llm.common import stored, text_or_empty
@@ -24,22 +25,7 @@ THRESHOLD = 0.3
 _SHAPES = (b"#*$%&|<>", b"0123456789", b"!?", b".,;:")
 
 
-class WordHashes:
-    """Hashes of lower-cased words, remembered for up to `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        self.known, self.most = {}, most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = zlib.crc32(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def features(text: bytes, hashes: WordHashes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of a text: words, pairs of words, word repeats and kinds of marks.
 
     Values are shares of their kind of feature, square-rooted, so long and
@@ -58,7 +44,7 @@ def features(text: bytes, hashes: WordHashes, bits: int = BITS) -> tuple[np.ndar
             values.append(np.sqrt(counts / len(ids)))
 
     if words:
-        one = hashes(words)
+        one = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
         add(1, one)
         add(2, one[:-1] * np.uint64(31) + one[1:])
         distinct = len(found[1])
@@ -139,9 +125,12 @@ def fit(training: DataFrame, bits: int = BITS) -> np.ndarray:
     shards = max(1, round(training.count() / SHARD_ROWS))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, leader = WordHashes(), Leader(bits)
+        leader = Leader(bits)
         rows = rows.sort_values(["order", "text"])
-        examples = [(*features(text, hashes, bits), label) for text, label in zip(rows["text"], rows["label"], strict=True)]
+        examples = []
+        for text, label in zip(rows["text"], rows["label"], strict=True):
+            at, values = features(text, bits)
+            examples.append((at.astype(np.int32), values, label))
         for _ in range(max(LEAST_EPOCHS, -(-LEAST_EXAMPLES // len(examples)))):
             for at, values, label in examples:
                 leader.learn(at, values, label)
@@ -165,15 +154,16 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     bits = (len(weights) - 1).bit_length()
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes, model = WordHashes(), shared.value
+    # Arrow hands out one text at a time; pandas would hold all of a batch once more.
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
         for batch in batches:
             margins = np.empty(len(batch))
             for k, document in enumerate(batch):
-                at, values = features(document, hashes, bits)
+                at, values = features(document.as_py(), bits)
                 margins[k] = model[at] @ values
-            yield pd.Series(probability(margins))
+            yield pa.array(probability(margins))
 
     return docs.select(F.struct("*").alias("row"), scored(text_or_empty(text).cast("binary")).alias("score"))
 
