@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import subprocess
+import sys
 import uuid
 
 from pyspark.sql import functions as F
@@ -95,3 +98,32 @@ def test_counts_of_a_task_are_handed_on_in_small_parts():
     keys = (np.arange(i * 100_000, (i + 1) * 100_000) for i in range(20))
     parts = list(collocations._together((k, np.ones(len(k), np.int64)) for k in keys))
     assert max(len(k) for k, _ in parts) <= 1_400_000 and sum(int(n.sum()) for _, n in parts) == 2_000_000
+
+
+_IDLE = """
+import re
+import public_tokenizers
+from winnow.llm.tokens import TokenBytes
+
+def held():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1])
+
+path = public_tokenizers.path("word_bpe_49k.json")
+with TokenBytes.at_work(path):
+    pass
+before = held()
+with TokenBytes.at_work(path) as ids:
+    for k in range(20):
+        ids(b" ".join(b"w%dx" % (k * 10_000 + i) for i in range(10_000)))
+    ids = None
+    working = held()
+print(before, working, held())
+"""
+
+
+def test_an_idle_worker_gives_back_what_its_task_has_freed():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", _IDLE], cwd=here, capture_output=True, text=True, check=True).stdout
+    before, working, idle = map(int, said.split())
+    assert working - before > 30_000
+    assert idle - before < 0.45 * (working - before)

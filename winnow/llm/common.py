@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from winnow.session import use_checkpoint_dir
@@ -62,3 +65,12 @@ def text_or_empty(text: str | Column = "text") -> Column:
 def remainder_of_crc(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo a divisor; a null key counts as ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def give_back_memory() -> None:
+    """Return what a task has freed to the system: a worker that waits for its next task would hold it on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it, and keeps back so much
+    if trim is not None:
+        trim(0)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import SPACE_RUN, stored, text_or_empty
+from winnow.llm.common import SPACE_RUN, give_back_memory, stored, text_or_empty
 from winnow.llm.components import components
 from winnow.operators.grouping import for_skewed_join
 
@@ -209,6 +209,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    known.clear()
+    give_back_memory()
 
 
 def _shared_buckets(texts: DataFrame) -> DataFrame:
@@ -258,6 +260,7 @@ def _other_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, simila
             found = _links_in(table, similarity)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        give_back_memory()
 
     return now.mapInArrow(compare, "a long, b long")
 
@@ -363,5 +366,7 @@ def aligned(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
                 if similarity_of(shingles(a[k], x), shingles(b[k], y), similarity) > 0
             ]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        recent.clear()
+        give_back_memory()
 
     return met.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import shared_folder, text_or_empty
+from winnow.llm.common import give_back_memory, shared_folder, text_or_empty
 from winnow.llm.tokens import TokenBytes
 
 CAPACITY = 4096
@@ -74,6 +74,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
                 bins.append((row["fill"], [tuple(m.values()) for m in row["members"]]))
         if bins:
             yield from _packed(bins, capacity)
+        bins.clear()
+        give_back_memory()
 
     written = [f"{folder}/0"]
     rows.mapInArrow(first_round, BIN_SCHEMA).write.partitionBy("done").parquet(written[0])

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from winnow.llm.common import stored, text_or_empty
+from winnow.llm.common import give_back_memory, stored, text_or_empty
 
 # Weights: 2 ** BITS doubles, 2 MB; the bound of what is sent to every task.
 BITS = 18
@@ -136,6 +136,8 @@ def fit(training: DataFrame, bits: int = BITS) -> np.ndarray:
                 leader.learn(at, values, label)
         weights = leader.weights()
         at = np.flatnonzero(weights)
+        examples.clear()
+        give_back_memory()
         return pd.DataFrame({"at": at, "weight": weights[at]})
 
     shard = F.floor(F.col("order") * 1e9).cast("bigint") % shards
@@ -164,6 +166,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
                 at, values = features(document.as_py(), bits)
                 margins[k] = model[at] @ values
             yield pa.array(probability(margins))
+        give_back_memory()
 
     return docs.select(F.struct("*").alias("row"), scored(text_or_empty(text).cast("binary")).alias("score"))
 

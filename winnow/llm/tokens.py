@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from winnow.llm.common import give_back_memory
+
 # A word of letters that lower-case to one letter each, and marks that no word runs into.
 _PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=-@\\[-`{-~]*)$"
 _BETWEEN = " | "
 # Words encoded as one text, bytes of texts whose new words are learnt together, and texts the tokenizer is given at once.
 _TOGETHER = 256
-_LEARNT_TOGETHER = 1 << 23
+_LEARNT_TOGETHER = 1 << 22
 _ENCODED_TOGETHER = 32
 
 
@@ -62,13 +64,18 @@ class TokenBytes:
 
     def _pack_up(self) -> None:
         """Hold what is remembered as columns, which take a fifth of the room of objects."""
-        held = ((self.older | self.runs, pa.large_binary()), (self.words, pa.large_string()))
-        self.packed = [(pa.array([*x], kind), pa.array([*x.values()], pa.large_binary())) for x, kind in held]
-        self.runs, self.older, self.words = {}, {}, {}
+        self.older.update(self.runs)
+        self.runs = {}
+        for held, kind in ((self.older, pa.large_binary()), (self.words, pa.large_string())):
+            self.packed.append((pa.array([*held], kind), pa.array([*held.values()], pa.large_binary())))
+            held.clear()
+        give_back_memory()
 
     def _unpack(self) -> None:
         if self.packed:
-            self.older, self.words = (dict(zip(_listed(keys), _listed(ids), strict=True)) for keys, ids in self.packed)
+            for held, (keys, ids) in zip((self.older, self.words), self.packed, strict=True):
+                held.clear()
+                held.update(zip(_listed(keys), _listed(ids), strict=True))
             self.packed = []
 
     def __call__(self, text: bytes) -> bytes:
