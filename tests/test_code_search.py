@@ -223,3 +223,22 @@ def test_texts_stay_where_they_are_read(spark, sf_dir):
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "20KB"}):
         plan = tables.code_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_skills_of_the_first_files_are_not_looked_for_in_all_files(spark, monkeypatch):
+    monkeypatch.setattr(code, "_FIRST_FILES", 40, raising=False)
+    rows = [(f"p{i % 3}" if i % 50 else None, f"f{i:03}.py" if i % 41 else None, f"common x{i} y{i % 90}") for i in range(300)]
+    rows += rows[60:120]  # files listed twice
+    files = spark.createDataFrame(rows, "project string, path string, content string")
+    asked = spark.createDataFrame([("common",), ("x299",), ("y77",), ("absent",), ("x2",), (None,), ("common",)], "skill string")
+    seen, found = [], code.skill_words
+
+    def skill_words(vocabulary, skills, whole_word):
+        seen.append({r["skill"] for r in skills.collect()})
+        return found(vocabulary, skills, whole_word)
+
+    monkeypatch.setattr(code, "skill_words", skill_words)
+    got = sorted(code.top_files(files, asked).collect(), key=str)
+    assert "common" not in seen[-1] and {"x299", "y77", "absent"} <= seen[-1]
+    assert got == sorted(code._top_files(files, asked, 3, False).collect(), key=str)
+    assert sorted(r["rank"] for r in got if r["skill"] == "common") == [1, 2, 3]

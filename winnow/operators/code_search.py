@@ -14,8 +14,9 @@ longer than a window (an image cell, a minified file) takes part as overlapping
 windows that between them hold every term it holds, so no row grows with it.
 
 Only a few files of a skill are reported, and the first files of a skill are
-among the first files of its words. `top_files` therefore keeps the first few
-files of each *word*, in each task and then of all, and merges the words' lists
+among the first files of its words. `top_files` looks in the very first files
+before the others, which settles the skills that most files mention. For the
+others it keeps the first few files of each *word*, in each task and then of all, and merges the words' lists
 by skill: no table of skills and files is made. `best_hits` then looks for lines
 in those files alone. `search_code` gives the line of every hit there is; what
 travels there are the hits, each task's cut to the first line of a skill and
@@ -35,6 +36,8 @@ FILE = ["project", "path"]
 _TRIGRAM = "(?s)(?=(.{3}))"
 # Characters from one window of a long word to the next.
 _STEP = 128
+# Files, the first in encounter order, that skills are looked for in before all files are.
+_FIRST_FILES = 4096
 # Marks where a window is cut off from the rest of its word; no term holds it.
 _CUT = "\ua66e"
 
@@ -234,6 +237,28 @@ def top_files(
 ) -> DataFrame:
     """The first files of each skill with their rank: (skill, project, path, kind, ext_rank, rank).
 
+    A skill with `per_skill` hits among the very first files has its first ones
+    there, whatever the others hold. The skills that most files mention are of
+    that kind, so what is looked for in all files are the words of the others.
+    """
+    asked = written(skills.select("skill").distinct(), "asked-skills")
+    keys = files.select(_encounter().alias("key"))
+    last = keys.orderBy("key").limit(_FIRST_FILES).agg(F.max("key").alias("key")).scalar()
+    first = written(files.filter(_encounter() <= last), "first-files")
+    early = written(_top_files(first, asked, per_skill, whole_word), "top-of-first-files")
+    settled = early.filter(F.col("rank") == per_skill).select("skill")
+    late = _top_files(files, written(asked.join(settled, "skill", "left_anti"), "open-skills"), per_skill, whole_word)
+    return early.join(settled, "skill", "left_semi").unionByName(late)
+
+
+def _encounter() -> Column:
+    """What files are ordered by, compared as in `top_hits`: nulls first."""
+    return F.struct("project", _kinds()[1], "path")
+
+
+def _top_files(files: DataFrame, skills: DataFrame, per_skill: int, whole_word: bool) -> DataFrame:
+    """As `top_files`, by the words of all the given files.
+
     A skill's first files hold one of its words, and each is among the first
     files of that word; so the words' lists merged by skill hold them all. Words
     that have no term are left out before the files of any are ranked.
