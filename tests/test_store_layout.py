@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from winnow import schemas
-from winnow.operators import vectors
+from winnow.operators import profiles, vectors
+from winnow.session import use_checkpoint_dir
 from winnow.sources import buckets, profiles as store
 from winnow.streaming import screening as streaming
 
@@ -107,3 +109,54 @@ def test_upsert_reads_and_replaces_few_buckets(spark, tmp_path):
     with pytest.raises(Exception, match="wrong vector dimension"):
         vectors.upsert_into_store(spark.createDataFrame([(1, [1.0], "x", 9)], kind), path, 3, buckets=64)
     assert vectors.read_store(spark, path, kind).count() == 3001
+
+
+def test_lists_of_texts_travel_as_one_text_and_come_back(spark):
+    lists = [["a", "b c", ""], [], [""], None, ["a", None], [None], ["x\x01y", "z"], ["\x01"], ["é\n", " "]]
+    rows = spark.createDataFrame([(i, i % 3, v, [1]) for i, v in enumerate(lists)], "id int, bucket int, texts array<string>, n array<int>")
+    laid_out = buckets.even(rows, "bucket")
+    assert laid_out.schema.simpleString() == rows.schema.simpleString()
+    assert {r["id"]: r["texts"] for r in laid_out.collect()} == dict(enumerate(lists))
+    many = spark.range(20_000).select("id", F.lit(0).alias("bucket"), F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.lit("w"), i)).alias("texts"))
+    plan = buckets.even(many, "bucket")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "_one_texts" in plan.split("RebalancePartitions")[1]
+
+
+def shuffled_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {os.path.join(d, f) for top in folders for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def test_a_load_leaves_no_copy_of_its_entries_behind(spark, tmp_path):
+    kept = use_checkpoint_dir(spark).removeprefix("file:")
+    copies = lambda: sum(name.startswith("rdd-") for _, names, _ in os.walk(kept) for name in names)
+    lines = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("line "), i))
+    parsed = spark.range(500).select(
+        F.col("id").alias("candidate_id"),
+        F.array(F.lit("r")).alias("roles"),
+        F.transform(lines, lambda x: F.struct(x.alias("category"), F.array(x).alias("skills"))).alias("categorized_skills"),
+        F.transform(lines, lambda x: F.struct(x.alias("project_name"), F.array(x).alias("tech_stack"), x.alias("description"))).alias("projects"),
+        F.transform(lines, lambda x: F.struct(x.alias("role_title"), F.array(x).alias("responsibilities"))).alias("responsibilities"),
+        F.array(F.struct(F.lit("m").alias("category"), F.lit("x").alias("content"))).alias("misc"),
+    )
+    before, held = copies(), shuffled_files(spark)
+    profiles.populate_profile(parsed, str(tmp_path))
+    assert copies() == before
+    large = lambda: [f for f in shuffled_files(spark) - held if f.endswith(".data") and os.path.exists(f) and os.path.getsize(f) > 5_000]
+    until = time.monotonic() + 20
+    while large() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not large()
+    profiles.populate_profile(parsed.filter("candidate_id < 9"), str(tmp_path))
+    counts = {t: store.read_profile(spark, str(tmp_path), t).count() for t in profiles.FAN_OUT_TABLES}
+    assert counts == {"skills": 10_000, "projects": 10_180, "responsibilities": 10_180, "misc": 509}
+
+
+def test_more_candidates_than_are_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "_BROADCAST_ROWS", 0)
+    root = str(tmp_path)
+    for _ in range(2):
+        store.append_profile(entries(spark, [1, 2, None]), root, "misc", buckets=4)
+    store.overwrite_profile(entries(spark, [2], "new"), root, "misc", buckets=4)
+    got = sorted(map(tuple, store.read_profile(spark, root, "misc").collect()), key=str)
+    assert got == sorted([(1, 0, "c", "x1"), (1, 1, "c", "x1"), (2, 0, "c", "new2"), (None, 0, "c", "xNone"), (None, 0, "c", "xNone")], key=str)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from winnow import fixed_values as fixed, schemas
 from winnow.functions import text as t
 from winnow.operators.grouping import numbered
-from winnow.session import use_checkpoint_dir
 from winnow.sources import profiles as store
 
 FAN_OUT_TABLES = ["skills", "projects", "responsibilities", "misc"]
@@ -33,11 +32,12 @@ _COLUMNS = {
 }
 
 
-def fan_out(parsed: DataFrame) -> DataFrame:
+def fan_out(parsed: DataFrame, tables: list[str] = FAN_OUT_TABLES) -> DataFrame:
     """All profile entries of parsed resumes: (candidate_id, profile_table, seq, wide entry).
 
-    One scan and one explode feed all four tables; write the result with
-    partitionBy('profile_table') or take a table with `entries_of`.
+    One scan and one explode feed all four tables, or those that are named;
+    write the result with partitionBy('profile_table') or take a table with
+    `entries_of`.
     """
 
     def entries(table: str, source: str, fields: dict[str, object]) -> Column:
@@ -54,17 +54,14 @@ def fan_out(parsed: DataFrame) -> DataFrame:
         return lambda item: item[name]
 
     titled = lambda item: t.or_default(item["role_title"], fixed.DEFAULT_CONTEXT_TITLE)
-    every = F.concat(
-        entries("skills", "categorized_skills", {n: same(n) for n in _COLUMNS["skills"]}),
-        entries("projects", "projects", {n: same(n) for n in _COLUMNS["projects"]}),
-        entries(
-            "responsibilities",
-            "responsibilities",
-            {"context_title": titled, "responsibilities": same("responsibilities")},
-        ),
-        entries("misc", "misc", {n: same(n) for n in _COLUMNS["misc"]}),
-    )
-    return parsed.select("candidate_id", F.explode(every).alias("e")).select("candidate_id", "e.*")
+    every = {
+        "skills": ("categorized_skills", {n: same(n) for n in _COLUMNS["skills"]}),
+        "projects": ("projects", {n: same(n) for n in _COLUMNS["projects"]}),
+        "responsibilities": ("responsibilities", {"context_title": titled, "responsibilities": same("responsibilities")}),
+        "misc": ("misc", {n: same(n) for n in _COLUMNS["misc"]}),
+    }
+    wanted = F.concat(*[entries(table, *every[table]) for table in FAN_OUT_TABLES if table in tables])
+    return parsed.select("candidate_id", F.explode(wanted).alias("e")).select("candidate_id", "e.*")
 
 
 def entries_of(fanned: DataFrame, table: str) -> DataFrame:
@@ -80,12 +77,14 @@ def populate_profile(parsed: DataFrame, root: str, dedupe: bool = False) -> None
     A second run therefore repeats the entries of the other tables; dedupe=True
     leaves out those that the candidate has already. Candidates for whom no
     skills were parsed keep those stored.
+
+    Each table takes its own entries from `parsed`, of which no copy is written
+    on the way. Resumes that are costly to parse, or come out otherwise each
+    time, are to be written by the caller.
     """
     spark = parsed.sparkSession
-    use_checkpoint_dir(spark)
-    fanned = fan_out(parsed).checkpoint()  # parsed once for the four tables it is written to
     for table in FAN_OUT_TABLES:
-        entries = entries_of(fanned, table).withColumn("seq", F.col("seq").cast("bigint"))
+        entries = entries_of(fan_out(parsed, [table]), table).withColumn("seq", F.col("seq").cast("bigint"))
         if table == "skills":
             if not entries.isEmpty():
                 store.overwrite_profile(entries, root, table)

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow import schemas
 from winnow.operators.ordering import written
+from winnow.sources.arrivals import exists
 from winnow.sources.buckets import bucket_of, drop_partitions, even, read_buckets, values_of, write_partitions
 
 BUCKETS = 64
+# Rows of a number or two that are broadcast whatever Spark takes for small; some 130 MB.
+_BROADCAST_ROWS = 1 << 21
 
 
 def read_profile_json(spark: SparkSession, root: str, key: str, candidate_id: int) -> DataFrame:
@@ -43,10 +46,21 @@ def read_profile(spark: SparkSession, root: str, key: str) -> DataFrame:
         return spark.createDataFrame([], schemas.STORED[key])
 
 
-def _touched(spark: SparkSession, root: str, key: str, entries: DataFrame, buckets: int) -> DataFrame:
-    """What the store holds in the buckets of the entries' candidates, with `bucket` and `batch`."""
-    own = values_of(entries.select(bucket_of(F.col("candidate_id"), buckets).alias("bucket")), "bucket")
-    return read_buckets(spark, f"{root}/{key}", f"{schemas.STORED[key]}, bucket bigint, batch string", "bucket", own)
+def _candidates(entries: DataFrame) -> DataFrame:
+    """The ids of the entries' candidates, written, so that entries are worked out for them once."""
+    return written(entries.select("candidate_id").distinct(), "candidates")
+
+
+def _touched(own: DataFrame, root: str, key: str, buckets: int) -> DataFrame:
+    """What the store holds in the buckets of the own candidates, with `bucket` and `batch`."""
+    placed = values_of(own.select(bucket_of(F.col("candidate_id"), buckets).alias("bucket")), "bucket")
+    schema = f"{schemas.STORED[key]}, bucket bigint, batch string"
+    return read_buckets(own.sparkSession, f"{root}/{key}", schema, "bucket", placed)
+
+
+def _met_in_place(rows: DataFrame) -> DataFrame:
+    """Written rows, to be broadcast up to a bound, so that what they are joined to stays where it lies."""
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
 
 
 def _placed(entries: DataFrame, batch: str | Column, buckets: int) -> DataFrame:
@@ -57,18 +71,23 @@ def _placed(entries: DataFrame, batch: str | Column, buckets: int) -> DataFrame:
 def append_profile(entries: DataFrame, root: str, key: str, batch: str | None = None, buckets: int = BUCKETS) -> None:
     """Append candidates' entries after those that they have; the store never removes duplicates.
 
-    Of the stored entries only the ids and places in the same buckets are read.
+    Of the stored entries only the ids and places in the same buckets are read;
+    of a new table none, and its entries are worked out once.
     With a name a batch can be written again: it replaces its own entries.
     """
-    held = _touched(entries.sparkSession, root, key, entries, buckets).filter(F.col("batch") != F.lit(batch or ""))
-    rows = _placed(after(entries, held), batch or "load", buckets)
+    if exists(entries.sparkSession, f"{root}/{key}"):
+        own = _candidates(entries)
+        held = _touched(own, root, key, buckets).filter(F.col("batch") != F.lit(batch or ""))
+        entries = after(entries, held.join(_met_in_place(own), "candidate_id", "left_semi"))
+    rows = _placed(entries, batch or "load", buckets)
     write_partitions(rows, f"{root}/{key}", "bucket", "batch", replace=batch is not None)
 
 
 def after(entries: DataFrame, held: DataFrame) -> DataFrame:
     """Entries with their places moved on past those that the candidate has already."""
-    last = held.groupBy("candidate_id").agg(F.max("seq").alias("_last"))
-    moved = entries.join(last, "candidate_id", "left").withColumn("seq", F.col("seq") + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    last = written(held.groupBy("candidate_id").agg(F.max("seq").alias("_last")), "last-places")
+    moved = entries.join(_met_in_place(last), "candidate_id", "left")
+    moved = moved.withColumn("seq", F.col("seq") + F.coalesce(F.col("_last") + 1, F.lit(0)))
     return moved.select(*entries.columns)
 
 
@@ -78,16 +97,20 @@ def overwrite_profile(entries: DataFrame, root: str, key: str, buckets: int = BU
     Only the buckets of these candidates are read and replaced. Whoever dies
     half-way leaves all other buckets as they are, and a bucket's old files
     until its new ones are whole. Loads that share no bucket may run side by
-    side; others one after the other. The candidates' ids are written first, so
-    that Spark knows their size: where they can be broadcast, what the others
-    keep is copied from file to file and only new entries are shuffled.
+    side; others one after the other. The candidates' ids are written first:
+    up to a bound they are broadcast, so that what the others keep is copied
+    from file to file and only new entries are shuffled.
     """
-    spark = entries.sparkSession
-    held = _touched(spark, root, key, entries, buckets)
-    own = written(entries.select("candidate_id").distinct(), "candidates")
-    others = held.join(own, "candidate_id", "left_anti")
-    whole = others.unionByName(even(_placed(entries, "load", buckets), "bucket", "batch").select(*others.columns))
-    partitions = [rows.select("bucket", "batch").distinct() for rows in (held, whole)]
-    emptied = [r.asDict() for r in partitions[0].subtract(partitions[1]).collect()]
-    write_partitions(whole, f"{root}/{key}", "bucket", "batch", spread=False)
-    drop_partitions(spark, f"{root}/{key}", emptied)
+    spark, path = entries.sparkSession, f"{root}/{key}"
+    new = even(_placed(entries, "load", buckets), "bucket", "batch")
+    if not exists(spark, path):
+        write_partitions(new, path, "bucket", "batch", spread=False)
+        return
+    own = _candidates(entries)
+    held = _touched(own, root, key, buckets)
+    others = held.join(_met_in_place(own), "candidate_id", "left_anti")
+    whole = others.unionByName(new.select(*others.columns))
+    kept = others.select("bucket", "batch").unionByName(_placed(own, "load", buckets).select("bucket", "batch"))
+    emptied = [r.asDict() for r in held.select("bucket", "batch").distinct().subtract(kept.distinct()).collect()]
+    write_partitions(whole, path, "bucket", "batch", spread=False)
+    drop_partitions(spark, path, emptied)
