@@ -242,3 +242,30 @@ def test_skills_of_the_first_files_are_not_looked_for_in_all_files(spark, monkey
     assert "common" not in seen[-1] and {"x299", "y77", "absent"} <= seen[-1]
     assert got == sorted(code._top_files(files, asked, 3, False).collect(), key=str)
     assert sorted(r["rank"] for r in got if r["skill"] == "common") == [1, 2, 3]
+
+
+def test_words_that_outgrow_a_broadcast_stay_where_they_are(spark):
+    """Every file brings words of its own that hold the term, so the words with terms are more than Spark broadcasts."""
+    files = spark.range(4000).selectExpr("'p' AS project", "concat('f', id, '.py') AS path", "concat('first\\n', sha2(string(id), 256), 'needle', id) AS content")
+    wanted = asked(spark, "Needle", "needle", "first needle", "absent")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "64KB"}):
+        hits = code.first_hit_per_file(files, wanted)
+        rows = hits.collect()
+        plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "hashpartitioning(word" not in plan and "hashpartitioning(gram" not in plan
+    lines = {"Needle": 2, "needle": 2, "first needle": 1}
+    assert len(rows) == 12_000 and all(r["line_no"] == lines[r["skill"]] for r in rows)
+
+
+def test_terms_meet_words_alike_whether_they_are_broadcast_or_not(spark):
+    random.seed(17)
+    parts = ["ab", "\U0001f600", "é", "ß", "İ", "\u0307", "c.", "#", "the", "aaa", "\t", " ", "\u3000", "\n"]
+    text = lambda most: "".join(random.choices(parts, k=random.randint(0, most)))
+    rows = [(f"p{i % 3}", f"f{i}.py", text(60)) for i in range(150)] + [(None, None, "the aaa"), ("p", "n.py", None), ("p0", "f0.py", "aaa")]
+    files = spark.createDataFrame(rows, corpus.CORPUS)
+    wanted = spark.createDataFrame([(text(5),) for _ in range(150)] + [(None,), ("the",), ("the",), ("aaaa the",)], "skill string")
+    found = {}
+    for most in ("10MB", "-1"):
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": most}):
+            found[most] = sorted(map(tuple, code.search_code(files, wanted).collect()), key=str)
+    assert found["10MB"] == found["-1"] and len(found["-1"]) > 500

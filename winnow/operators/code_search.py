@@ -8,6 +8,12 @@ test runs once per distinct word of the corpus instead of once per line:
     words of files --distinct--> vocabulary --trigram--> (term, word) pairs
     words of files --equality with the pairs' word--> (term, file)
 
+New words keep coming as a corpus grows, so the pairs outgrow what can be
+broadcast; the terms don't. Where every hit is asked for and the terms are few
+enough to be broadcast, words meet them by trigram where they are read:
+
+    words of files --trigrams, equality with the terms' one--> (term, file)
+
 A term always has a trigram, and its rarest one is compared, so the
 substring test too is reached by equality; nothing is joined all to all. A word
 longer than a window (an image cell, a minified file) takes part as overlapping
@@ -174,14 +180,48 @@ def matching_files(files: DataFrame, skills: DataFrame, whole_word: bool = False
     return _named(words.join(pairs, "word").select("skill", "file").distinct(), files)
 
 
+def _by_trigram(skills: DataFrame) -> DataFrame:
+    """(gram, term, skill): each term under the one of its trigrams that the fewest terms have."""
+    terms = query_terms(skills)
+    grams = terms.select("term").distinct().select("term", F.explode(F.array_distinct(_trigrams_at("term"))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(terms, "term").select("gram", "term", "skill")
+
+
+def _places(text: str) -> Column:
+    """Where the trigrams of a text of three characters or more start, from 1."""
+    return F.sequence(F.lit(1), F.length(text) - 2)
+
+
+def _trigrams_at(text: str) -> Column:
+    return F.transform(_places(text), lambda at: F.substr(F.col(text), at, F.lit(3)))
+
+
+def _is_broadcast(rows: DataFrame) -> bool:
+    """Whether written rows are of a size that Spark broadcasts."""
+    spark = rows.sparkSession
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
+
+
 def first_hit_per_file(files: DataFrame, skills: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(skill, project, path, line_no): the first line with any of the skill's terms, for every hit."""
+    """(skill, project, path, line_no): the first line with any of the skill's terms, for every hit.
+
+    A file's words are met in one task, which sends the file's first line of a skill on.
+    """
     words = word_positions(files, skills)
-    # Written, so that Spark knows their size before it plans the join: where they
-    # can be broadcast, the words of the corpus are met where they are read.
-    pairs = written(skill_words(words.select("word").distinct(), skills, whole_word), "skill-words")
-    hits = words.join(pairs, "word").groupBy("skill", *FILE).agg(F.min("line_no").alias("line_no"))
-    return _copies(hits, files)
+    wanted = None if whole_word else written(_by_trigram(skills), "terms-by-trigram")
+    if wanted is not None and _is_broadcast(wanted):
+        grams = words.select("*", F.explode(_places("word")).alias("_at"))
+        grams = grams.withColumn("gram", F.substr("word", F.col("_at"), F.lit(3)))
+        found = grams.join(wanted, "gram").filter(F.contains("word", F.col("term")))
+    else:
+        # Written, so that Spark knows their size before it plans the join: where they
+        # can be broadcast, the words of the corpus are met where they are read.
+        pairs = written(skill_words(words.select("word").distinct(), skills, whole_word), "skill-words")
+        found = words.join(pairs, "word")
+    return _copies(found.groupBy("skill", *FILE).agg(F.min("line_no").alias("line_no")), files)
 
 
 def is_readme(path: Column) -> Column:
