@@ -318,7 +318,8 @@ def best_hits(
     The contents are met only by the ranked hits, and only of a file that was
     hit are the lines looked through.
     """
-    best = written(top_files(files, skills, per_skill, whole_word), "top-files")
+    best = written(top_files(files, skills, per_skill, whole_word).drop("rank"), "top-files")
+    ranked = top_hits(best, per_skill)
 
     def has_term(line: Column) -> Column:
         def within(term: Column) -> Column:
@@ -331,11 +332,11 @@ def best_hits(
     return (
         files.select(*FILE, "content")
         .filter(likely_among(best, "path"))
-        .join(best, FILE)
+        .join(ranked, FILE)
         .withColumn("_lines", code_lines)
         .withColumn("line_no", first.cast("int"))
         .withColumn("snippet", _shown())
-        .select(*best.columns, "line_no", "snippet")
+        .select(*ranked.columns, "line_no", "snippet")
     )
 
 
